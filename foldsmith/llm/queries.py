@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from foldsmith.llm import repetition, simhash
+import public_tokenizers
+
+from foldsmith.llm import decontamination, rans, repetition, simhash
 from foldsmith.session import table
 
 
@@ -14,3 +16,13 @@ def op1_simhash(spark, sf_dir):
 def op7_repetition(spark, sf_dir):
     """Quality rules on repetition over all documents."""
     return repetition.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op4_rans(spark, sf_dir):
+    """Token ids of all documents, written in rANS blocks and read back."""
+    return rans.token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_decontamination(spark, sf_dir):
+    """Test items held by any document."""
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
