@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from foldsmith.llm import decontamination, rans, repetition, simhash
+from foldsmith.llm import decontamination, language, rans, repetition, simhash, toxicity
 from foldsmith.session import table
 
 
@@ -26,3 +26,18 @@ def op4_rans(spark, sf_dir):
 def op9_decontamination(spark, sf_dir):
     """Test items held by any document."""
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_toxicity(spark, sf_dir):
+    """Toxicity of all documents, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train_model(toxicity.sampled_rows(docs, table(spark, sf_dir, "labels")))
+    out = toxicity.score_documents(docs, model)
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "spans")
+
+
+def op10_language(spark, sf_dir):
+    """Language of all documents, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.train_model(language.learning_rows(docs))
+    return language.identify(docs, model).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
