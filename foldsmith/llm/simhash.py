@@ -76,7 +76,7 @@ def grid_masks(n: int, distance: int) -> list[int]:
     def cost(g: int) -> float:
         return comb(g, distance) * (row_cost + pair_cost * n / 2 ** (32 * (g - distance) / g * bits))
 
-    g = min(range(distance + 1, distance + 7), key=cost)
+    g = min(range(distance + 2, distance + 7), key=cost)  # with one group agreeing, cells would be few and large
     cuts = [32 * i // g for i in range(g + 1)]
     whole = [sum(3 << 2 * s for s in range(a, b)) for a, b in zip(cuts, cuts[1:])]
     return [sum(c) for c in combinations(whole, g - distance)]
@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     fp = materialize(fingerprints(docs, doc_id, text, shingle), "simhash-fp")
     first = materialize(fp.groupBy("fp").agg(F.min(doc_id).alias("first")), "simhash-first")
-    comp = connected_components(links(first.select("fp"), distance))
+    comp = connected_components(materialize(links(first.select("fp"), distance), "simhash-links"))
     root = materialize(first.join(comp, first.fp == comp.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("root")), "simhash-root")
     name = root.groupBy("root").agg(F.min("first").alias("component_id"))
     named = root.join(name, "root").select("fp", "component_id")
