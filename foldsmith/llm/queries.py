@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from foldsmith.llm import decontamination, language, rans, repetition, simhash, toxicity
+from pyspark.sql import functions as F
+
+from foldsmith.llm import decontamination, language, pieces, preference, rans, repetition, simhash, toxicity, urls
 from foldsmith.session import table
 
 
@@ -41,3 +43,21 @@ def op10_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = language.train_model(language.learning_rows(docs))
     return language.identify(docs, model).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op2_pieces(spark, sf_dir):
+    """SentencePiece ids of all documents by the max-plus scan, decoded again."""
+    return pieces.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op6_urls(spark, sf_dir):
+    """Verdict on every page's URL."""
+    return urls.filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op8_preference(spark, sf_dir):
+    """Preference pairs of all conversations 2k and 2k + 1; spans as start-end,start-end."""
+    turns = table(spark, sf_dir, "conversations")
+    out = preference.format_pairs(preference.neighbour_pairs(turns), turns)
+    spans = {c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",") for c in ("chosen_loss", "rejected_loss")}
+    return out.withColumns(spans)

@@ -1,3 +1,30 @@
-"""DuckDB twins of the queries that SQL can express."""
+"""DuckDB twins of the queries that SQL can express on whole tables."""
 
-SQL: dict[str, str] = {}
+OP8 = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT conv_id, max(k) AS n FROM t GROUP BY 1),
+p AS (SELECT a.conv_id AS chosen_id, b.conv_id AS rejected_id, least(a.n, b.n) AS n
+      FROM n a JOIN n b ON b.conv_id = a.conv_id + 1 WHERE a.conv_id % 2 = 0),
+d AS (SELECT p.chosen_id, min(x.k) AS k FROM p JOIN t x ON x.conv_id = p.chosen_id JOIN t y ON y.conv_id = p.rejected_id AND y.k = x.k
+      WHERE x.role <> y.role OR x.text <> y.text GROUP BY 1),
+c AS (SELECT p.chosen_id, p.rejected_id, CAST(coalesce(d.k - 1, p.n) AS INTEGER) AS n_common FROM p LEFT JOIN d USING (chosen_id)),
+s AS (SELECT *, '<|' || role || '|>' || chr(10) || text || chr(10) AS said, length(role) + 5 AS head, length(role) + 6 + length(text) AS size FROM t),
+side AS (
+  SELECT c.chosen_id, s.conv_id, s.k, s.k <= c.n_common AS common, s.said,
+         CASE WHEN s.role = 'assistant' AND s.k > c.n_common THEN
+           coalesce(sum(s.size) FILTER (s.k > c.n_common) OVER w, 0) + s.head END AS a, length(s.text) AS len
+  FROM c JOIN s ON s.conv_id IN (c.chosen_id, c.rejected_id)
+  WINDOW w AS (PARTITION BY s.conv_id ORDER BY s.k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT conv_id,
+         coalesce(string_agg(said, '' ORDER BY k) FILTER (common), '') AS prompt,
+         coalesce(string_agg(said, '' ORDER BY k) FILTER (NOT common), '') AS rest,
+         coalesce(string_agg(a || '-' || (a + len), ',' ORDER BY k) FILTER (a IS NOT NULL), '') AS loss
+      FROM side GROUP BY 1)
+SELECT c.chosen_id, c.rejected_id, c.n_common, x.prompt, x.rest AS chosen, y.rest AS rejected, x.loss AS chosen_loss, y.loss AS rejected_loss
+FROM c JOIN g x ON x.conv_id = c.chosen_id JOIN g y ON y.conv_id = c.rejected_id
+"""
+
+SQL: dict[str, str] = {"op8_preference": OP8}
