@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from foldsmith.llm import decontamination, language, pieces, preference, rans, repetition, simhash, toxicity, urls
+from foldsmith.llm import decontamination, hpyp, language, pieces, preference, rans, repetition, simhash, toxicity, urls
 from foldsmith.session import table
 
 
@@ -61,3 +61,10 @@ def op8_preference(spark, sf_dir):
     out = preference.format_pairs(preference.neighbour_pairs(turns), turns)
     spans = {c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",") for c in ("chosen_loss", "rejected_loss")}
     return out.withColumns(spans)
+
+
+def op3_hpyp(spark, sf_dir):
+    """Language-model scores of all documents, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents").withColumn("train", ~hpyp.held_out())
+    out = hpyp.score(docs)
+    return out.select("doc_id", hpyp.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
