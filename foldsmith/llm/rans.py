@@ -11,6 +11,7 @@ Format: a folder of three Parquet tables. `blocks` has one row per block, `table
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 
@@ -105,87 +106,111 @@ def decode_blocks(coded: list[tuple[bytes, bytes, int]], freq: np.ndarray, cum:
     return out
 
 
+class Codes(dict):
+    """Numbers of keys; a key not met before gets the next number and is put on the list `new`."""
+
+    def __init__(self, first: int):
+        self.next, self.new = first, []
+
+    def __missing__(self, key):
+        self[key] = code = self.next
+        self.next += 1
+        self.new.append(key)
+        return code
+
+
 class WordEncoder:
     """Byte-level BPE ids of whole texts, by the tokenizers library, one call for each different word.
 
     The pre-tokenizer never joins what stands before a space to that space and a following character
-    that is no white space, so a text's ids are those of its pieces at these places. Pieces repeat; their
-    ids are kept, up to `limit` pieces at a time.
+    that is no white space, so a text's ids are those of its pieces at these places. A piece is cut again,
+    where that holds too, at single line ends and between letters and the signs after them. The ids of
+    pieces are kept, up to `limit` pieces at a time.
     """
 
-    def __init__(self, path: str, end: int, limit: int = 700_000):
+    def __init__(self, path: str, end: int, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
         self.tok, self.end, self.limit = Tokenizer.from_file(path), end, limit
         self.size = max(self.tok.get_vocab_size(), end + 1)
         self.reset()
 
     def reset(self):
-        self.known, self.starts, self.lens = {}, [0], [1]
-        self.flat, self.n = np.zeros(1 << 16, np.uint32), 1
-        self.flat[0] = self.end
-        self.where = np.empty((0, 2), np.int64)
-
-    def _ids(self, pieces: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _learn(self, new: list[str]) -> None:
-        """new: pieces as they stand in the text, with the space before them."""
-        known = self.known
-        plain = {}
-        for p in new:  # letters with signs after them: two pre-tokens
-            base = p.rstrip(".,;:!?*#$%&")
-            if len(base) > 1 and len(base) < len(p) and base[1:].isalpha() and base[0] == " ":
-                plain[p] = (base, p[len(base) :])
-        parts = dict.fromkeys(x for pair in plain.values() for x in pair)
-        whole = [p for p in dict.fromkeys([*(p for p in new if p not in plain), *parts]) if p not in known]
-        for p, ids in zip(whole, self._ids(whole)):
-            self._store(p, ids)
-        for p, (a, b) in plain.items():
-            self._store(p, [*self._known_ids(a), *self._known_ids(b)])
-
-    def _known_ids(self, p: str) -> list[int]:
-        k = self.known[p]
-        return self.flat[self.starts[k] : self.starts[k] + self.lens[k]].tolist()
-
-    def _store(self, p: str, ids: list[int]) -> None:
-        while self.n + len(ids) > len(self.flat):
+        self.pieces, self.parts = Codes(1), {}  # pieces stand after a space; code 0 is the end id
+        self.flat, self.n = np.full(1 << 16, self.end, np.uint32), 1
+        self.start, self.length = np.zeros(1 << 12, np.int64), np.ones(1 << 12, np.int64)
+
+    def _cut(self, piece: str) -> list[str]:
+        """Parts whose ids, one after the other, are those of the piece after a space."""
+        if piece.isalpha():
+            return [" " + piece]
+        out, space = [], " "
+        lines = piece.split("\n")
+        if len(lines) > 1 and not all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
+            return [" " + piece]  # white space in a row
+        for k, line in enumerate(lines):
+            if k:
+                out.append("\n")
+                space = ""
+            base = line.rstrip(".,;:!?*#$%&|")
+            if base and len(base) < len(line) and base.isalpha():
+                out += [space + base, line[len(base) :]]
+            else:
+                out.append(space + line)
+        return out
+
+    def _learn(self) -> None:
+        """Encode the pieces met for the first time."""
+        new, self.pieces.new = self.pieces.new, []
+        if not new:
+            return
+        cut = [self._cut(p) for p in new]
+        parts = self.parts
+        fresh = [x for x in dict.fromkeys(x for c in cut for x in c) if x not in parts]
+        for x, e in zip(fresh, self.tok.encode_batch_fast(fresh, add_special_tokens=False)):
+            parts[x] = e.ids
+        got = [parts[c[0]] if len(c) == 1 else [i for x in c for i in parts[x]] for c in cut]
+        if len(parts) > self.limit // 2:
+            self.parts = {}
+        length = np.array([len(x) for x in got], np.int64)
+        total, first = int(length.sum()), self.pieces.next - len(new)
+        while self.n + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.n : self.n + len(ids)] = ids
-        self.known[p] = len(self.starts)
-        self.starts.append(self.n)
-        self.lens.append(len(ids))
-        self.n += len(ids)
+        while self.pieces.next > len(self.start):
+            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+        self.flat[self.n : self.n + total] = [i for x in got for i in x]
+        self.start[first : self.pieces.next] = self.n + np.cumsum(length) - length
+        self.length[first : self.pieces.next] = length
+        self.n += total
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id, laid end to end; number of ids of each)."""
-        if len(self.known) > self.limit:
+        if len(self.pieces) > self.limit:
             self.reset()
-        codes, sizes = [], []
+        get = self.pieces.__getitem__
+        codes, sizes, heads = [], [], []
         for text in texts:
             pieces = text.split(" ")
             if min(pieces) < "!" or not text.isascii() and RARE_SPACE.search(text):
                 pieces = re.split(r" (?=\S)", text)
-            get = self.known.get
-            found = [get(" " + p) for p in pieces]
-            found[0] = get(pieces[0]) if pieces[0] else -1
-            if None in found:
-                new = [(" " if i else "") + pieces[i] for i, k in enumerate(found) if k is None]
-                self._learn(list(dict.fromkeys(new)))
-                it = iter(new)
-                found = [self.known[next(it)] if k is None else k for k in found]
-            if found[0] == -1:
-                found = found[1:]
-            codes += found
+            heads.append(pieces[0])
+            codes += map(get, pieces[1:])
             codes.append(0)
-            sizes.append(len(found) + 1)
-        if len(self.where) < len(self.starts):
-            self.where = np.array([self.starts, self.lens], np.int64).T
+            sizes.append(len(pieces))
+        self._learn()
         code = np.array(codes, np.int64)
-        start, length = self.where[code, 0], self.where[code, 1]
+        start, length = self.start[code], self.length[code]
+        # What stands before a text's first space has no space before it.
+        first = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(heads, add_special_tokens=False)]
+        base = self.n
+        flat = np.concatenate([self.flat[:base], *first]) if first else self.flat
+        size = np.array([len(f) for f in first], np.int64)
+        at = np.cumsum(sizes) - sizes
+        start, length = np.insert(start, at, base + np.cumsum(size) - size), np.insert(length, at, size)
         ends = np.cumsum(length)
-        ids = self.flat[np.repeat(start - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
-        last = np.cumsum(sizes) - 1
+        ids = flat[np.repeat(start - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
+        last = np.cumsum(np.array(sizes, np.int64) + 1) - 1
         return ids, np.diff(ends[last], prepend=0)
 
 
