@@ -169,21 +169,11 @@ def contaminated(
     Items are indexed on the driver by length, and INDEX_ITEMS of them go out with each pass over the
     documents, so no more than that is ever broadcast.
     """
-    words = F.size(F.split(F.coalesce(F.col(item_text), F.lit("")), r"\s+"))
-    sized = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"), F.floor(F.log2(words + 1)).alias("c"))
-    ranked = sized.groupBy("c").count().collect()  # one row for each doubling of the length
     ddl = f"{doc_id} long, {item_id} long, score double, question_overlap double, answer_overlap double"
     schema = pa.schema([(doc_id, pa.int64()), (item_id, pa.int64()), *((c, pa.float64()) for c in ("score", "question_overlap", "answer_overlap"))])
     source = binary_text(docs.withColumn(doc_id, F.col(doc_id).cast("long")), doc_id, text)
     out = docs.sparkSession.createDataFrame([], ddl)
-    for group in _passes([(r["c"], r["count"]) for r in ranked]):
-        built = []
-        for c, part, parts in group:
-            own = sized.where((F.col("c") == c) & (F.pmod(F.xxhash64("i"), F.lit(parts)) == part))
-            built.append(build_index([(r.i, r.t) for r in own.orderBy("i").collect()], k, overlap))
-        built = [ix for ix in built if ix]
-        if not built:
-            continue
+    for built in _indexes(items, item_id, item_text, k, overlap):
         sent = docs.sparkSession.sparkContext.broadcast(built)
 
         def run(batches, sent=sent):
@@ -201,6 +191,39 @@ def contaminated(
     return out
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = 5, overlap: float = 0.8) -> DataFrame:
+    """The rows that contaminated() finds no test item in, with all their columns; no shuffle."""
+    at = docs.columns.index(text)
+    for built in _indexes(items, item_id, item_text, k, overlap):
+        sent = docs.sparkSession.sparkContext.broadcast(built)
+
+        def run(batches, sent=sent):
+            for piece, texts in text_slices(batches, at):
+                words = [t.lower().split() for t in texts]
+                keep = np.ones(len(texts), bool)
+                for ix in sent.value:
+                    keep[[d for d, *_ in search(ix, words)]] = False
+                yield piece.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
+def _indexes(items: DataFrame, item_id: str, item_text: str, k: int, overlap: float):
+    """Lists of indexes, INDEX_ITEMS items or so in each list; an index has items of about one length."""
+    words = F.size(F.split(F.coalesce(F.col(item_text), F.lit("")), r"\s+"))
+    sized = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"), F.floor(F.log2(words + 1)).alias("c"))
+    ranked = sized.groupBy("c").count().collect()  # one row for each doubling of the length
+    for group in _passes([(r["c"], r["count"]) for r in ranked]):
+        built = []
+        for c, part, parts in group:
+            own = sized.where((F.col("c") == c) & (F.pmod(F.xxhash64("i"), F.lit(parts)) == part))
+            built.append(build_index([(r.i, r.t) for r in own.orderBy("i").collect()], k, overlap))
+        built = [ix for ix in built if ix]
+        if built:
+            yield built
+
+
 def _passes(counts: list[tuple[int, int]]) -> list[list[tuple[int, int, int]]]:
     """Deal the lengths' items to passes of about INDEX_ITEMS items: lists of (length class, part, parts)."""
     out, room = [], 0

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from foldsmith.llm import crf
 from foldsmith.llm._sample import bounded_sample
-from foldsmith.llm._text import binary_text, record, text_slices
+from foldsmith.llm._text import text_slices
 
 #: Documents that the model is trained on at most, about; words of one of them that are used.
 SAMPLE, SAMPLE_WORDS, MAX_LABELS = 2500, 512, 64
@@ -52,14 +52,14 @@ def hash_int(s: str) -> int:
     return zlib.crc32(s.encode())
 
 
-def identify(docs: DataFrame, model: crf.Model | None, doc_id: str = "doc_id", text: str = "text", keep: tuple = ()) -> DataFrame:
-    """(doc_id, *keep, lang_pred, score) for every row.
+def identify(docs: DataFrame, model: crf.Model | None, doc_id: str = "doc_id", text: str = "text", keep: tuple = (), with_text: bool = False) -> DataFrame:
+    """(doc_id, *keep[, text], lang_pred, score) for every row.
 
     `und` with score 0 where the text is null or has no letter, or nothing was learned. Only the text
     enters. One pass, no shuffle.
     """
     kept = [docs.schema[c] for c in keep]
-    ddl = ", ".join([f"{doc_id} long", *(f"{f.name} {f.dataType.simpleString()}" for f in kept), "lang_pred string", "score double"])
+    ddl = ", ".join([f"{doc_id} long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *[f"{text} string"] * with_text, "lang_pred string", "score double"])
     sent, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches):
@@ -73,10 +73,10 @@ def identify(docs: DataFrame, model: crf.Model | None, doc_id: str = "doc_id", t
                 best = sums.argmax(axis=1)
                 pred = [model.labels[b] if c else NONE for b, c in zip(best, n)]
                 score = np.clip(sums.max(axis=1) / np.maximum(n, 1), 0, 1)
-            cols = [piece.column(i) for i in range(len(kept) + 1)] + [pa.array(pred), pa.array(score)]
-            yield pa.RecordBatch.from_arrays(cols, [doc_id, *keep, "lang_pred", "score"])
+            cols = [piece.column(i) for i in range(len(kept) + 1 + with_text)] + [pa.array(pred, pa.string()), pa.array(score)]
+            yield pa.RecordBatch.from_arrays(cols, [doc_id, *keep, *[text] * with_text, "lang_pred", "score"])
 
-    return binary_text(docs.withColumn(doc_id, F.col(doc_id).cast("long")), doc_id, *keep, text).mapInArrow(run, ddl)
+    return docs.select(F.col(doc_id).cast("long").alias(doc_id), *keep, text).mapInArrow(run, ddl)
 
 
 def learning_rows(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:

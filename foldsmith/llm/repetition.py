@@ -112,6 +112,19 @@ def _per_doc(words: list[list[bytes]], min_words: int, n_docs: int) -> tuple[np.
     return covered, longest
 
 
+def _stats(texts: list[bytes], min_words: int) -> list:
+    """The columns of COLUMNS for a slice of texts."""
+    words = [t.split() for t in texts]
+    lines = [[x for x in t.split(b"\n") if x.strip()] for t in texts]
+    return [
+        np.array([len(w) for w in words], np.int64),
+        np.array([len(t.translate(None, SPACE_OR_TAIL)) for t in texts], np.int64),
+        np.array([len(t) - len(t.translate(None, SYMBOLS)) for t in texts], np.int64),
+        np.array([len(x) - len(set(x)) for x in lines], np.int64),
+        *_per_doc(words, min_words, len(texts)),
+    ]
+
+
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, longest_repeat long"
 
 
@@ -126,19 +139,7 @@ def repetition_stats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     def run(batches):
         for piece, texts in text_slices(batches):
-            words = [t.split() for t in texts]
-            lines = [[x for x in t.split(b"\n") if x.strip()] for t in texts]
-            covered, longest = _per_doc(words, min_words, len(texts))
-            yield record(
-                schema,
-                piece.column(0),
-                [len(w) for w in words],
-                [len(t.translate(None, SPACE_OR_TAIL)) for t in texts],
-                [len(t) - len(t.translate(None, SYMBOLS)) for t in texts],
-                [len(x) - len(set(x)) for x in lines],
-                covered,
-                longest,
-            )
+            yield record(schema, piece.column(0), *_stats(texts, min_words))
 
     return binary_text(docs.withColumn(doc_id, F.col(doc_id).cast("long")), doc_id, text).mapInArrow(run, f"{doc_id} long, {COLUMNS}")
 
@@ -156,3 +157,16 @@ def quality_rules(
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     verdict = (F.col("n_repeat_words") <= max_covered * F.col("n_words")) & (F.col("longest_repeat") <= max_repeat)
     return s.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict)
+
+
+def keep_quality(docs: DataFrame, text: str = "text", min_words: int = 5, max_covered: float = 0.2, max_repeat: int = 100) -> DataFrame:
+    """The rows that quality_rules would keep, with all their columns; no shuffle."""
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for piece, texts in text_slices(batches, at):
+            n, *_, covered, longest = _stats(texts, min_words)
+            keep = (n >= 10) & (100 * covered <= 20 * n) & (covered <= max_covered * n) & (longest <= max_repeat)
+            yield piece.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

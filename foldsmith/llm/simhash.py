@@ -21,7 +21,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldsmith.llm._text import binary_text, record, text_slices
@@ -52,16 +52,17 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
-    """(doc_id, fp) with fp as a signed long; one pass over the texts, no shuffle."""
-    schema = pa.schema([(doc_id, pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, keep: tuple = ()) -> DataFrame:
+    """(doc_id, *keep, fp) with fp as a signed long; keep: long columns. One pass over the texts, no shuffle."""
+    schema = pa.schema([*((c, pa.int64()) for c in (doc_id, *keep)), ("fp", pa.int64())])
 
     def run(batches):
-        for piece, texts in text_slices(batches):
+        for piece, texts in text_slices(batches, 1 + len(keep)):
             found = np.array([fingerprint(t, shingle) for t in texts], np.uint64)
-            yield record(schema, piece.column(0), found.view(np.int64))
+            yield record(schema, *piece.columns[:-1], found.view(np.int64))
 
-    return binary_text(docs.withColumn(doc_id, F.col(doc_id).cast("long")), doc_id, text).mapInArrow(run, f"{doc_id} long, fp long")
+    ddl = ", ".join(f"`{f.name}` long" for f in schema)
+    return binary_text(docs.withColumn(doc_id, F.col(doc_id).cast("long")), doc_id, *keep, text).mapInArrow(run, ddl)
 
 
 def grid_masks(n: int, distance: int) -> list[int]:
@@ -185,6 +186,27 @@ def links(fps: DataFrame, distance: int = 4, cell: int = CELL) -> DataFrame:
     return dealt.select("fp", "family", "cell", "tile").mapInArrow(run, "a long, b long").distinct()
 
 
+def roots(first: DataFrame, distance: int = 4) -> DataFrame:
+    """first (a row for each distinct fp) with the column root, the least fingerprint that links reach."""
+    comp = connected_components(materialize(links(first.select("fp"), distance), "simhash-links"))
+    return materialize(first.join(comp, first.fp == comp.node, "left").select(*first.columns, F.coalesce("component", "fp").alias("root")), "simhash-root")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 4, shingle: int = 4) -> DataFrame:
+    """One row of every component of near_duplicates, with all its columns: that of the least doc_id.
+
+    A null doc_id comes after all others. Of different texts that share the least doc_id the one with the least hash
+    stays, of rows equal in both any one. One shuffle of the texts, by a hash of doc_id and text.
+    """
+    own = docs.withColumn("_row", F.xxhash64(doc_id, text))
+    fp = materialize(fingerprints(own, doc_id, text, shingle, ("_row",)), "simhash-fp")
+    order = F.struct(F.col(doc_id).isNull().alias("null"), F.col(doc_id).alias("id"), F.col("_row").alias("row"))
+    first = materialize(fp.groupBy("fp").agg(F.min(order).alias("best")), "simhash-first")
+    stays = roots(first, distance).groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("_row"))
+    nth = F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(1)))
+    return own.join(stays, "_row", "left_semi").withColumn("_nth", nth).where("_nth = 1").select(docs.columns)
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 4, shingle: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every document.
 
@@ -195,8 +217,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     fp = materialize(fingerprints(docs, doc_id, text, shingle), "simhash-fp")
     first = materialize(fp.groupBy("fp").agg(F.min(doc_id).alias("first")), "simhash-first")
-    comp = connected_components(materialize(links(first.select("fp"), distance), "simhash-links"))
-    root = materialize(first.join(comp, first.fp == comp.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("root")), "simhash-root")
+    root = roots(first, distance)
     name = root.groupBy("root").agg(F.min("first").alias("component_id"))
     named = root.join(name, "root").select("fp", "component_id")
     return fp.join(named, "fp").select(doc_id, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

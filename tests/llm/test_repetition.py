@@ -15,15 +15,14 @@ def brute(text):
     covered = {i + j for v in seen.values() if len(v) > 1 for i in v for j in range(5)}
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     n = len(words)
-    longest = 0
-    for i in range(n if n < 400 else 0):
-        for j in range(i):
-            k = 0
-            while i + k < n and words[i + k] == words[j + k]:
-                k += 1
-            longest = max(longest, k)
-    if n >= 400:
-        longest = n - 1  # the one long text repeats one word
+
+    def again(k):
+        return len({tuple(words[i : i + k]) for i in range(n - k + 1)}) < n - k + 1
+
+    longest, high = 0, n
+    while longest < high:  # a repeat of k words has one of k - 1
+        mid = (longest + high + 1) // 2
+        longest, high = (mid, high) if again(mid) else (longest, mid - 1)
     longest = longest if longest >= 5 else 0
     failed = n < 10 or 100 * len(covered) > 20 * n
     return (n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), longest, failed, not failed and longest <= 100)
