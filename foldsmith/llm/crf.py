@@ -12,6 +12,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from foldsmith.llm._kept import Codes, kept
+
 CHAIN, GRAMS, BITS = 64, 4, 18
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -135,20 +137,12 @@ def train(docs: list[tuple[list[bytes], np.ndarray]], labels: list, epochs: int
 class Tagger:
     """Label probabilities of the words of many texts; emissions of words met are kept, up to `limit`."""
 
-    def __init__(self, model: Model, letters_only: bool = False, limit: int = 700_000):
+    def __init__(self, model: Model, letters_only: bool = False, limit: int = 300_000):
         self.model, self.letters, self.limit = model, letters_only, limit
         self.reset()
 
     def reset(self):
-        tagger = self
-
-        class Codes(dict):
-            def __missing__(self, word):
-                self[word] = code = len(self)
-                tagger.new.append(word)
-                return code
-
-        self.codes, self.new = Codes(), []
+        self.codes = Codes()
         self.emit, self.used = np.empty((1 << 12, len(self.model.labels)), np.float32), np.empty(1 << 12, bool)
 
     def tag(self, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,12 +152,12 @@ class Tagger:
         sizes = np.array([len(w) for w in words], np.int64)
         get, total = self.codes.__getitem__, len(self.codes)
         code = np.fromiter((c for w in words for c in map(get, w)), np.int64, int(sizes.sum()))
-        if self.new:
+        new, self.codes.new = self.codes.new, []
+        if new:
             while len(self.emit) < len(self.codes):
                 self.emit, self.used = np.concatenate([self.emit] * 2), np.concatenate([self.used] * 2)
-            self.emit[total : len(self.codes)] = self.model.emissions(self.new)
-            self.used[total : len(self.codes)] = [has_letter(w) for w in self.new] if self.letters else True
-            self.new = []
+            self.emit[total : len(self.codes)] = self.model.emissions(new)
+            self.used[total : len(self.codes)] = [has_letter(w) for w in new] if self.letters else True
         doc = np.repeat(np.arange(len(words)), sizes)
         keep = np.flatnonzero(self.used[code])
         doc, place = doc[keep], keep - (np.cumsum(sizes) - sizes)[doc[keep]]
@@ -177,12 +171,6 @@ def has_letter(word: bytes) -> bool:
     return word.isalpha() or any(map(str.isalpha, word.decode()))
 
 
-_TAGGERS: dict = {}
-
-
 def tagger(key: str, model: Model, letters_only: bool = False) -> Tagger:
     """The worker's tagger of a model; later tasks of the worker go on with its kept words."""
-    if key not in _TAGGERS:
-        _TAGGERS.clear()
-        _TAGGERS[key] = Tagger(model, letters_only)
-    return _TAGGERS[key]
+    return kept(("crf", key), lambda: Tagger(model, letters_only))

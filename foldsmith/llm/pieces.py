@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldsmith.llm._kept import Codes, Runs, kept
 from foldsmith.llm._text import record, text_slices
 from foldsmith.session import materialize
 
@@ -25,6 +26,8 @@ from foldsmith.session import materialize
 START, MARK = "▁", "\ud800"
 #: Least score of a piece (a lone word start has no score of its own), and that of a character spelt by its bytes.
 LEAST_SCORE, BYTES_SCORE = -50_000.0, -100_000.0
+#: Multipliers of the piece table's hash; characters of units whose paths are found side by side.
+FACTOR, MIX, SHORT = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15), 48
 #: Characters of a chunk; documents of fewer than two chunks are encoded in one.
 CHUNK = 16_384
 NONE = -np.inf
@@ -33,7 +36,7 @@ NONE = -np.inf
 class Vocabulary:
     """Pieces of a model file with their scores, and its bytes."""
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 300_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -50,7 +53,22 @@ class Vocabulary:
                 if START not in piece[1:]:
                     self.ids[piece] = (max(sp.get_score(i), LEAST_SCORE), i)
         self.longest = max(map(len, self.ids))
-        self.limit, self.known = limit, {}
+        self.limit = limit
+        self.reset()
+        # Pieces by a hash of their characters, in an open table.
+        size = 1 << 18
+        self.slot_hash, self.slot_score, self.slot_id = np.zeros(size, np.uint64), np.full(size, NONE), np.zeros(size, np.int64)
+        for piece, (score, i) in self.ids.items():
+            h = 0
+            for c in piece:
+                h = (h * int(FACTOR) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+            at = h * int(MIX) >> 46 & size - 1
+            while self.slot_hash[at]:
+                at = (at + 1) % size
+            self.slot_hash[at], self.slot_score[at], self.slot_id[at] = h, score, i
+
+    def reset(self):
+        self.codes, self.runs, self.scores = Codes(), Runs(), np.zeros(1 << 12)
 
     def forward(self, s: str, start: int = 0) -> tuple[list[float], list[str]]:
         """Best score and last piece of every prefix of s[start:]; ties go to the longest last piece."""
@@ -86,18 +104,89 @@ class Vocabulary:
 
     def segment(self, s: str) -> tuple[float, list[int]]:
         """(score, ids) of the best path through a text whose spaces are word starts."""
-        if len(self.known) > self.limit:
-            self.known.clear()
-        known, score, ids = self.known, 0.0, []
-        for u in self.units(s):
-            hit = known.get(u)
-            if hit is None:
-                hit = self.unit(u)
-                if len(u) <= 64:
-                    known[u] = hit
-            score += hit[0]
-            ids += hit[1]
-        return score, ids
+        ids, _, score = self.segment_all([self.units(s)])
+        return float(score[0]), ids.tolist()
+
+    def segment_all(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids end to end, number of ids of each, score of each) of texts given by their units."""
+        if len(self.codes) > self.limit or self.runs.n > 16 * self.limit:
+            self.reset()
+        get = self.codes.__getitem__
+        code = np.array([c for units in texts for c in map(get, units)], np.int64)
+        new, self.codes.new = self.codes.new, []
+        self._learn(new)
+        ids, length = self.runs.get(code)
+        text = np.repeat(np.arange(len(texts)), [len(u) for u in texts])
+        return ids, np.bincount(text, length, len(texts)).astype(np.int64), np.bincount(text, self.scores[code], len(texts))
+
+    def _learn(self, new: list[str]) -> None:
+        """Find the paths of units met for the first time, short ones side by side."""
+        paths: list = [None] * len(new)
+        score = np.zeros(len(new))
+        short = [i for i, u in enumerate(new) if 0 < len(u) <= SHORT]
+        for at in range(0, len(short), 8192):
+            part = short[at : at + 8192]
+            best, found = self._paths([new[i] for i in part])
+            score[part] = best
+            for i, ids in zip(part, found):
+                paths[i] = ids
+        for i, u in enumerate(new):
+            if paths[i] is None:
+                score[i], paths[i] = self.unit(u)
+        first = self.runs.count
+        self.runs.add(np.array([x for ids in paths for x in ids], np.uint32), np.array([len(ids) for ids in paths], np.int64))
+        while self.runs.count > len(self.scores):
+            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+        self.scores[first : self.runs.count] = score
+
+    def _paths(self, units: list[str]) -> tuple[np.ndarray, list]:
+        """unit() of many short units in NumPy; None for a path that needs bytes."""
+        order = sorted(range(len(units)), key=lambda i: -len(units[i]))
+        size = np.array([len(units[i]) for i in order])
+        n, width = len(units), int(size[0])
+        text = "".join(units[i].ljust(width, "\0") for i in order)
+        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, width).astype(np.uint64)
+        power = np.cumprod(np.append(np.uint64(1), np.full(self.longest, FACTOR)))
+        prefix = np.zeros((n, width + 1), np.uint64)
+        for j in range(width):
+            prefix[:, j + 1] = prefix[:, j] * FACTOR + chars[:, j] + np.uint64(1)
+        best, back, last = np.full((n, width + 1), NONE), np.zeros((n, width + 1), np.int64), np.full((n, width + 1), -1, np.int64)
+        best[:, 0] = 0
+        mask = len(self.slot_hash) - 1
+        for j in range(1, width + 1):
+            m = int(np.searchsorted(-size, -j, "right"))  # units of j characters or more
+            lo = max(0, j - self.longest)
+            h = prefix[:m, j : j + 1] - prefix[:m, lo:j] * power[j - lo : 0 : -1]
+            slot = (h * MIX >> np.uint64(46)).astype(np.int64) & mask
+            open_ = np.nonzero((self.slot_hash[slot] != h) & (self.slot_hash[slot] != 0))
+            while len(open_[0]):
+                slot[open_] = (slot[open_] + 1) & mask
+                seen = self.slot_hash[slot[open_]]
+                go = (seen != h[open_]) & (seen != 0)
+                open_ = open_[0][go], open_[1][go]
+            total = best[:m, lo:j] + np.where(self.slot_hash[slot] == h, self.slot_score[slot], NONE)
+            top = total.argmax(axis=1)  # ties go to the longest last piece
+            rows = np.arange(m)
+            value, spelt = total[rows, top], best[:m, j - 1] + BYTES_SCORE
+            piece = value > spelt
+            best[:m, j] = np.where(piece, value, spelt)
+            back[:m, j] = np.where(piece, lo + top, j - 1)
+            last[:m, j] = np.where(piece, self.slot_id[slot[rows, top]], -1)
+        at, trail = size.copy(), []
+        spelt = np.zeros(n, bool)
+        while at.any():
+            ids = np.where(at > 0, last[np.arange(n), at], -2)
+            spelt |= ids == -1
+            trail.append(ids)
+            at = back[np.arange(n), at]
+        trail = np.array(trail[::-1]).T.tolist()
+        paths: list = [None] * n
+        for k, i in enumerate(order):
+            if not spelt[k]:
+                paths[i] = [x for x in trail[k] if x >= 0]
+        score = np.zeros(n)
+        score[order] = best[np.arange(n), size]
+        return score, paths
 
     def normalise(self, text: str) -> str:
         """Spaces as word starts, one more in front; an empty text stays empty."""
@@ -168,14 +257,9 @@ def cut_states(mats: np.ndarray) -> np.ndarray:
     return states
 
 
-_VOCABULARIES: dict = {}
-
-
 def vocabulary(path: str) -> Vocabulary:
     """The worker's vocabulary of a model file; later tasks of the worker go on with its kept units."""
-    if path not in _VOCABULARIES:
-        _VOCABULARIES[path] = Vocabulary(path)
-    return _VOCABULARIES[path]
+    return kept(("pieces", path), lambda: Vocabulary(path))
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", chunk: int = CHUNK) -> DataFrame:
@@ -205,9 +289,11 @@ def _encode_whole(docs: DataFrame, model: str, text: str) -> DataFrame:
 
     def run(batches):
         voc = vocabulary(model)
-        for piece, texts in text_slices(batches, at):
-            got = [voc.segment(voc.normalise(t.decode())) for t in texts]
-            more = [pa.array([len(i) for _, i in got], pa.int64()), pa.array([s for s, _ in got], pa.float64()), pa.array([np.array(i, "<u4").tobytes() for _, i in got], pa.binary())]
+        for piece, texts in text_slices(batches, at, 1 << 20):
+            ids, size, score = voc.segment_all([voc.units(voc.normalise(t.decode())) for t in texts])
+            ends = np.cumsum(size)
+            cells = [ids[b - n : b].astype("<u4").tobytes() for b, n in zip(ends, size)]
+            more = [pa.array(size, pa.int64()), pa.array(score, pa.float64()), pa.array(cells, pa.binary())]
             yield pa.RecordBatch.from_arrays([*piece.columns, *more], names)
 
     return docs.mapInArrow(run, ddl)

@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldsmith.llm._kept import Codes, Runs, kept
 from foldsmith.llm._text import record, text_slices
 from foldsmith.session import drop_scratch, materialize, scratch_path
 
@@ -106,19 +107,6 @@ def decode_blocks(coded: list[tuple[bytes, bytes, int]], freq: np.ndarray, cum:
     return out
 
 
-class Codes(dict):
-    """Numbers of keys; a key not met before gets the next number and is put on the list `new`."""
-
-    def __init__(self, first: int):
-        self.next, self.new = first, []
-
-    def __missing__(self, key):
-        self[key] = code = self.next
-        self.next += 1
-        self.new.append(key)
-        return code
-
-
 class WordEncoder:
     """Byte-level BPE ids of whole texts, by the tokenizers library, one call for each different word.
 
@@ -138,8 +126,8 @@ class WordEncoder:
 
     def reset(self):
         self.pieces, self.parts = Codes(1), {}  # pieces stand after a space; code 0 is the end id
-        self.flat, self.n = np.full(1 << 16, self.end, np.uint32), 1
-        self.start, self.length = np.zeros(1 << 12, np.int64), np.ones(1 << 12, np.int64)
+        self.runs = Runs()
+        self.runs.add(np.array([self.end]), np.array([1]))
 
     def _cut(self, piece: str) -> list[str]:
         """Parts whose ids, one after the other, are those of the piece after a space."""
@@ -173,16 +161,7 @@ class WordEncoder:
         got = [parts[c[0]] if len(c) == 1 else [i for x in c for i in parts[x]] for c in cut]
         if len(parts) > self.limit // 2:
             self.parts = {}
-        length = np.array([len(x) for x in got], np.int64)
-        total, first = int(length.sum()), self.pieces.next - len(new)
-        while self.n + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.pieces.next > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-        self.flat[self.n : self.n + total] = [i for x in got for i in x]
-        self.start[first : self.pieces.next] = self.n + np.cumsum(length) - length
-        self.length[first : self.pieces.next] = length
-        self.n += total
+        self.runs.add(np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id, laid end to end; number of ids of each)."""
@@ -200,28 +179,19 @@ class WordEncoder:
             sizes.append(len(pieces))
         self._learn()
         code = np.array(codes, np.int64)
-        start, length = self.start[code], self.length[code]
+        ids, length = self.runs.get(code)
         # What stands before a text's first space has no space before it.
         first = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(heads, add_special_tokens=False)]
-        base = self.n
-        flat = np.concatenate([self.flat[:base], *first]) if first else self.flat
-        size = np.array([len(f) for f in first], np.int64)
         at = np.cumsum(sizes) - sizes
-        start, length = np.insert(start, at, base + np.cumsum(size) - size), np.insert(length, at, size)
-        ends = np.cumsum(length)
-        ids = flat[np.repeat(start - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
+        ids = np.insert(ids, np.repeat(np.append(0, np.cumsum(length))[at], [len(f) for f in first]), np.concatenate([*first, np.empty(0, np.uint32)]))
+        ends = np.cumsum(np.insert(length, at, [len(f) for f in first]))
         last = np.cumsum(np.array(sizes, np.int64) + 1) - 1
         return ids, np.diff(ends[last], prepend=0)
 
 
-_ENCODERS: dict = {}
-
-
 def encoder(path: str, end: int) -> WordEncoder:
     """The worker's encoder of a vocabulary file; later tasks of the worker go on with it."""
-    if (path, end) not in _ENCODERS:
-        _ENCODERS[path, end] = WordEncoder(path, end)
-    return _ENCODERS[path, end]
+    return kept(("rans", path, end), lambda: WordEncoder(path, end))
 
 
 RAW = "shard int, block int, first_token long, doc_ids binary, lens binary, ids binary, counts binary"
