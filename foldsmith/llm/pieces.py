@@ -22,8 +22,8 @@ from foldsmith.llm._kept import Codes, Runs, kept
 from foldsmith.llm._text import record, text_slices
 from foldsmith.session import materialize
 
-#: The sign of a word start, and what stands for that sign where the text itself has it.
-START, MARK = "▁", "\ud800"
+#: The sign of a word start, what stands for that sign where the text itself has it, and a cut between units; no text has the last two.
+START, MARK, CUT = "▁", "\ud800", "\ud801"
 #: Least score of a piece (a lone word start has no score of its own), and that of a character spelt by its bytes.
 LEAST_SCORE, BYTES_SCORE = -50_000.0, -100_000.0
 #: Multipliers of the piece table's hash; characters of units whose paths are found side by side.
@@ -36,7 +36,7 @@ NONE = -np.inf
 class Vocabulary:
     """Pieces of a model file with their scores, and its bytes."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 600_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -53,6 +53,7 @@ class Vocabulary:
                 if START not in piece[1:]:
                     self.ids[piece] = (max(sp.get_score(i), LEAST_SCORE), i)
         self.longest = max(map(len, self.ids))
+        self.line_ends = not any("\n" in p for p in self.ids)
         self.limit = limit
         self.reset()
         # Pieces by a hash of their characters, in an open table.
@@ -98,9 +99,9 @@ class Vocabulary:
         return best[len(s)], [i for part in reversed(out) for i in part]
 
     def units(self, s: str) -> list[str]:
-        """The words of a text of pieces, each with its word start."""
-        head, *rest = s.split(START)
-        return [head] * bool(head) + [START + x for x in rest]
+        """The text cut before word starts and, as no piece has them, around line ends; some units may be empty."""
+        s = s.replace(START, CUT + START)
+        return (s.replace("\n", f"{CUT}\n{CUT}") if self.line_ends else s).split(CUT)
 
     def segment(self, s: str) -> tuple[float, list[int]]:
         """(score, ids) of the best path through a text whose spaces are word starts."""
