@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foldsmith.plans import content
+from foldsmith.plans import boxes, content, similarity
 
-QUERIES = {**content.QUERIES}
-SQL = {**content.SQL}
+QUERIES = {**content.QUERIES, **boxes.QUERIES, **similarity.QUERIES}
+SQL = {**content.SQL, **boxes.SQL, **similarity.SQL}

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -29,7 +30,7 @@ def hamming(a: Column, b: Column) -> Column:
 
 def sign_bits(v: Column) -> Column:
     """A long whose bit i is set where element i is 0 or more; 64 elements."""
-    bits = F.transform(v, lambda x, i: F.when(x >= 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    bits = F.transform(v, lambda x, i: F.when(x >= 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
     return F.aggregate(bits, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
 
 
@@ -81,7 +82,7 @@ def perceptual_hashes(pixels: list[float], side: int = 32, low: int = 8) -> list
     return out
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def phash8(pixels: pd.Series) -> pd.Series:
     """perceptual_hashes of arrays of 1,024 pixels; null where they are no such array."""
     return pixels.map(lambda p: None if p is None else perceptual_hashes(list(p)))

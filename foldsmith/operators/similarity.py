@@ -153,7 +153,8 @@ def jaccard_pairs(docs: DataFrame, threshold: float, key: str = "doc_id", text:
     """
     split = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
     grams = F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: F.array_join(F.slice("w", i, words), " "))
-    sets = docs.select(F.col(key).cast("long").alias("k"), split.alias("w")).where(F.size("w") >= words)
+    # The generator keeps the split from being evaluated again for every shingle.
+    sets = docs.select(F.col(key).cast("long").alias("k"), F.explode(F.array(split)).alias("w")).where(F.size("w") >= words)
     sets = sets.select("k", F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g))).alias("s"))
     each = sets.select("k", F.size("s").alias("n"), F.explode("s").alias("g"))
     df = each.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")

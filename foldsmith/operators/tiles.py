@@ -56,6 +56,7 @@ def _apply(a, b, kernel, ddl):
     def run(x: pa.Table, y: pa.Table) -> pa.Table:
         return kernel(x, y)
 
+    b = b.select(*(F.col(c).alias(c) for c in b.columns))  # a self-join's sides need columns of their own
     return a.groupBy("_l", "_r").cogroup(b.groupBy("_l", "_r")).applyInArrow(run, ddl)
 
 
