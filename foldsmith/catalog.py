@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foldsmith.plans import boxes, content, similarity
+from foldsmith.plans import boxes, content, curves, folds, similarity
 
-QUERIES = {**content.QUERIES, **boxes.QUERIES, **similarity.QUERIES}
-SQL = {**content.SQL, **boxes.SQL, **similarity.SQL}
+QUERIES = {**content.QUERIES, **boxes.QUERIES, **similarity.QUERIES, **folds.QUERIES, **curves.QUERIES}
+SQL = {**content.SQL, **boxes.SQL, **similarity.SQL, **folds.SQL, **curves.SQL}

@@ -28,7 +28,7 @@ def balance_report(factors: DataFrame) -> DataFrame:
     """(kind, name, before, after): shares of the lines and of the factors by dataset and by class."""
     total = factors.agg(F.count("*").alias("n"), F.sum("factor").alias("s"))
     parts = factors.select(F.lit("dataset").alias("kind"), F.col("dataset").alias("name"), "factor").union(
-        factors.select(F.lit("class").alias("kind"), F.explode(F.array_distinct("classes")).cast("string").alias("name"), "factor")
+        factors.select(F.lit("class").alias("kind"), F.explode(F.transform(F.array_distinct("classes"), lambda c: c.cast("string"))).alias("name"), "factor")
     )
     g = parts.groupBy("kind", "name").agg(F.count("*").alias("c"), F.sum("factor").alias("f")).crossJoin(F.broadcast(total))
     return g.select("kind", "name", (F.col("c") / F.col("n")).alias("before"), (F.col("f") / F.col("s")).alias("after"))
