@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foldsmith.functions import boxes as B
+from foldsmith.session import scratch_path
 
 COCO = """images array<struct<id:bigint,file_name:string,width:int,height:int>>,
     annotations array<struct<id:bigint,image_id:bigint,category_id:int,bbox:array<double>,area:double,iscrowd:int>>,
@@ -40,9 +41,24 @@ def config_rows(spark: SparkSession, config: dict) -> DataFrame:
     return spark.createDataFrame(rows, "dataset string, dataset_ord int, format string, raw_class string, unified string")
 
 
+def _shown(spark: SparkSession, base: str, name: str) -> list[str]:
+    """Copies, in the shared folder, of `<base>/<split>/<name>`: Spark takes names that begin with _ for hidden. One file for each split."""
+    conf, jvm = spark._jsc.hadoopConfiguration(), spark._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{base}/*/{name}")
+    fs, to = pattern.getFileSystem(conf), scratch_path(spark, "shown")
+    out = []
+    for f in fs.globStatus(pattern) or []:
+        target = jvm.org.apache.hadoop.fs.Path(f"{to}/{f.getPath().getParent().getName()}/{name.lstrip('_')}")
+        jvm.org.apache.hadoop.fs.FileUtil.copy(fs, f.getPath(), target.getFileSystem(conf), target, False, conf)
+        out.append(target.toString())
+    if not out:
+        raise FileNotFoundError(f"no {name} below {base}")
+    return out
+
+
 def coco(spark: SparkSession, base: str, dataset: str) -> tuple[DataFrame, DataFrame]:
     """S3: `<base>/<split>/_annotations.coco.json`; boxes as they are, area with a default of w * h, crowd of 0."""
-    raw = spark.read.schema(COCO).option("multiLine", True).json(f"{base}/*/_annotations.coco.json").withColumn("split", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+    raw = spark.read.schema(COCO).option("multiLine", True).json(_shown(spark, base, "_annotations.coco.json")).withColumn("split", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
     head = [F.lit(dataset).alias("dataset"), "split"]
     images = raw.select("split", F.explode("images").alias("i")).select(*head, F.col("i.id").alias("old_id"), "i.file_name", "i.width", "i.height")
     names = raw.select("split", F.explode("categories").alias("c")).select("split", F.col("c.id").alias("category_id"), F.col("c.name").alias("raw_class"))
@@ -62,7 +78,9 @@ def yolo(spark: SparkSession, label_glob: str, sizes: DataFrame, dataset: str) -
     """One text file for each image, lines `class cx cy w h`; sizes: stem, file_name, width, height. Images without a label file drop."""
     stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.txt$", 1)
     lines = spark.read.text(label_glob).select(stem.alias("stem"), F.split(F.trim("value"), r"\s+").alias("t"))
-    files = spark.read.format("binaryFile").load(label_glob).select(F.regexp_extract("path", r"([^/]+)\.txt$", 1).alias("stem"))
+    # An empty file has no rows, so the names come from the reader's file index, which the driver holds anyway.
+    found = [(x.rsplit("/", 1)[-1].removesuffix(".txt"),) for x in spark.read.text(label_glob).inputFiles()]
+    files = spark.createDataFrame(found, "stem string")
     images = sizes.join(files, "stem", "left_semi").select(F.lit(dataset).alias("dataset"), F.lit(None).cast("string").alias("split"), F.col("stem").alias("old_id"), "file_name", "width", "height")
     n = [F.col("t")[k].cast("double") for k in range(1, 5)]
     ann = lines.where(F.size("t") >= 5).join(sizes, "stem")
