@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,26 +33,51 @@ def _iou(d: np.ndarray, g: np.ndarray, crowd: np.ndarray) -> np.ndarray:
     return np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
 
 
-def match_image(dets: pd.DataFrame, truth: pd.DataFrame, most: int = 100) -> pd.DataFrame:
-    """For one image and class, each detection by score takes the free true box of greatest overlap at each threshold.
+def match(over: np.ndarray, crowd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hit, ignored) by threshold and detection; over: overlaps of detections, best score first, with true boxes.
 
-    Returns score, threshold, hit and ignored (matched to a crowd box) by detection.
+    At every threshold each detection takes the free true box of greatest overlap at or above it, the later one
+    on ties; one that finds none but overlaps a crowd box is ignored.
     """
-    dets = dets.sort_values(["score", "det"], ascending=[False, True], kind="stable").head(most)
-    crowd = truth["crowd"].to_numpy(bool) if len(truth) else np.empty(0, bool)
-    over = _iou(dets[["x", "y", "w", "h"]].to_numpy(float), truth[["x", "y", "w", "h"]].to_numpy(float), crowd) if len(truth) else np.zeros((len(dets), 0))
-    rows = []
-    for t in THRESHOLDS:
-        free = np.ones(len(truth), bool)
-        for i, (score, det) in enumerate(zip(dets["score"], dets["det"])):
-            ok = np.where(free & ~crowd & (over[i] >= min(t, 1 - 1e-10)), over[i], -1.0)
-            j = len(ok) - 1 - int(np.argmax(ok[::-1])) if len(ok) else -1
-            if j >= 0 and ok[j] >= 0:
-                free[j] = False
-                rows.append((score, det, t, True, False))
+    hit, ignored = (np.zeros((len(THRESHOLDS), len(over)), bool) for _ in range(2))
+    for k, t in enumerate(THRESHOLDS):
+        free = ~crowd
+        for i, row in enumerate(over):
+            ok = np.where(free & (row >= min(t, 1 - 1e-10)), row, -1.0)
+            if len(ok) and ok.max() >= 0:
+                free[len(ok) - 1 - int(ok[::-1].argmax())] = False
+                hit[k, i] = True
             else:
-                rows.append((score, det, t, False, bool((crowd & (over[i] >= t)).any())))
-    return pd.DataFrame(rows, columns=["score", "det", "t", "hit", "ignored"])
+                ignored[k, i] = bool((crowd & (row >= t)).any())
+    return hit, ignored
+
+
+def _match_all(dets: pa.Table, truth: pa.Table, most: int = 100) -> pa.Table:
+    """match() of every image and class of a bucket of images."""
+    cols = lambda t, names: [t[n].to_numpy() for n in names]
+    image, cls, det, score = cols(dets, ("image_id", "class_id", "det", "score"))
+    t_image, t_cls, t_crowd = cols(truth, ("image_id", "class_id", "crowd"))
+    box, t_box = (np.stack(cols(t, "xywh"), axis=1).astype(float) if t.num_rows else np.empty((0, 4)) for t in (dets, truth))
+    order = np.lexsort((det, -score, cls, image))
+    t_order = np.lexsort((t_cls, t_image))
+    t_key = np.rec.fromarrays([t_image[t_order], t_cls[t_order]], names="a,b") if len(t_order) else None
+    key = np.stack([image[order], cls[order]], axis=1) if len(order) else np.empty((0, 2))
+    cuts = np.append(np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1))), len(order)) if len(order) else np.array([0])
+    parts: list = []
+    for a, b in zip(cuts, cuts[1:]):
+        rows = order[a:b][:most]
+        own = np.empty(0, np.int64)
+        if t_key is not None:
+            probe = np.rec.array((image[rows[0]], cls[rows[0]]), dtype=t_key.dtype)
+            own = t_order[np.searchsorted(t_key, probe, "left") : np.searchsorted(t_key, probe, "right")]
+        crowd = t_crowd[own].astype(bool) if len(own) else np.empty(0, bool)
+        over = _iou(box[rows], t_box[own], crowd) if len(own) else np.zeros((len(rows), 0))
+        parts.append((rows, *match(over, crowd)))
+    n = len(THRESHOLDS)
+    rows = np.concatenate([np.tile(p[0], n) for p in parts]) if parts else np.empty(0, np.int64)
+    flat = lambda k: np.concatenate([p[k].ravel() for p in parts]) if parts else np.empty(0, bool)
+    t = np.concatenate([np.repeat(THRESHOLDS, len(p[0])) for p in parts]) if parts else np.empty(0)
+    return pa.table({"image_id": image[rows], "class_id": cls[rows], "score": score[rows], "det": det[rows], "t": t, "hit": flat(1), "ignored": flat(2)})
 
 
 def average_precision(detections: DataFrame, truth: DataFrame, classes: DataFrame) -> DataFrame:
@@ -63,14 +88,10 @@ def average_precision(detections: DataFrame, truth: DataFrame, classes: DataFram
     by score, the precision is made monotone from the right and sampled at recalls 0, 0.01, ..., 1.
     """
 
-    def kernel(key, d: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        out = match_image(d, g)
-        out.insert(0, "image_id", key[0])
-        out.insert(1, "class_id", key[1])
-        return out
-
     ddl = "image_id long, class_id int, score double, det long, t double, hit boolean, ignored boolean"
-    matched = detections.groupBy("image_id", "class_id").cogroup(truth.groupBy("image_id", "class_id")).applyInPandas(kernel, ddl)
+    buckets = max(1, -(-detections.count() // 20_000))
+    own = F.pmod(F.xxhash64("image_id"), F.lit(buckets)).alias("_b")
+    matched = detections.select("*", own).groupBy("_b").cogroup(truth.select("*", own).groupBy("_b")).applyInArrow(lambda d, g: _match_all(d, g), ddl)
     support = truth.where(~F.col("crowd")).groupBy("class_id").agg(F.count("*").alias("support"))
     run = Window.partitionBy("class_id", "t").orderBy(F.desc("score"), "image_id", "det").rowsBetween(Window.unboundedPreceding, 0)
     hits = F.sum(F.col("hit").cast("long")).over(run)
