@@ -17,7 +17,8 @@ def op1_simhash(spark, sf_dir):
 
 def op7_repetition(spark, sf_dir):
     """Quality rules on repetition over all documents."""
-    return repetition.quality_rules(table(spark, sf_dir, "documents"))
+    out = repetition.quality_rules(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op4_rans(spark, sf_dir):

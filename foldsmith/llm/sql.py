@@ -27,4 +27,20 @@ SELECT c.chosen_id, c.rejected_id, c.n_common, x.prompt, x.rest AS chosen, y.res
 FROM c JOIN g x ON x.conv_id = c.chosen_id JOIN g y ON y.conv_id = c.rejected_id
 """
 
-SQL: dict[str, str] = {"op8_preference": OP8}
+# A repeat of more than 100 words is a window of 101 words found twice.
+OP7 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5),
+g AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i : i + 4]) AS c FROM i),
+p AS (SELECT r, count(DISTINCT i + k) AS n FROM g, range(5) x(k) WHERE c > 1 GROUP BY 1),
+j AS (SELECT d.r, d.w, unnest(range(1, len(d.w) - 99)) AS i FROM d JOIN p USING (r) WHERE p.n > 100 AND len(d.w) > 101),
+q AS (SELECT r, count(*) > count(DISTINCT w[i : i + 100]) AS long FROM j GROUP BY 1),
+l AS (SELECT r, count(*) - count(DISTINCT x) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY 1),
+s AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+        coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(p.n, 0)::BIGINT AS n_repeat_words, coalesce(q.long, false) AS long
+      FROM d LEFT JOIN p USING (r) LEFT JOIN q USING (r) LEFT JOIN l USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR long) AS kept FROM s
+"""
+
+SQL: dict[str, str] = {"op7_repetition": OP7, "op8_preference": OP8}
