@@ -107,6 +107,10 @@ def decode_blocks(coded: list[tuple[bytes, bytes, int]], freq: np.ndarray, cum:
     return out
 
 
+#: Signs that end a word as a pre-token of their own.
+SIGNS = ".,;:!?*#$%&|"
+
+
 class WordEncoder:
     """Byte-level BPE ids of whole texts, by the tokenizers library, one call for each different word.
 
@@ -122,30 +126,30 @@ class WordEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
         self.tok, self.end, self.limit = Tokenizer.from_file(path), end, limit
         self.size = max(self.tok.get_vocab_size(), end + 1)
+        self.line_end = self.tok.encode("\n", add_special_tokens=False).ids[0]
         self.reset()
 
     def reset(self):
-        self.pieces, self.parts = Codes(1), {}  # pieces stand after a space; code 0 is the end id
+        self.pieces = Codes(1)  # pieces stand after a space; code 0 is the end id
+        self.reset_parts()
         self.runs = Runs()
         self.runs.add(np.array([self.end]), np.array([1]))
 
+    def reset_parts(self):
+        self.parts, self.part_runs = Codes(), Runs()
+
     def _cut(self, piece: str) -> list[str]:
-        """Parts whose ids, one after the other, are those of the piece after a space."""
-        if piece.isalpha():
-            return [" " + piece]
-        out, space = [], " "
+        """Parts whose ids, one after the other, are those of a piece after a space that is not letters and signs alone."""
         lines = piece.split("\n")
-        if len(lines) > 1 and not all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
-            return [" " + piece]  # white space in a row
+        if len(lines) == 1 or not all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
+            return [" " + piece]  # one part, as white space in a row is
+        out, space = [], " "
         for k, line in enumerate(lines):
             if k:
                 out.append("\n")
                 space = ""
-            base = line.rstrip(".,;:!?*#$%&|")
-            if base and len(base) < len(line) and base.isalpha():
-                out += [space + base, line[len(base) :]]
-            else:
-                out.append(space + line)
+            base = line.rstrip(SIGNS)
+            out += [space + base, line[len(base) :]] if base and len(base) < len(line) and base.isalpha() else [space + line]
         return out
 
     def _learn(self) -> None:
@@ -153,15 +157,49 @@ class WordEncoder:
         new, self.pieces.new = self.pieces.new, []
         if not new:
             return
-        cut = [self._cut(p) for p in new]
-        parts = self.parts
-        fresh = [x for x in dict.fromkeys(x for c in cut for x in c) if x not in parts]
-        for x, e in zip(fresh, self.tok.encode_batch_fast(fresh, add_special_tokens=False)):
-            parts[x] = e.ids
-        got = [parts[c[0]] if len(c) == 1 else [i for x in c for i in parts[x]] for c in cut]
-        if len(parts) > self.limit // 2:
-            self.parts = {}
-        self.runs.add(np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64))
+        if len(self.parts) > self.limit // 2:
+            self.reset_parts()
+        get = self.parts.__getitem__
+        flat, size = [], []
+        for p in new:
+            if p.isalpha():
+                flat.append(get(" " + p))
+                size.append(1)
+                continue
+            base = p.rstrip(SIGNS)
+            if base and base.isalpha():
+                flat += (get(" " + base), get(p[len(base) :]))
+                size.append(2)
+            else:
+                codes = [get(x) for x in self._cut(p)]
+                flat += codes
+                size.append(len(codes))
+        self._learn_parts()
+        ids, length = self.part_runs.get(np.array(flat, np.int64))
+        first = np.cumsum(size) - size
+        self.runs.add(ids, np.add.reduceat(length, first))
+
+    def _learn_parts(self) -> None:
+        """Encode the parts met for the first time; many words go through the library as the lines of one text.
+
+        A word with a space before it and no other white space keeps its ids between line ends, and no word has a
+        line end's id.
+        """
+        new, self.parts.new = self.parts.new, []
+        ids: list = [None] * len(new)
+        word = [i for i, x in enumerate(new) if x[0] == " " and x[1:].isalpha()]
+        for at in range(0, len(word), 1000):
+            own = word[at : at + 1000]
+            got = np.array(self.tok.encode_batch_fast(["\n".join([new[i] for i in own])], add_special_tokens=False)[0].ids, np.uint32)
+            lines = np.split(got, np.flatnonzero(got == self.line_end))
+            if len(lines) == len(own):
+                for k, (i, x) in enumerate(zip(own, lines)):
+                    ids[i] = x[1:] if k else x
+        rest = [i for i, x in enumerate(ids) if x is None]
+        for i, e in zip(rest, self.tok.encode_batch_fast([new[i] for i in rest], add_special_tokens=False)):
+            ids[i] = np.array(e.ids, np.uint32)
+        if ids:
+            self.part_runs.add(np.concatenate(ids), np.array([len(x) for x in ids], np.int64))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id, laid end to end; number of ids of each)."""
