@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldsmith.llm._kept import Codes, Runs, kept
+from foldsmith.llm._kept import Codes, Runs, gather, kept
 from foldsmith.llm._text import record, text_slices
 from foldsmith.session import drop_scratch, materialize, scratch_path
 
@@ -186,20 +187,23 @@ class WordEncoder:
         line end's id.
         """
         new, self.parts.new = self.parts.new, []
-        ids: list = [None] * len(new)
+        done, flat, size = [], [], []
         word = [i for i, x in enumerate(new) if x[0] == " " and x[1:].isalpha()]
         for at in range(0, len(word), 1000):
             own = word[at : at + 1000]
             got = np.array(self.tok.encode_batch_fast(["\n".join([new[i] for i in own])], add_special_tokens=False)[0].ids, np.uint32)
-            lines = np.split(got, np.flatnonzero(got == self.line_end))
-            if len(lines) == len(own):
-                for k, (i, x) in enumerate(zip(own, lines)):
-                    ids[i] = x[1:] if k else x
-        rest = [i for i, x in enumerate(ids) if x is None]
-        for i, e in zip(rest, self.tok.encode_batch_fast([new[i] for i in rest], add_special_tokens=False)):
-            ids[i] = np.array(e.ids, np.uint32)
-        if ids:
-            self.part_runs.add(np.concatenate(ids), np.array([len(x) for x in ids], np.int64))
+            ends = np.flatnonzero(got == self.line_end)
+            if len(ends) == len(own) - 1:
+                done += own
+                flat.append(np.delete(got, ends))
+                size.append(np.diff(np.append(ends, len(got)), prepend=-1) - 1)
+        rest = sorted(set(range(len(new))).difference(done))
+        lists = [e.ids for e in self.tok.encode_batch_fast([new[i] for i in rest], add_special_tokens=False)]
+        flat.append(np.fromiter(chain.from_iterable(lists), np.uint32))
+        size.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+        size = np.concatenate(size)
+        start, order = np.cumsum(size) - size, np.argsort(np.array(done + rest, np.int64))
+        self.part_runs.add(gather(np.concatenate(flat), start[order], size[order]), size[order])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id, laid end to end; number of ids of each)."""
