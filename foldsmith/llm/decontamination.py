@@ -4,7 +4,8 @@ The inverted index holds the test items; every passage of every document is a qu
 is divided by its own threshold, so all items share the threshold 1. The threshold is the least score of a
 passage that has `overlap` of the item's shingles: each missing shingle accounts for one missing term
 at most, so it is the item's full score less its heaviest terms of that number. Hence no passage
-that would be verified is lost.
+that would be verified is lost. An item of so few distinct words that all of them may be missing by this count
+has the lightest of its shingles as its threshold, as a verified passage holds one shingle whole.
 
 Passages are pruned by upper bounds, tightest last, for many passages at once: the sum of the
 terms' greatest weights, then the sums of their greatest weights in each block of items, then the
@@ -80,7 +81,8 @@ def build_index(items: list[tuple[int, str]], k: int = 5, overlap: float = 0.8)
         weight = {w: np.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * c * (K1 + 1) / (c + norm) for w, c in tf.items()}
         missing = int((1 - overlap) * len(shingles_of(words, k)) + 1e-9)
         heavy = sorted(weight.values(), reverse=True)
-        threshold = sum(heavy[missing:]) * (1 - 1e-9)
+        least = sum(heavy[missing:]) or min(sum(weight[w] for w in set(part.split())) for part in shingles_of(words, k))
+        threshold = least * (1 - 1e-9)
         rows += [(terms[w], item // BLOCK_ITEMS, item, x / threshold) for w, x in weight.items()]
     rows.sort()
     term, block, item, weight = (np.array(c) for c in zip(*rows))
@@ -121,7 +123,7 @@ def search(ix: Index, words: list[list[bytes]]) -> list[tuple[int, int, float, f
     nth = np.arange(n_pass) - np.repeat(np.cumsum(strides) - strides, strides)
     lo = begin[text] + nth * s
     hi = np.minimum(lo + 2 * s, begin[text] + sizes[text])
-    upto = np.append(0.0, np.cumsum(np.append(ix.top, 0.0)[term]))
+    upto = np.append(0.0, np.cumsum(np.append(np.minimum(ix.top, 1.0), 0.0)[term]))  # one term of 1 is enough; large ones would cost the sums' digits
     alive = np.flatnonzero(upto[hi] - upto[lo] >= 1 - 1e-6)
     out = []
     for at in range(0, len(alive), 1024):

@@ -48,3 +48,22 @@ def test_against_brute_force(spark):
     assert len({r.doc_id for r in got}) > 20
     assert d.contaminated(df.limit(0), spark.createDataFrame(items, "item_id long, text string")).collect() == []
     assert d.contaminated(df, spark.createDataFrame([], "item_id long, text string")).collect() == []
+
+
+def test_an_item_of_one_repeated_word_beside_a_normal_item(spark):
+    """Items of one or two distinct words have no term that cannot be missing, but they neither hide other items nor are lost."""
+    rnd = random.Random(6)
+    say = lambda n: [f"w{rnd.randrange(90)}" for _ in range(n)]
+    items = [(1, "w1 " * 12), (2, " ".join(say(12))), (3, " ".join(say(11))), (4, "w2 w3 " * 7), (5, "rare " * 13), (6, " ".join(say(14)))]
+    docs = []
+    for i, (_, t) in enumerate(items):
+        for n in (0, 30, 200):
+            docs.append((10 * i + n, " ".join([*say(n), *t.split(), *say(n), "w1"])))
+    docs += [(1000 + i, " ".join(say(60))) for i in range(20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    own = spark.createDataFrame(items, "item_id long, text string")
+    want = {(a, b) for a, b, _ in brute(docs, items)}
+    assert len(want) >= 3 * len(items)
+    assert {(r.doc_id, r.item_id) for r in d.contaminated(df, own).collect()} == want
+    kept = {r.doc_id for r in d.drop_contaminated(df, own).collect()}
+    assert kept == {a for a, _ in docs} - {a for a, _ in want}
