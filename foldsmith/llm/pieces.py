@@ -7,12 +7,14 @@ states, and chunks combine by the associative max-plus product. The states at al
 matrices alone; every chunk then finds its own pieces between its two states.
 
 Scores are whole numbers in float64, so sums are exact in any order. A piece never holds a word start
-(the sign U+2581) but at its own beginning (runs of that sign, which the model scores out of reach, are left
-out), so words are units of their own, and units met are kept.
+(the sign U+2581) but at its own beginning, or is a run of that sign alone. So no piece goes on from another
+character to a word start: a word is a unit with the run of signs before it, and units met are kept.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +26,9 @@ from foldsmith.session import materialize
 
 #: The sign of a word start, what stands for that sign where the text itself has it, and a cut between units; no text has the last two.
 START, MARK, CUT = "▁", "\ud800", "\ud801"
-#: Least score of a piece (a lone word start has no score of its own), and that of a character spelt by its bytes.
+#: The beginning of a run of word starts.
+RUN = re.compile(f"[^{START}]{START}")
+#: Least score of a piece (a lone word start and the runs of it have no score of their own), and that of a character spelt by its bytes.
 LEAST_SCORE, BYTES_SCORE = -50_000.0, -100_000.0
 #: Multipliers of the piece table's hash; characters of units whose paths are found side by side.
 FACTOR, MIX, SHORT = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15), 48
@@ -50,8 +54,9 @@ class Vocabulary:
                 self.text.append(b"")
             else:
                 self.text.append(piece.replace(START, " ").encode())
-                if START not in piece[1:]:
-                    self.ids[piece] = (max(sp.get_score(i), LEAST_SCORE), i)
+                self.ids[piece] = (max(sp.get_score(i), LEAST_SCORE), i)
+                if START in piece[1:] and piece.strip(START):
+                    raise ValueError(f"piece {i} goes on to a word start, where units are cut")
         self.longest = max(map(len, self.ids))
         self.line_ends = not any("\n" in p for p in self.ids)
         self.limit = limit
@@ -86,7 +91,7 @@ class Vocabulary:
         return best, last
 
     def unit(self, s: str) -> tuple[float, list[int]]:
-        """(score, ids) of the best path through a text without a word start inside."""
+        """(score, ids) of the best path through a text, usually a run of word starts and the word after it."""
         best, last = self.forward(s)
         out, j = [], len(s)
         while j:
@@ -99,8 +104,8 @@ class Vocabulary:
         return best[len(s)], [i for part in reversed(out) for i in part]
 
     def units(self, s: str) -> list[str]:
-        """The text cut before word starts and, as no piece has them, around line ends; some units may be empty."""
-        s = s.replace(START, CUT + START)
+        """The text cut before runs of word starts and, as no piece has them, around line ends; some units may be empty."""
+        s = s.replace(START, CUT + START).replace(START + CUT, START)
         return (s.replace("\n", f"{CUT}\n{CUT}") if self.line_ends else s).split(CUT)
 
     def segment(self, s: str) -> tuple[float, list[int]]:
@@ -206,9 +211,12 @@ class Vocabulary:
         """Best scores from entry state a to exit state b of a chunk: s begins at the chunk and goes on `longest` - 1 characters beyond its `size`."""
         k = self.longest
         out = np.full((k, k), NONE)
-        sync = s.find(START, k)  # every path has a cut here
-        if 0 <= sync < size:
+        found = RUN.search(s, k - 1)
+        sync = found.end() - 1 if found else size  # every path has a cut here, before a run of word starts
+        if sync < size:
             tail = s.rfind(START, sync, size)
+            while s[tail - 1] == START:
+                tail -= 1
             mid = self.segment(s[sync:tail])[0]
             ends = self._exits(s[tail:], size - tail, 0)
             for a in range(k):

@@ -79,3 +79,41 @@ def test_documents(spark, odd, empty):
     full = pieces.encode(odd, PATH, chunk=64)
     assert {"lang", "source", "n_chars", "fp", "n_tokens", "score", "ids"} <= set(full.columns)
     assert pieces.digest(empty, PATH).collect() == []
+
+
+def test_runs_of_spaces_take_the_pieces_of_runs(voc):
+    """Indented and aligned texts, with one floor score for the lone word start and its runs, as the library's unigram mode scores them."""
+    pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    for t in ("x    return y", "a   b", "  x", "a     b"):
+        blank = [sum(not own.id_to_piece(i).strip(pieces.START) for i in ids) for ids in (voc.segment(voc.normalise(t))[1], own.encode(t))]
+        assert blank == [1, 1]  # one piece for the run, not one for each space
+    m = pb.ModelProto()
+    m.ParseFromString(open(PATH, "rb").read())
+    m.trainer_spec.model_type = 1
+    for p in m.pieces:
+        p.score = max(p.score, pieces.LEAST_SCORE)
+    sp = sentencepiece.SentencePieceProcessor(model_proto=m.SerializeToString())
+    rnd = random.Random(7)
+    for _ in range(200):
+        t = "".join("".join(rnd.choice("abcdeghinorstu") for _ in range(rnd.randint(1, 9))) + " " * rnd.choice((1, 2, 3, 4, 8, 16, 17, 40)) for _ in range(rnd.randint(1, 12)))
+        t = " " * rnd.randrange(20) + t + "x"
+        mine, theirs = voc.segment(voc.normalise(t)), sp.encode(t)
+        assert mine[0] == sum(max(own.get_score(i), pieces.LEAST_SCORE) for i in theirs)
+        assert voc.decode(mine[1]) == t
+
+
+def test_chunks_cut_inside_runs_combine_to_the_whole(voc):
+    rnd = random.Random(8)
+    for _ in range(12):
+        s = voc.normalise("".join(rnd.choice(["the", "ing", "x", "\n", " ", " " * 7, " " * 30]) for _ in range(60)) + "the" * 40)
+        n = len(s) // 40
+        bounds = [i * 40 for i in range(n)] + [len(s)]
+        mats = np.stack([voc.matrix(s[a : b + voc.longest - 1], b - a) for a, b in zip(bounds, bounds[1:])])
+        states = pieces.cut_states(mats)
+        got = [voc.segment(s[a + x : b + y]) for a, b, x, y in zip(bounds, bounds[1:], states, states[1:])]
+        want = voc.segment(s)
+        assert sum(x for x, _ in got) == want[0] == pieces.prefix_products(mats)[-1][0, 0]
+        assert voc.decode([i for _, ids in got for i in ids]) == voc.decode(want[1])
