@@ -12,6 +12,7 @@ from foldsmith.functions import names, vectors
 from foldsmith.operators import balance, ids, merge, metrics, pairs, registry, splits
 from foldsmith.operators.graph import connected_components
 from foldsmith.operators.similarity import band, cosine_pairs, hamming_pairs, jaccard_pairs, top_similar
+from foldsmith.plans import curves
 
 
 def annotations(spark, rows):
@@ -214,3 +215,12 @@ def test_perceptual_hash():
     m = rnd.random((32, 32))
     a, b = (vectors.perceptual_hashes(x.ravel().tolist()) for x in (m, np.rot90(m)))
     assert len(a) == 8 and b[0] == a[1] and vectors.perceptual_hashes([1.0]) is None
+
+
+def test_average_precision_query_reads_all_of_lineitem(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    det, truth = curves._detections(spark, sf_dir)
+    assert det.count() == lines.count() and det.select("image_id").distinct().count() == lines.select("l_orderkey").distinct().count()
+    support = {r.class_id: r.support for r in curves.average_precision(spark, sf_dir).collect()}
+    assert sum(support.values()) == lines.where("l_linenumber <= 3").count() and set(support) == {0, 1, 2, 9}
