@@ -2,8 +2,11 @@
 
 A word's emission is the sum of weights of its hashed features: byte n-grams of the word with its
 two ends marked (those at an end are its affixes) and the word itself (the lexicon). Labels follow
-each other with learned transitions. A chain is a run of `CHAIN` words of one document; all chains
-of a slice of documents go through forward-backward side by side.
+each other with learned transitions. A document is cut into chains of `CHAIN` words, and all chains
+of a slice of documents go through forward-backward side by side. The messages across the cuts come first,
+from the products of the chains' transfer matrices, so the marginals are those of the whole document.
+
+Texts are bytes; bytes that are no UTF-8 count as characters that are no letters.
 """
 
 from __future__ import annotations
@@ -51,69 +54,112 @@ class Model:
 
     def emissions(self, words: list[bytes]) -> np.ndarray:
         """Score of each label for each word."""
-        out = np.empty((len(words), len(self.labels)), np.float32)
+        out, bits = np.empty((len(words), len(self.labels)), np.float32), (len(self.weights) - 1).bit_length() - 1
         for at in range(0, len(words), 20_000):
-            feats, start = word_features(words[at : at + 20_000])
+            feats, start = word_features(words[at : at + 20_000], bits=bits)
             out[at : at + 20_000] = sum(np.add.reduceat(self.weights[f], start, axis=0) for f in feats)
         return out
 
 
 def chains(sizes: np.ndarray, chain: int = CHAIN) -> np.ndarray:
     """Token numbers by chain and place, -1 for none; sizes: tokens of each document."""
+    doc = chain_documents(sizes, chain)
     n = -(-sizes // chain)
-    doc = np.repeat(np.arange(len(sizes)), n)
     first = (np.cumsum(sizes) - sizes)[doc] + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * chain
     end = np.cumsum(sizes)[doc]
     at = first[:, None] + np.arange(chain)
     return np.where(at < end[:, None], at, -1)
 
 
-def marginals(emit: np.ndarray, trans: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(label probabilities by token of `emit`; sums of pair probabilities): forward-backward over all chains."""
+def chain_documents(sizes: np.ndarray, chain: int = CHAIN) -> np.ndarray:
+    """The document of each chain, ascending."""
+    return np.repeat(np.arange(len(sizes)), -(-sizes // chain))
+
+
+def _messages(p: np.ndarray, a: np.ndarray, there: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(chains that go on from another, forward message into each chain, backward message into its end).
+
+    A chain's transfer matrix leads from the label before it (its own first one in a document's first chain) to its last.
+    """
+    length, n, k = p.shape
+    goes_on = np.append(False, doc[1:] == doc[:-1])
+    before, after = np.ones((n, k), np.float32), np.ones((n, k), np.float32)
+    some = np.flatnonzero(goes_on | np.append(goes_on[1:], False))
+    if not len(some):
+        return goes_on, before, after
+    m = np.where(goes_on[some][:, None, None], a, np.eye(k, dtype=np.float32)) * p[0, some][:, None, :]
+    for t in range(1, length):
+        m = np.where(there[t, some][:, :, None], (m @ a) * p[t, some][:, None, :], m)
+        m /= m.max(axis=(1, 2), keepdims=True)
+    at = np.arange(len(some))
+    nth = at - np.maximum.accumulate(np.where(goes_on[some], 0, at))
+    ranks = np.split(np.argsort(nth, kind="stable"), np.cumsum(np.bincount(nth))[:-1])
+    end = m.sum(axis=1)  # right for first chains
+    for r in ranks[1:]:
+        before[some[r]] = end[r - 1] / end[r - 1].sum(axis=1, keepdims=True)
+        end[r] = (before[some[r]][:, None, :] @ m[r])[:, 0]
+    for r in ranks[:0:-1]:
+        y = (m[r] @ after[some[r]][:, :, None])[:, :, 0]
+        after[some[r - 1]] = y / y.sum(axis=1, keepdims=True)
+    return goes_on, before, after
+
+
+def marginals(emit: np.ndarray, trans: np.ndarray, at: np.ndarray, doc: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(label probabilities by token of `emit`; sums of pair probabilities): forward-backward over all chains.
+
+    doc: the document of each chain, ascending; without it every chain stands alone.
+    """
     n, length = at.shape
     k = emit.shape[1]
     a = np.exp(trans).astype(np.float32)
     p = np.exp(emit - emit.max(axis=1, keepdims=True)) if len(emit) else emit
-    p = np.concatenate([p, np.ones((1, k), p.dtype)])[at.T]  # place, chain, label
+    p = np.concatenate([p, np.ones((1, k), p.dtype)])[at.T].astype(np.float32)  # place, chain, label
     there = (at.T >= 0)[:, :, None]
+    goes_on, before, back = _messages(p, a, there, np.arange(n) if doc is None else doc)
     fwd = np.empty((length, n, k), np.float32)
-    fwd[0] = p[0] / p[0].sum(axis=1, keepdims=True)
+    fwd[0] = np.where(goes_on[:, None], before @ a, 1) * p[0]
+    fwd[0] /= fwd[0].sum(axis=1, keepdims=True)
     for t in range(1, length):
         x = (fwd[t - 1] @ a) * p[t]
         fwd[t] = x / x.sum(axis=1, keepdims=True)
-    back, pairs = np.ones((n, k), np.float32), np.zeros((k, k))
+    pairs = np.zeros((k, k))
     out = np.zeros((len(emit) + 1, k), np.float32)
     for t in range(length - 1, -1, -1):
         x = fwd[t] * back
         x /= x.sum(axis=1, keepdims=True)
         out[at[:, t]] = x
+        on = p[t] * back
+        last, linked = (fwd[t - 1], there[t]) if t else (before, goes_on[:, None])
+        both = last.T @ np.where(linked, on / np.maximum(((last @ a) * on).sum(axis=1, keepdims=True), 1e-30), 0)
+        pairs += both * a
         if t:
-            on = p[t] * back
-            both = fwd[t - 1].T @ np.where(there[t], on / np.maximum(((fwd[t - 1] @ a) * on).sum(axis=1, keepdims=True), 1e-30), 0)
-            pairs += both * a
             y = on @ a.T
-            back = np.where(there[t], y / y.sum(axis=1, keepdims=True), 1).astype(np.float32)
+            back = np.where(there[t], y / y.sum(axis=1, keepdims=True), back).astype(np.float32)
     return out[:-1], pairs
 
 
 def train(docs: list[tuple[list[bytes], np.ndarray]], labels: list, epochs: int = 4, rate: float = 0.3, seed: int = 11, l2: float = 1e-6) -> Model:
-    """Fit by AdaGrad on the log-likelihood of (words, label number of each word) sequences."""
+    """Fit by AdaGrad on the log-likelihood of (words, label number of each word) sequences.
+
+    Beyond 64 labels the features share fewer buckets, so a model keeps its size.
+    """
     k, rnd = len(labels), np.random.default_rng(seed)
-    size = (1 << BITS) + 1
+    bits = max(10, BITS - max(0, (k - 1).bit_length() - 6))
+    size = (1 << bits) + 1
     w, wg = np.zeros((size, k), np.float32), np.full((size, k), 1e-3, np.float32)
     tr, tg = np.zeros((k, k), np.float32), np.full((k, k), 1e-3, np.float32)
-    runs = [(words[i : i + CHAIN], y[i : i + CHAIN]) for words, y in docs for i in range(0, len(words), CHAIN)]
+    runs = [(words, y) for words, y in docs if words]
     for _ in range(epochs):
         order = rnd.permutation(len(runs))
         for lo in range(0, len(order), 128):
             batch = [runs[i] for i in order[lo : lo + 128]]
             own: dict = {}
             code = np.array([own.setdefault(x, len(own)) for words, _ in batch for x in words])
-            feats, start = word_features(list(own))
+            feats, start = word_features(list(own), bits=bits)
             emit = sum(np.add.reduceat(w[f], start, axis=0) for f in feats)[code]
-            at = chains(np.array([len(words) for words, _ in batch]))
+            sizes = np.array([len(words) for words, _ in batch])
             gold = np.concatenate([y for _, y in batch])
-            got, pairs = marginals(emit, tr, at)
+            got, pairs = marginals(emit, tr, chains(sizes), chain_documents(sizes))
             miss = -got
             miss[np.arange(len(gold)), gold] += 1
             grad = np.zeros((len(own), k), np.float32)
@@ -134,8 +180,17 @@ def train(docs: list[tuple[list[bytes], np.ndarray]], labels: list, epochs: int
     return Model(w, tr, labels)
 
 
+def runs(words: list[bytes], marks: np.ndarray | None = None, size: int = 4 * CHAIN):
+    """(words, their marks) of the runs of `size` words that a text is cut into: the rows that a CRF is trained on."""
+    for i in range(0, len(words), size):
+        yield words[i : i + size], None if marks is None else marks[i : i + size]
+
+
 class Tagger:
-    """Label probabilities of the words of many texts; emissions of words met are kept, up to `limit`."""
+    """Label probabilities of the words of many texts; emissions of words met are kept, up to `limit`.
+
+    Texts without a word have no rows. letters_only: words without a letter are left out, and those around them are neighbours.
+    """
 
     def __init__(self, model: Model, letters_only: bool = False, limit: int = 300_000):
         self.model, self.letters, self.limit = model, letters_only, limit
@@ -161,14 +216,14 @@ class Tagger:
         doc = np.repeat(np.arange(len(words)), sizes)
         keep = np.flatnonzero(self.used[code])
         doc, place = doc[keep], keep - (np.cumsum(sizes) - sizes)[doc[keep]]
-        at = chains(np.bincount(doc, minlength=len(words)))
+        left = np.bincount(doc, minlength=len(words))
         if not len(keep):
             return doc, place, np.empty((0, len(self.model.labels)), np.float32)
-        return doc, place, marginals(self.emit[code[keep]], self.model.trans, at)[0]
+        return doc, place, marginals(self.emit[code[keep]], self.model.trans, chains(left), chain_documents(left))[0]
 
 
 def has_letter(word: bytes) -> bool:
-    return word.isalpha() or any(map(str.isalpha, word.decode()))
+    return word.isalpha() or any(map(str.isalpha, word.decode("utf-8", "replace")))
 
 
 def tagger(key: str, model: Model, letters_only: bool = False) -> Tagger:

@@ -14,48 +14,78 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldsmith.llm import crf
 from foldsmith.llm._sample import bounded_sample
-from foldsmith.llm._text import binary_text, text_slices
+from foldsmith.llm._text import binary_text, record, text_slices
+from foldsmith.session import materialize
 
-#: Toxic and clean documents to learn from, about; chains of words without a toxic word that are trained on.
-TOXIC_SAMPLE, CLEAN_SAMPLE, CLEAN_CHAINS = 1500, 4500, 3000
+#: Toxic and clean documents to learn from at most; runs of words with a toxic word, and of those without one, that the CRF is trained on at most.
+TOXIC_SAMPLE, CLEAN_SAMPLE, TOXIC_RUNS, CLEAN_RUNS = 1500, 4500, 3000, 1500
 LEAST_RATIO, LEAST_LLR = 8.0, 25.0
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def _llr(n1, m1, n0, m0):
-    """Dunning's log-likelihood ratio of n1 of m1 against n0 of m0."""
-    p = (n1 + n0) / (m1 + m0)
-    term = lambda n, m: (n * np.log(n / (m * p)) if n else 0) + ((m - n) * np.log((m - n) / (m * (1 - p))) if m > n else 0)
-    return 2 * (term(n1, m1) + term(n0, m0)) if 0 < p < 1 else 0.0
-
-
-def toxic_forms(docs: list[tuple[list[bytes], int]]) -> set[bytes]:
-    """Words, and beginnings of five bytes with a * after them, that keep to toxic documents."""
-    n = [{}, {}]
-    total = [0, 0]
-    for words, y in docs:
-        total[y] += 1
-        seen = set(words)
-        for form in seen | {w[:5] + b"*" for w in seen if len(w) > 5}:
-            n[y][form] = n[y].get(form, 0) + 1
-    out = set()
-    for form, a in n[1].items():
-        b = n[0].get(form, 0)
-        ratio = (a + 0.5) / (total[1] + 1) / ((b + 0.5) / (total[0] + 1))
-        if ratio >= LEAST_RATIO and _llr(a, total[1], b, total[0]) >= LEAST_LLR:
-            out.add(form)
-    return out
+def forms_of(words: set[bytes]) -> set[bytes]:
+    """Words, and beginnings of five bytes with a * after them."""
+    return words | {w[:5] + b"*" for w in words if len(w) > 5}
+
+
+def toxic_forms(rows: DataFrame) -> set[bytes]:
+    """Forms of the words of (y, text) rows that keep to toxic documents; counted in documents."""
+    schema = pa.schema([("form", pa.binary()), ("y", pa.int64()), ("n", pa.int64())])
+
+    def run(batches):
+        for piece, texts in text_slices(batches):
+            n: dict = {}
+            for y, t in zip(piece.column(0).to_pylist(), texts):
+                for form in forms_of(set(t.lower().split())):
+                    n[form, y] = n.get((form, y), 0) + 1
+            if n:
+                yield record(schema, [f for f, _ in n], [y for _, y in n], list(n.values()))
+
+    total = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    m1, m0 = total[1], total[0]
+    counts = rows.mapInArrow(run, "form binary, y long, n long").groupBy("form").agg(*(F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).alias(f"n{y}") for y in (1, 0)))
+    p = (F.col("n1") + F.col("n0")) / (m1 + m0)
+    term = lambda n, m: F.when(n > 0, n * F.log(n / (m * p))).otherwise(0.0) + F.when(n < m, (m - n) * F.log((m - n) / (m * (1 - p)))).otherwise(0.0)
+    llr = 2 * (term(F.col("n1"), F.lit(m1)) + term(F.col("n0"), F.lit(m0)))
+    ratio = (F.col("n1") + 0.5) / (m1 + 1) / ((F.col("n0") + 0.5) / (m0 + 1))
+    # Each has such a ratio in a sample of bounded size, so few forms come to the driver.
+    return {bytes(r.form) for r in counts.where((ratio >= LEAST_RATIO) & (llr >= LEAST_LLR)).select("form").collect()}
 
 
 def is_toxic(word: bytes, forms: set[bytes]) -> bool:
     return word in forms or len(word) > 5 and word[:5] + b"*" in forms
 
 
+def sampled_runs(rows: DataFrame, forms: set[bytes], toxic: int = TOXIC_RUNS, clean: int = CLEAN_RUNS) -> list[tuple[list[bytes], np.ndarray]]:
+    """(words, labels) of runs of the (y, text) rows: some with a toxic word and some without, drawn by the hash of their words."""
+    schema = pa.schema([("hot", pa.bool_()), ("order", pa.int64()), ("words", pa.binary()), ("marks", pa.binary())])
+
+    def run(batches):
+        for piece, texts in text_slices(batches):
+            out = []
+            for y, t in zip(piece.column(0).to_pylist(), texts):
+                words = t.lower().split()
+                marks = np.array([y == 1 and is_toxic(w, forms) for w in words], np.int8)
+                for some, own in crf.runs(words, marks):
+                    line = b" ".join(some)
+                    out.append((bool(own.any()), xxhash.xxh64_intdigest(line) >> 1, line, own.tobytes()))
+            if out:
+                yield record(schema, *zip(*out))
+
+    found = materialize(rows.mapInArrow(run, "hot boolean, order long, words binary, marks binary"), "toxic-runs")
+    out = []
+    for hot, limit in ((True, toxic), (False, clean)):
+        some = found.where(F.col("hot") == hot).orderBy("order", "words", "marks").limit(limit)
+        out += [(bytes(r.words).split(), np.frombuffer(bytes(r.marks), np.int8).astype(np.int64)) for r in some.collect()]
+    return out
+
+
 class ToxicModel:
     """The CRF and the logistic weights (bias, greatest marginal, log of 1 + their sum)."""
 
@@ -76,33 +106,27 @@ def document_marginals(doc: np.ndarray, prob: np.ndarray, n: int) -> tuple[np.nd
 def train_model(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicModel | None:
     """A model from rows (key, text, label 0/1); None unless both labels occur.
 
-    labelled is a bounded sample such as sampled_rows gives; no more than three times TOXIC_SAMPLE +
-    CLEAN_SAMPLE rows (a documented bound) reach the driver.
+    labelled is a bounded sample such as sampled_rows gives; no more than twice TOXIC_SAMPLE + CLEAN_SAMPLE rows are used (a
+    documented bound, met by repeated ids alone). Their texts stay in the tasks: forms are counted and documents are
+    scored there, and TOXIC_RUNS + CLEAN_RUNS runs of words reach the driver. A null text counts as empty.
     """
-    some = labelled.where(F.col(label).isin(0, 1)).select(F.col(key).cast("string").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.col(label).alias("y"))
-    rows = some.limit(3 * (TOXIC_SAMPLE + CLEAN_SAMPLE)).collect()
-    rows.sort(key=lambda r: (r.k or "", r.t))
-    docs = [(r.t.encode().lower().split(), int(r.y)) for r in rows]
-    if len({y for _, y in docs}) < 2:
+    some = labelled.where(F.col(label).isin(0, 1)).select(F.col(key).cast("string").alias("k"), F.col(label).cast("long").alias("y"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    rows = materialize(bounded_sample(some, ["k", "y", "text"], 2 * (TOXIC_SAMPLE + CLEAN_SAMPLE)).select("y", "text"), "toxic-rows")
+    if rows.select("y").distinct().count() < 2:
         return None
-    forms = toxic_forms(docs)
-    runs, clean = [], []
-    for words, y in docs:
-        mark = np.array([y == 1 and is_toxic(w, forms) for w in words], np.int64)
-        for i in range(0, len(words), crf.CHAIN):
-            (runs if mark[i : i + crf.CHAIN].any() else clean).append((words[i : i + crf.CHAIN], mark[i : i + crf.CHAIN]))
-    clean = [clean[i] for i in np.random.default_rng(5).permutation(len(clean))[:CLEAN_CHAINS]]
-    model = crf.train(runs + clean, [0, 1], epochs=3)
-    tagger, top, total = crf.Tagger(model), [], []
-    for at in range(0, len(docs), 256):
-        part = [w for w, _ in docs[at : at + 256]]
-        doc, _, prob = tagger.tag(part)
-        a, b = document_marginals(doc, prob, len(part))
-        top.append(a)
-        total.append(b)
-    x = np.stack([np.ones(len(docs)), np.concatenate(top), np.log1p(np.concatenate(total))])
-    y = np.array([y for _, y in docs], float)
-    w, keep = np.zeros(3), np.diag([0.0, 1e-2, 1e-2]) * len(docs)
+    model = crf.train(sampled_runs(rows, toxic_forms(rows)), [0, 1], epochs=3)
+    sent, name = rows.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    schema = pa.schema([("y", pa.int64()), ("top", pa.float64()), ("total", pa.float64())])
+
+    def run(batches):
+        for piece, texts in text_slices(batches):
+            doc, _, prob = crf.tagger(name, sent.value).tag([t.lower().split() for t in texts])
+            yield record(schema, piece.column(0), *document_marginals(doc, prob, len(texts)))
+
+    found = np.array(sorted((r.y, r.top, r.total) for r in rows.mapInArrow(run, "y long, top double, total double").collect()))
+    y, top, total = found.T
+    x = np.stack([np.ones(len(y)), top, np.log1p(total)])
+    w, keep = np.zeros(3), np.diag([0.0, 1e-2, 1e-2]) * len(y)
     for _ in range(30):  # Newton's method
         p = 1 / (1 + np.exp(-(w @ x)))
         w += np.linalg.solve((x * (p * (1 - p))) @ x.T + keep * 1e-2 + 1e-6 * np.eye(3), x @ (y - p) - keep @ w * 1e-2)
@@ -113,9 +137,9 @@ def score_documents(docs: DataFrame, model: ToxicModel | None, doc_id: str = "do
     """(doc_id, score, predicted[, spans]) for every row; spans: offsets [start, end) in characters of words with a marginal of 0.5 or more.
 
     Only the text enters. Null and empty texts score as texts without a toxic word; without a model
-    every score is 0. One pass, no shuffle.
+    every score is 0. Repeated rows and null ids keep a row each, other columns are left out. One pass, no shuffle.
     """
-    ddl = f"{doc_id} long, score double, predicted int" + ", spans array<struct<start:int,end:int>>" * spans
+    ddl = f"`{doc_id}` long, score double, predicted int" + ", spans array<struct<start:int,end:int>>" * spans
     sent, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
@@ -129,7 +153,7 @@ def score_documents(docs: DataFrame, model: ToxicModel | None, doc_id: str = "do
                 hot = np.flatnonzero(prob[:, 1] >= 0.5)
                 for d in np.unique(doc[hot]).tolist() if spans else []:
                     own = set(place[hot[doc[hot] == d]].tolist())
-                    found[d] = [{"start": m.start(), "end": m.end()} for i, m in enumerate(WORD.finditer(texts[d].decode())) if i in own]
+                    found[d] = [{"start": m.start(), "end": m.end()} for i, m in enumerate(WORD.finditer(texts[d].decode("utf-8", "replace"))) if i in own]
             cols = [piece.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(found, span_type)] * spans, [doc_id, "score", "predicted"] + ["spans"] * spans)
 
@@ -145,8 +169,8 @@ def sampled_rows(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
     """(doc_id, text, toxic) of a bounded sample of the labelled documents that may teach.
 
     Of several labels of a document the greatest counts. The ids are sampled before the texts are joined, so
-    the join's small side has TOXIC_SAMPLE + CLEAN_SAMPLE rows and a third more at most.
+    the join's small side has TOXIC_SAMPLE + CLEAN_SAMPLE rows at most.
     """
     own = labels.where(~held_out(doc_id) & F.col("toxic").isin(0, 1)).groupBy(F.col(doc_id).cast("long").alias(doc_id)).agg(F.max("toxic").alias("toxic"))
-    some = [bounded_sample(own.where(F.col("toxic") == y), doc_id, n) for y, n in ((1, TOXIC_SAMPLE), (0, CLEAN_SAMPLE))]
+    some = [bounded_sample(own.where(F.col("toxic") == y), [doc_id], n) for y, n in ((1, TOXIC_SAMPLE), (0, CLEAN_SAMPLE))]
     return docs.select(F.col(doc_id).cast("long").alias(doc_id), text).join(F.broadcast(some[0].union(some[1])), doc_id)

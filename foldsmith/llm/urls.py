@@ -14,8 +14,8 @@ from foldsmith.session import materialize
 
 #: (verdict, host, path): the rules of the production query.
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
-#: Labelled URLs that the trees are trained on, about; buckets of the host suffixes' statistics.
-SAMPLE, SUFFIXES = 20_000, 1024
+#: Labelled URLs that the trees are trained on at most; suffixes whose statistics are broadcast at most.
+SAMPLE, SUFFIXES = 20_000, 100_000
 FEATURES = ["f_length", "f_depth", "f_digits", "f_entropy", "f_params", "f_host_labels", "f_suffix_n", "f_suffix_rate"]
 
 
@@ -45,35 +45,50 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     return {
         "f_length": n,
         "f_depth": F.size(F.split(path, "/")).cast("double"),
-        "f_digits": F.length(F.translate(url, "0123456789" + "x", "x")).cast("double") / n,
+        "f_digits": (F.length(url) - F.length(F.translate(url, "0123456789", ""))) / n,
         "f_entropy": F.aggregate(chars, F.lit(0.0), lambda a, c: a - share(c) * F.log(share(c))),
         "f_params": (F.size(F.split(url, "[?&]")) - 1).cast("double"),
         "f_host_labels": F.size(F.split(host, r"\.")).cast("double"),
     }
 
 
+def with_suffix_statistics(base: DataFrame, limit: int = SUFFIXES) -> DataFrame:
+    """base (host, _label and others) with f_suffix_n and f_suffix_rate: log(1 + count) and share of blocked among the
+    labelled rows of the host's last label, (n + 1) / (m + 2).
+
+    Up to `limit` suffixes are broadcast. Beyond it the frequent ones are, each at least 1 / limit of the labelled
+    rows and so no more than `limit`, and all other rows meet their suffix in a shuffle.
+    """
+    base = base.withColumn("_suffix", F.substring_index("host", ".", -1))
+    stats = base.where("_label IS NOT NULL").groupBy("_suffix").agg(F.count("*").alias("_n"), F.count_if(F.col("_label") == "block").alias("_bad"))
+    stats = materialize(stats, "url-suffixes")
+    size = stats.agg(F.count("*"), F.sum("_n")).first()
+    values = stats.select("_suffix", F.log1p("_n").alias("f_suffix_n"), ((F.col("_bad") + 1) / (F.col("_n") + 2)).alias("f_suffix_rate"))
+    if size[0] <= limit:
+        known = base.join(F.broadcast(values), "_suffix", "left")
+    else:
+        often = stats.where(F.col("_n") >= size[1] / limit).select("_suffix")
+        frequent = base.join(F.broadcast(often), "_suffix", "left_semi").join(F.broadcast(values.join(often, "_suffix")), "_suffix")
+        known = frequent.unionByName(base.join(F.broadcast(often), "_suffix", "left_anti").join(values, "_suffix", "left"))
+    return known.fillna({"f_suffix_n": 0.0, "f_suffix_rate": 0.5})
+
+
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, page_id: str = "page_id", url: str = "url") -> DataFrame:
-    """(page_id, host, path, rule, verdict) of every row.
+    """(page_id, host, path, rule, verdict) of every row; other columns are left out.
 
     A rule fits its host and all subdomains if the path starts with the rule's; the longest wins. URLs that a rule
-    fits are the labelled ones: a bounded sample of them trains the trees, which judge all others. Suffix statistics (count
-    and share of blocked among all labelled URLs by the host's last label) are hashed to SUFFIXES
-    buckets, so the table that is broadcast has no more rows. Null and empty URLs, and those without '://',
-    have an empty host and path and go to the trees too. With labels of one kind only that is the verdict; with none, `allow`.
+    fits are the labelled ones: a sample of SAMPLE of them trains the trees, which judge all others. Null and empty URLs, and
+    those without '://', have an empty host and path and go to the trees too. Repeated rows and null ids
+    keep a row each. With labels of one kind only that is the verdict; with none, `allow`.
     """
     host, path = host_and_path(F.col(url))
     base = pages.select(F.col(page_id), F.col(url).alias("_url"), host.alias("host"), path.alias("path"))
     rule, verdict = match_rules(F.col("host"), F.col("path"), rules)
     base = base.select("*", rule.alias("rule"), verdict.alias("_label"))
-    suffix = F.pmod(F.xxhash64(F.substring_index("host", ".", -1)), F.lit(SUFFIXES)).cast("int")
-    base = base.withColumn("_suffix", suffix)
-    labelled = base.where("_label IS NOT NULL")
-    stats = labelled.groupBy("_suffix").agg(F.log1p(F.count("*")).alias("f_suffix_n"), ((F.count_if(F.col("_label") == "block") + 1) / (F.count("*") + 2)).alias("f_suffix_rate"))
-    stats = materialize(stats.where(F.col("_suffix") < SUFFIXES), "url-suffixes")
-    known = base.join(F.broadcast(stats), "_suffix", "left").fillna({"f_suffix_n": 0.0, "f_suffix_rate": 0.5})
+    known = with_suffix_statistics(base)
     full = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(known.select("*", *(c.alias(k) for k, c in lexical(F.col("_url"), F.col("host"), F.col("path")).items())))
-    sample = bounded_sample(full.where("_label IS NOT NULL").select(page_id, "features", (F.col("_label") == "block").cast("double").alias("label")), page_id, SAMPLE)
-    sample = materialize(sample.select("features", "label"), "url-sample")
+    labelled = full.where("_label IS NOT NULL").select(page_id, "_url", "features", (F.col("_label") == "block").cast("double").alias("label"))
+    sample = materialize(bounded_sample(labelled, [page_id, "_url"], SAMPLE).select("features", "label"), "url-sample")
     kinds = [r.label for r in sample.select("label").distinct().collect()]
     if len(kinds) < 2:
         only = "block" if kinds == [1.0] else "allow"
