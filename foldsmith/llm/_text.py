@@ -40,3 +40,21 @@ def record(schema: pa.Schema, *columns) -> pa.RecordBatch:
     """A record batch of the schema from lists, NumPy or Arrow arrays."""
     arrays = [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema)]
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+
+def set_aside(docs: DataFrame, *names: str) -> DataFrame:
+    """docs with its columns of these names renamed to make room for new ones: `score` becomes `score_in`, or `score_in_in` if that is taken."""
+    for name in names:
+        if name in docs.columns:
+            new = name
+            while new in docs.columns or new in names:
+                new += "_in"
+            docs = docs.withColumnRenamed(name, new)
+    return docs
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name

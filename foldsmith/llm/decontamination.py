@@ -14,7 +14,6 @@ scores of the items in the blocks that are left. What reaches 1 is verified on i
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldsmith.llm._text import binary_text, record, text_slices
+from foldsmith.session import materialize
 
 #: Items of one index, and of one block of it. More items make more indexes, each with its own pass.
 INDEX_ITEMS, BLOCK_ITEMS = 20_000, 16
 K1, B = 1.2, 0.75
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 @dataclass
@@ -51,8 +52,8 @@ class Index:
 
 def split_answer(text: str) -> int:
     """Number of words of the question: all but the last sentence, or three quarters of a single sentence."""
-    words = text.split()
-    ends = [i + 1 for i, w in enumerate(words[:-1]) if re.search(r"[.?!:]$", w)]
+    words = text.encode().split()
+    ends = [i + 1 for i, w in enumerate(words[:-1]) if w[-1:] in b".?!:"]
     return ends[-1] if ends else max(1, len(words) * 3 // 4)
 
 
@@ -61,16 +62,22 @@ def shingles_of(words: list[bytes], k: int) -> list[bytes]:
     return [b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)] if k else []
 
 
-def build_index(items: list[tuple[int, str]], k: int = 5, overlap: float = 0.8) -> Index | None:
-    """The index of (item id, text) pairs; items without a word are left out."""
-    kept = [(i, (t or "").encode().lower().split(), split_answer(t or "")) for i, t in items if i is not None and (t or "").encode().split()]
+@dataclass
+class Collection:
+    """Statistics of all items that have a word: their number, mean number of words, and items that hold each word."""
+
+    n: int
+    mean: float
+    df: dict
+
+
+def build_index(items: list[tuple[int, str]], collection: Collection, k: int = 5, overlap: float = 0.8) -> Index | None:
+    """The index of some (item id, text) pairs of a collection; items without a word are left out."""
+    kept = [(i, (t or "").encode().lower().split(), split_answer(t or "")) for i, t in items if (t or "").encode().split()]
     if not kept:
         return None
-    df: dict = {}
-    for _, words, _ in kept:
-        for w in set(words):
-            df[w] = df.get(w, 0) + 1
-    n, mean = len(kept), sum(len(w) for _, w, _ in kept) / len(kept)
+    n, mean = collection.n, collection.mean
+    df = {w: collection.df[w] for _, words, _ in kept for w in words}
     terms = {w: i for i, w in enumerate(sorted(df))}
     rows = []
     for item, (_, words, _) in enumerate(kept):
@@ -165,17 +172,18 @@ def contaminated(
     A document holds an item if one of its passages (twice 1.25 times the longest item's words, every
     half of it) has at least `overlap` of the item's k-word shingles, some of them in the question and some in
     the answer; words are lower-cased A-Z and cut at ASCII white space. score: the best passage's BM25
-    over the item's threshold. Null and empty texts and items without a word match nothing; repeated
-    documents give a row each; no items or no documents give an empty result.
+    over the item's threshold. Null and empty texts and items without a word match nothing; an item without an id
+    cannot be named and is left out; repeated documents give a row each, repeated item ids one row for each document (the
+    best); no items or no documents give an empty result. Other columns are ignored.
 
     Items are indexed on the driver by length, and INDEX_ITEMS of them go out with each pass over the
-    documents, so no more than that is ever broadcast.
+    documents, so no more than that is ever broadcast. The statistics of BM25 are those of all items.
     """
-    ddl = f"{doc_id} long, {item_id} long, score double, question_overlap double, answer_overlap double"
+    ddl = f"`{doc_id}` long, `{item_id}` long, score double, question_overlap double, answer_overlap double"
     schema = pa.schema([(doc_id, pa.int64()), (item_id, pa.int64()), *((c, pa.float64()) for c in ("score", "question_overlap", "answer_overlap"))])
     source = binary_text(docs.withColumn(doc_id, F.col(doc_id).cast("long")), doc_id, text)
     out = docs.sparkSession.createDataFrame([], ddl)
-    for built in _indexes(items, item_id, item_text, k, overlap):
+    for built in _indexes(items.where(F.col(item_id).isNotNull()), item_id, item_text, k, overlap):
         sent = docs.sparkSession.sparkContext.broadcast(built)
 
         def run(batches, sent=sent):
@@ -194,7 +202,10 @@ def contaminated(
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = 5, overlap: float = 0.8) -> DataFrame:
-    """The rows that contaminated() finds no test item in, with all their columns; no shuffle."""
+    """The rows that hold no test item, as contaminated() has it, with all their columns, whatever their names; no shuffle.
+
+    Items without an id count here. Rows with null and empty texts stay, repeated rows stay or go together; without items all stay.
+    """
     at = docs.columns.index(text)
     for built in _indexes(items, item_id, item_text, k, overlap):
         sent = docs.sparkSession.sparkContext.broadcast(built)
@@ -213,14 +224,19 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", ite
 
 def _indexes(items: DataFrame, item_id: str, item_text: str, k: int, overlap: float):
     """Lists of indexes, INDEX_ITEMS items or so in each list; an index has items of about one length."""
-    words = F.size(F.split(F.coalesce(F.col(item_text), F.lit("")), r"\s+"))
-    sized = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"), F.floor(F.log2(words + 1)).alias("c"))
-    ranked = sized.groupBy("c").count().collect()  # one row for each doubling of the length
-    for group in _passes([(r["c"], r["count"]) for r in ranked]):
+    words = F.filter(F.split(F.translate(F.coalesce(F.col(item_text), F.lit("")), UPPER, UPPER.lower()), r"[\x09-\x0D\x20]+"), lambda w: w != "")
+    sized = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"), words.alias("w")).where(F.size("w") > 0)
+    sized = materialize(sized.withColumn("c", F.floor(F.log2(F.size("w") + 1))).withColumn("r", F.xxhash64("i", "t")), "items")
+    ranked = sized.groupBy("c").agg(F.count("*").alias("n"), F.sum(F.size("w")).alias("words")).collect()  # one row for each doubling of the length
+    n = sum(r.n for r in ranked)
+    df = materialize(sized.select(F.explode(F.array_distinct("w")).alias("w")).groupBy("w").agg(F.count("*").alias("df")), "items-df")
+    for group in _passes([(r["c"], r["n"]) for r in ranked]):
         built = []
         for c, part, parts in group:
-            own = sized.where((F.col("c") == c) & (F.pmod(F.xxhash64("i"), F.lit(parts)) == part))
-            built.append(build_index([(r.i, r.t) for r in own.orderBy("i").collect()], k, overlap))
+            own = sized.where((F.col("c") == c) & (F.pmod("r", F.lit(parts)) == part))
+            known = own.select(F.explode("w").alias("w")).distinct().join(df, "w").collect()  # the words of this index
+            collection = Collection(n, sum(r.words for r in ranked) / n, {r.w.encode(): r["df"] for r in known})
+            built.append(build_index([(r.i, r.t) for r in own.orderBy("i", "t").collect()], collection, k, overlap))
         built = [ix for ix in built if ix]
         if built:
             yield built

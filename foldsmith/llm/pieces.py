@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldsmith.llm._kept import Codes, Runs, kept
-from foldsmith.llm._text import record, text_slices
+from foldsmith.llm._text import record, set_aside, text_slices, unused
 from foldsmith.session import materialize
 
 #: The sign of a word start, what stands for that sign where the text itself has it, and a cut between units; no text has the last two.
@@ -274,20 +274,21 @@ def vocabulary(path: str) -> Vocabulary:
 def encode(docs: DataFrame, model: str, text: str = "text", chunk: int = CHUNK) -> DataFrame:
     """docs with n_tokens long, score double and ids binary (little-endian unsigned 32-bit integers).
 
-    Every row is kept with all its columns. A null or empty text has no ids and score 0. Documents of two
+    Every row is kept with all its columns; one that is named like a new column is renamed, `score` to `score_in`. A null or
+    empty text has no ids and score 0, bytes that are no UTF-8 count as U+FFFD, an empty table stays empty. Documents of two
     chunks or more go through the scan; all others are a single chunk and need no shuffle.
     """
     longest = Vocabulary(model).longest
     chunk = max(chunk, 2 * longest)
+    docs = set_aside(docs, "n_tokens", "score", "ids")
     size = F.length(F.coalesce(F.col(text), F.lit("")))
-    clash = {"n_tokens", "score", "ids", "_row"} & set(docs.columns)
-    docs = docs.drop(*(clash - {text}))
     short = _encode_whole(docs.where(size < 2 * chunk), model, text)
-    giants = docs.where(size >= 2 * chunk).withColumn("_row", F.monotonically_increasing_id())
-    giants = materialize(giants, "pieces-giants")
+    row = unused(docs, "_row")
+    giants = materialize(docs.where(size >= 2 * chunk).withColumn(row, F.monotonically_increasing_id()), "pieces-giants")
     if giants.isEmpty():
         return short
-    long = giants.join(_encode_chunks(giants.select("_row", text), model, text, chunk, longest), "_row").drop("_row")
+    made = _encode_chunks(giants.select(F.col(row).alias("_row"), F.col(text).alias("text")), model, chunk, longest)
+    long = giants.join(made.withColumnRenamed("_row", row), row).drop(row)
     return short.unionByName(long)
 
 
@@ -299,7 +300,7 @@ def _encode_whole(docs: DataFrame, model: str, text: str) -> DataFrame:
     def run(batches):
         voc = vocabulary(model)
         for piece, texts in text_slices(batches, at, 1 << 20):
-            ids, size, score = voc.segment_all([voc.units(voc.normalise(t.decode())) for t in texts])
+            ids, size, score = voc.segment_all([voc.units(voc.normalise(t.decode("utf-8", "replace"))) for t in texts])
             ends = np.cumsum(size)
             cells = [ids[b - n : b].astype("<u4").tobytes() for b, n in zip(ends, size)]
             more = [pa.array(size, pa.int64()), pa.array(score, pa.float64()), pa.array(cells, pa.binary())]
@@ -308,16 +309,21 @@ def _encode_whole(docs: DataFrame, model: str, text: str) -> DataFrame:
     return docs.mapInArrow(run, ddl)
 
 
-def _encode_chunks(giants: DataFrame, model: str, text: str, chunk: int, longest: int) -> DataFrame:
-    """(_row, n_tokens, score, ids) of documents of two chunks or more."""
-    s = giants.select("_row", F.concat(F.lit(" "), F.col(text)).alias("s"))
-    s = s.select("_row", "s", F.length("s").alias("n")).withColumn("chunks", F.floor(F.col("n") / chunk))
-    rows = s.select("_row", "s", "n", "chunks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("c"))
-    last = F.col("c") == F.col("chunks") - 1
-    own = F.when(last, F.col("n") - F.col("c") * chunk).otherwise(F.lit(chunk)).cast("long")
-    part = F.col("s").substr((F.col("c") * chunk + 1).cast("int"), (own + longest - 1).cast("int"))
+def _encode_chunks(giants: DataFrame, model: str, chunk: int, longest: int) -> DataFrame:
+    """(_row, n_tokens, score, ids) of documents (_row, text) of two chunks or more."""
+    cut_schema = pa.schema([("_row", pa.int64()), ("c", pa.int64()), ("size", pa.int64()), ("s", pa.string())])
+
+    def cut(batches):
+        for piece, texts in text_slices(batches):
+            for row, t in zip(piece.column(0).to_pylist(), texts):
+                s = " " + t.decode("utf-8", "replace")
+                n = len(s) // chunk
+                for c in range(n):
+                    size = chunk if c < n - 1 else len(s) - c * chunk
+                    yield record(cut_schema, [row], [c], [size], [s[c * chunk : c * chunk + size + longest - 1]])
+
     # Chunks of one document go to different tasks.
-    chunks = rows.select("_row", "c", own.alias("size"), part.alias("s")).repartition("_row", "c")
+    chunks = giants.mapInArrow(cut, "_row long, c long, size long, s string").repartition("_row", "c")
     schema = pa.schema([("_row", pa.int64()), ("c", pa.int64()), ("size", pa.int64()), ("s", pa.string()), ("m", pa.binary())])
 
     def matrices(batches):
@@ -351,13 +357,24 @@ def _encode_chunks(giants: DataFrame, model: str, text: str, chunk: int, longest
                 yield record(done_schema, [r["_row"] for r in rows], [r["c"] for r in rows], [x for x, _ in got], [np.array(i, "<u4").tobytes() for _, i in got])
 
     parts = made.drop("m").join(states, ["_row", "c"]).mapInArrow(backtrace, "_row long, c long, score double, ids binary")
-    whole = parts.groupBy("_row").agg(F.sum("score").alias("score"), F.sort_array(F.collect_list(F.struct("c", "ids"))).alias("p"))
-    ids = F.aggregate("p", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["ids"]))
-    return whole.select("_row", ids.alias("ids"), "score").select("_row", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "score", "ids")
+    whole_schema = pa.schema([("_row", pa.int64()), ("n_tokens", pa.int64()), ("score", pa.float64()), ("ids", pa.binary())])
+
+    def whole(t: pa.Table) -> pa.Table:
+        order = np.argsort(np.asarray(t["c"]), kind="stable")
+        own = t["ids"].to_pylist()
+        ids = b"".join([own[i] for i in order])
+        return pa.table([[t["_row"][0].as_py()], [len(ids) // 4], [float(np.asarray(t["score"]).sum())], [ids]], schema=whole_schema)
+
+    # A group has the ids of one document, which are one cell of the result.
+    return parts.groupBy("_row").applyInArrow(whole, "_row long, n_tokens long, score double, ids binary")
 
 
 def decode(encoded: DataFrame, model: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
-    """encoded with the text of its ids in a new column; null ids give null."""
+    """encoded with the text of its ids in a new column; null ids give null, an empty table stays empty.
+
+    A column that is named like the new one is renamed, `decoded` to `decoded_in`.
+    """
+    encoded = set_aside(encoded, into)
     at = encoded.columns.index(ids)
     names = [*encoded.columns, into]
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema), f"`{into}` string"])

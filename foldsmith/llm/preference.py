@@ -35,7 +35,8 @@ def format_pairs(pairs: DataFrame, turns: DataFrame, conv_id: str = "conv_id") -
     prompt: the longest common prefix of turns (same role and text at the same place), rendered once;
     chosen and rejected: the turns after it; chosen_loss and rejected_loss: the spans of them that a loss counts,
     the assistant's texts. n_common may be 0 (empty prompt) or all turns (empty completions). Turn numbers order
-    the turns and need not be equal. Repeated pairs give a row each.
+    the turns and need not be equal. Repeated pairs give a row each, repeated turns count as turns. A turn or pair with a null
+    id belongs to no conversation and is left out, as are other columns; empty tables give an empty result.
     """
     c = conversations(turns, conv_id)
     both = pairs.join(c.select(F.col(conv_id).alias("chosen_id"), F.col("turns").alias("_c")), "chosen_id")
@@ -52,7 +53,7 @@ def format_pairs(pairs: DataFrame, turns: DataFrame, conv_id: str = "conv_id") -
 
 
 def neighbour_pairs(turns: DataFrame, conv_id: str = "conv_id") -> DataFrame:
-    """Pairs of the conversations 2k (chosen) and 2k + 1 (rejected) that both have turns."""
+    """Pairs of the conversations 2k (chosen) and 2k + 1 (rejected) that both have turns; turns with a null id are left out."""
     ids = turns.select(F.col(conv_id).cast("long").alias(conv_id)).where(F.col(conv_id).isNotNull()).distinct()
     even = ids.where(F.pmod(F.col(conv_id), F.lit(2)) == 0).select(F.col(conv_id).alias("chosen_id"), (F.col(conv_id) + 1).alias("rejected_id"))
     return even.join(ids.select(F.col(conv_id).alias("rejected_id")), "rejected_id").select("chosen_id", "rejected_id")

@@ -58,24 +58,29 @@ def encode_blocks(blocks: list[np.ndarray], freq: np.ndarray, cum: np.ndarray, b
     pad = int(np.argmax(freq))
     sym = np.full((most, len(blocks), LANES), pad, np.uint32)
     for k, i in enumerate(order):
-        flat = np.full(steps[i] * LANES, pad, np.uint32)
-        flat[: len(blocks[i])] = blocks[i]
-        sym[: steps[i], k] = flat.reshape(-1, LANES)
+        whole, rest = divmod(len(blocks[i]), LANES)
+        sym[:whole, k] = blocks[i][: whole * LANES].reshape(-1, LANES)
+        if rest:
+            sym[whole, k, :rest] = blocks[i][whole * LANES :]
     x = np.full((len(blocks), LANES), LOW)
-    word, used = np.zeros(sym.shape, np.uint32), np.zeros(sym.shape, bool)
+    words, owner = [], []  # what the steps put out, last step first
     sizes = np.array([steps[i] for i in order])
     b, top = np.uint64(bits), np.uint64(63 - bits)
     for t in range(most - 1, -1, -1):
         m = int((sizes > t).sum())
         f, c, y = freq[sym[t, :m]], cum[sym[t, :m]], x[:m]
         over = y >= (f << top)
-        word[t, :m], used[t, :m] = y.astype(np.uint32), over  # the low half
+        words.append(y[over].astype(np.uint32))  # the low half
+        owner.append(over.sum(axis=1))
         y = np.where(over, y >> np.uint64(32), y)
         q = y // f
         x[:m] = (q << b) + (y - q * f) + c
     out: list = [None] * len(blocks)
+    flat = np.concatenate(words[::-1])
+    size = np.array([np.append(n, np.zeros(len(blocks) - len(n), np.int64)) for n in owner[::-1]])
+    ends = np.cumsum(size.ravel()).reshape(size.shape)
     for k, i in enumerate(order):
-        out[i] = (x[k].tobytes(), word[:, k][used[:, k]].tobytes())
+        out[i] = (x[k].tobytes(), gather(flat, ends[:, k] - size[:, k], size[:, k]).tobytes())
     return out
 
 
@@ -108,6 +113,14 @@ def decode_blocks(coded: list[tuple[bytes, bytes, int]], freq: np.ndarray, cum:
     return out
 
 
+#: Where a long text may be cut, and the characters of a part of it.
+CUT_PLACE, PART = re.compile(r" (?=\S)"), 1 << 20
+#: Texts on which a vocabulary file has to agree with WordEncoder's cuts.
+PROBES = [
+    "", " ", "\n", "a", " a", "a b", "The quick brown fox, and the lazy dog; it's 12 o'clock!", "  two  spaces   and\ttab \t mixed\n", "line\nend\n\nempty \n x\r\ny",
+    "word. word.. Word!? (word) [word] word-word word_word #tag @name 3.14 1,000 $5 50% a|b x*y", "don't I'll we've they'd  she's 'quoted' \"quoted\"", "été Äpfel ß ÑANDÚ naïve 中文 字 日本語 текст ünï",
+    "camelCase HTTPServer ABC123 123abc a1b2 ½ ² №5", "a\u00a0b \u2003c d\u3000 e", "emoji 😀😀 x 👩‍👩‍👧 y", "http://a.b/c?d=e&f=1#g name@host.org", "x" * 200 + " " + "ab" * 100,
+]
 #: Signs that end a word as a pre-token of their own.
 SIGNS = ".,;:!?*#$%&|"
 
@@ -118,7 +131,9 @@ class WordEncoder:
     The pre-tokenizer never joins what stands before a space to that space and a following character
     that is no white space, so a text's ids are those of its pieces at these places. A piece is cut again,
     where that holds too, at single line ends and between letters and the signs after them. The ids of
-    pieces are kept, up to `limit` pieces at a time.
+    pieces are kept, up to `limit` pieces at a time. PROBES are encoded both ways at first: with a vocabulary file whose
+    pre-tokenizer does otherwise, texts are encoded whole. Texts of more than PART characters are taken in parts, cut at such a
+    place.
     """
 
     def __init__(self, path: str, end: int, limit: int = 1_000_000):
@@ -127,8 +142,24 @@ class WordEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
         self.tok, self.end, self.limit = Tokenizer.from_file(path), end, limit
         self.size = max(self.tok.get_vocab_size(), end + 1)
-        self.line_end = self.tok.encode("\n", add_special_tokens=False).ids[0]
+        one = self.tok.encode("\n", add_special_tokens=False).ids
+        self.line_end, self.by_pieces = one[0] if len(one) == 1 else -1, len(one) == 1
         self.reset()
+        if self.by_pieces:
+            whole = [[*self.tok.encode(t, add_special_tokens=False).ids, end] for t in PROBES]
+            ids, sizes = self.encode(PROBES)
+            self.by_pieces = ids.tolist() == list(chain.from_iterable(whole)) and sizes.tolist() == [len(w) for w in whole]
+
+    def cut_long(self, text: str) -> list[str]:
+        """The text in parts whose ids, one after the other, are those of the text."""
+        out, at = [], 0
+        while self.by_pieces and len(text) - at > PART:
+            cut = CUT_PLACE.search(text, at + PART)
+            if not cut:
+                break
+            out.append(text[at : cut.start()])
+            at = cut.start()
+        return [*out, text[at:]]
 
     def reset(self):
         self.pieces = Codes(1)  # pieces stand after a space; code 0 is the end id
@@ -207,6 +238,9 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id, laid end to end; number of ids of each)."""
+        if not self.by_pieces:
+            lists = [[*e.ids, self.end] for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(lists), np.uint32), np.array([len(x) for x in lists], np.int64)
         if len(self.pieces) > self.limit:
             self.reset()
         get = self.pieces.__getitem__
@@ -246,7 +280,7 @@ def _arrow(ddl: str) -> pa.Schema:
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int = 2, bits: int = 18, doc_id: str = "doc_id", text: str = "text") -> None:
-    """Encode every text (null: empty) and write the ids, each document with the end id, below path.
+    """Encode every text (null: empty; bytes that are no UTF-8 count as U+FFFD) and write the ids, each document with the end id, below path.
 
     Documents are dealt to shards by ranges of doc_id and sorted within, ties by text; a null doc_id
     comes first. An empty table gives an empty file. Texts are tokenized once; the ids wait in the shared folder
@@ -269,7 +303,13 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int = 2, bits
             return record(raw_schema, *row)
 
         for piece, texts in text_slices(batches, limit=1 << 20):
-            ids, lens = enc.encode([t.decode() for t in texts])
+            if len(texts) == 1 and len(texts[0]) > PART:  # a long text in parts, of which the last alone has the end id
+                parts = enc.cut_long(texts[0].decode("utf-8", "replace"))
+                found = [enc.encode([p])[0][: None if i == len(parts) - 1 else -1] for i, p in enumerate(parts)]
+                ids = np.concatenate(found)
+                lens = np.array([len(ids)])
+            else:
+                ids, lens = enc.encode([t.decode("utf-8", "replace") for t in texts])
             counts += np.bincount(ids, minlength=enc.size)
             who = piece.column(0).fill_null(-1)
             null = np.asarray(piece.column(0).is_null())
@@ -278,8 +318,10 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int = 2, bits
             a = 0
             while a < len(lens):
                 room = BLOCK - held_ids + (ends[a - 1] if a else 0)
-                b = max(a + 1, int(np.searchsorted(ends, room, "right")))  # a document of any length is whole in one block
+                b = max(a + 1, int(np.searchsorted(ends, room, "right")))  # a document is whole in one block, a long one alone in it
                 lo, hi = (ends[a - 1] if a else 0), ends[b - 1]
+                if held and held_ids + hi - lo > 2 * BLOCK:
+                    yield flush(False)
                 held.append((who[a:b], lens[a:b].astype(np.int64), ids[lo:hi]))
                 held_ids += int(hi - lo)
                 if held_ids >= BLOCK * 15 // 16:
@@ -322,8 +364,12 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int = 2, bits
         held = []
         for batch in batches:
             for r in range(len(batch)):
-                held += batch.slice(r, 1).to_pylist()
-                if len(held) == WIDTH:
+                own = batch.slice(r, 1).to_pylist()
+                if held and (len(held) == WIDTH or len(own[0]["ids"]) > 8 * BLOCK):  # blocks side by side are as wide as the longest
+                    yield flush(held)
+                    held = []
+                held += own
+                if len(own[0]["ids"]) > 8 * BLOCK:
                     yield flush(held)
                     held = []
         if held:
@@ -343,7 +389,8 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
     """(doc_id, start, n_tokens, ids_crc32[, ids]) of every document, decoded block by block.
 
     start: ids of all documents before it. ids: little-endian unsigned 32-bit integers. A block whose
-    checksum fails raises an error.
+    checksum fails raises an error. The file of an empty table gives no rows; null ids and repeated documents
+    keep a row each.
     """
     table = spark.read.parquet(f"{path}/table").collect()  # bounded by the vocabulary
     bits = table[0].bits if table else 1
@@ -373,8 +420,12 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
         held = []
         for batch in batches:
             for k in range(len(batch)):
-                held += batch.slice(k, 1).to_pylist()
-                if len(held) == WIDTH:
+                own = batch.slice(k, 1).to_pylist()
+                if held and (len(held) == WIDTH or own[0]["n_tokens"] > 4 * BLOCK):
+                    yield from flush(held)
+                    held = []
+                held += own
+                if own[0]["n_tokens"] > 4 * BLOCK:
                     yield from flush(held)
                     held = []
         if held:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldsmith.llm._text import binary_text, record, text_slices
+from foldsmith.llm._text import binary_text, record, text_slices, unused
 from foldsmith.operators.graph import connected_components
 from foldsmith.session import materialize
 
@@ -193,18 +193,21 @@ def roots(first: DataFrame, distance: int = 4) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 4, shingle: int = 4) -> DataFrame:
-    """One row of every component of near_duplicates, with all its columns: that of the least doc_id.
+    """One row of every component of near_duplicates, with all its columns, whatever their names: that of the least doc_id.
 
     A null doc_id comes after all others. Of different texts that share the least doc_id the one with the least hash
-    stays, of rows equal in both any one. One shuffle of the texts, by a hash of doc_id and text.
+    stays, of rows equal in both any one. Null, empty and blank texts have fingerprint zero and are one component with what links
+    to it. An empty table stays empty. One shuffle of the texts, by a hash of doc_id and text.
     """
-    own = docs.withColumn("_row", F.xxhash64(doc_id, text))
-    fp = materialize(fingerprints(own, doc_id, text, shingle, ("_row",)), "simhash-fp")
-    order = F.struct(F.col(doc_id).isNull().alias("null"), F.col(doc_id).alias("id"), F.col("_row").alias("row"))
+    row, nth = unused(docs, "_row"), unused(docs, "_nth")
+    own = docs.withColumn(row, F.xxhash64(doc_id, text))
+    plain = own.select(F.col(doc_id).alias("id"), F.col(row).alias("row"), F.col(text).alias("text"))
+    fp = materialize(fingerprints(plain, "id", "text", shingle, ("row",)), "simhash-fp")
+    order = F.struct(F.col("id").isNull().alias("null"), "id", "row")
     first = materialize(fp.groupBy("fp").agg(F.min(order).alias("best")), "simhash-first")
-    stays = roots(first, distance).groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("_row"))
-    nth = F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(1)))
-    return own.join(stays, "_row", "left_semi").withColumn("_nth", nth).where("_nth = 1").select(docs.columns)
+    stays = roots(first, distance).groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias(row))
+    one = F.row_number().over(Window.partitionBy(row).orderBy(F.lit(1)))
+    return own.join(stays, row, "left_semi").withColumn(nth, one).where(F.col(nth) == 1).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 4, shingle: int = 4) -> DataFrame:

@@ -67,3 +67,25 @@ def test_an_item_of_one_repeated_word_beside_a_normal_item(spark):
     assert {(r.doc_id, r.item_id) for r in d.contaminated(df, own).collect()} == want
     kept = {r.doc_id for r in d.drop_contaminated(df, own).collect()}
     assert kept == {a for a, _ in docs} - {a for a, _ in want}
+
+
+def test_an_item_without_an_id_counts_but_has_no_name(spark):
+    docs = spark.createDataFrame([(1, "x one two three four five six y"), (2, "seven"), (None, "one two three four five six")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "one two three four five six")], "item_id long, text string")
+    assert d.contaminated(docs, items).collect() == []
+    assert [r.doc_id for r in d.drop_contaminated(docs, items).collect()] == [2]
+
+
+def test_words_of_question_and_answer_are_cut_at_ascii_white_space():
+    assert d.split_answer("a\u00a0b c? d e") == 2 and d.split_answer("a\u3000b c d e f") == 3 and d.split_answer("One. Two three.") == 1
+
+
+def test_scores_do_not_depend_on_the_passes(spark, monkeypatch):
+    rnd = random.Random(12)
+    items = [(i, " ".join(f"w{rnd.randrange(200)}" for _ in range(rnd.randint(3, 40)))) for i in range(60)]
+    docs = spark.createDataFrame([(i, f"u v {t} z") for i, t in items], "doc_id long, text string")
+    own = spark.createDataFrame(items, "item_id long, text string")
+    want = {(r.doc_id, r.item_id): round(r.score, 9) for r in d.contaminated(docs, own).collect()}
+    monkeypatch.setattr(d, "INDEX_ITEMS", 7)  # read by the driver alone
+    assert {(r.doc_id, r.item_id): round(r.score, 9) for r in d.contaminated(docs, own).collect()} == want
+    assert len(want) >= 60

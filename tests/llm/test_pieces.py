@@ -81,6 +81,16 @@ def test_documents(spark, odd, empty):
     assert pieces.digest(empty, PATH).collect() == []
 
 
+def test_columns_with_the_names_of_new_ones_are_kept(spark):
+    rows = [(i, t, f"s{i}", f"r{i}", i * 7, f"i{i}", f"d{i}") for i, t in enumerate(["the cat", None, "", "a longer text of several words " * 9, "the cat"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score string, _row string, n_tokens int, ids string, decoded string")
+    for chunk in (pieces.CHUNK, 64):
+        out = pieces.decode(pieces.encode(df, PATH, chunk=chunk), PATH)
+        got = out.select("doc_id", "text", "score_in", "_row", "n_tokens_in", "ids_in", "decoded_in").collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, rows))
+        assert all(r.decoded == (r.text or "") and len(r.ids) == 4 * r.n_tokens for r in out.collect())
+
+
 def test_runs_of_spaces_take_the_pieces_of_runs(voc):
     """Indented and aligned texts, with one floor score for the lone word start and its runs, as the library's unigram mode scores them."""
     pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")

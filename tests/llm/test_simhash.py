@@ -51,6 +51,13 @@ def test_empty(empty):
     assert simhash.near_duplicates(empty).collect() == []
 
 
+def test_columns_with_the_names_of_inner_ones_are_kept(spark):
+    rows = [(i, t, f"r{i}", i, f"x{i}", f"y{i}") for i, t in enumerate(["one two three four five", "one two three four five", "six", None, "", "seven eight nine ten"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row string, _nth int, row string, root string")
+    got = simhash.keep_one(df)
+    assert got.columns == df.columns and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [rows[i] for i in (0, 2, 3, 5)]))
+
+
 def near_group(n, seed):
     rnd = random.Random(seed)
     out, base = set(), rnd.getrandbits(64)
