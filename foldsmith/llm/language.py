@@ -36,10 +36,10 @@ def sampled_runs(labelled: DataFrame, text: str = "text", lang: str = "lang", ke
     partitioning; equal runs differ in nothing else. Each language has max(least, sample / languages) runs, or all of its own.
     """
     some = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), F.col(text).cast("binary").alias("text"))
-    sizes = {r.lang: r.n for r in some.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}  # a row for each label of the model
+    about = F.sum(F.greatest(F.lit(1.0), F.octet_length("text") / 2048))  # runs of 256 words; most have fewer bytes
+    sizes = {r.lang: r.n for r in some.groupBy("lang").agg(about.alias("n")).collect()}  # a row for each label of the model
     each = max(least, sample // max(1, len(sizes)))
-    # A run has 256 words; with words of 16 bytes on average, or fewer, about twice as many runs pass as are wanted.
-    share = {x: min(1.0, 2 * each / max(n / 4096, 1)) for x, n in sizes.items()}
+    share = {x: min(1.0, 2 * each / n) for x, n in sizes.items()}
     schema = pa.schema([("lang", pa.string()), ("order", pa.int64()), ("words", pa.binary())])
 
     def run(batches):
