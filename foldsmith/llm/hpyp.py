@@ -39,7 +39,7 @@ from foldsmith.llm._text import binary_text, record, text_slices
 from foldsmith.session import drop_scratch, materialize, scratch_path
 
 #: Bytes of text of a block; tokens for each bucket; training tokens of a context for each of its buckets.
-BLOCK, BUCKET, HOT = 16 << 20, 3 << 20, 2 << 20
+BLOCK, BUCKET, HOT = 8 << 20, 3 << 20, 2 << 20
 #: Passes, sweeps of a pass, those of them that are averaged; concentration; customers of a dish up to which S is tabled.
 PASSES, SWEEPS, KEPT, THETA, EXACT = 3, 6, 4, 1.0, 512
 END = xxhash.xxh64_intdigest(b" end")  # no word has a space
