@@ -93,3 +93,8 @@ def iou(a: Column, b: Column) -> Column:
 def grid(v: Column, tolerance: float = 0.05) -> Column:
     """place on a grid, half-even; compare these whole numbers."""
     return F.bround(v / tolerance).cast("long")
+
+
+def default_area(area: Column, b: Column) -> Column:
+    """The area as given, else width times height."""
+    return F.coalesce(area, b["w"] * b["h"])

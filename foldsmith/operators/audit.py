@@ -1,4 +1,4 @@
-"""Audits of folds and annotations [C2-C8, U1, U2, U7, J12, J21, J24, A5, A6, A17]."""
+"""Audits of folds and annotations [C2, C4, C7, C8, U1, U2, U7, J21, J24, A5, A6, A17]."""
 
 from __future__ import annotations
 

@@ -47,8 +47,9 @@ def hash_sample(df: DataFrame, n: int, *parts: Column) -> DataFrame:
 def weighted_sample(df: DataFrame, weight: str, key: str, n: int, seed: int) -> DataFrame:
     """N draws with replacement in proportion to the weight: (key, draws), rows never drawn left out.
 
-    A row owns an interval of the running weight; every draw is a point. Points and intervals meet by
-    buckets of the range, so the join is an equi-join with a bounded number of buckets for each interval.
+    A row owns an interval of the running weight; every draw is a point, the first 13 hexadecimal digits of SHA-1 of the
+    seed and its number as a share of the total. Points and intervals meet by buckets of the range, so the join is an
+    equi-join with a bounded number of buckets for each interval.
     """
     rows = with_index(df.select(key, F.col(weight).cast("double").alias("_w")).where(F.col(weight) > 0), [F.col(key)], "_i")
     chunk = F.floor(F.col("_i") / 65536)
@@ -60,7 +61,7 @@ def weighted_sample(df: DataFrame, weight: str, key: str, n: int, seed: int) ->
     total = x.agg(F.max("_hi")).first()[0] or 0.0
     width = max(total / max(n, 1), 1e-300)
     buckets = x.withColumn("_k", F.explode(F.sequence(F.floor(F.col("_lo") / width), F.floor(F.col("_hi") / width))))
-    u = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 53)).cast("double") / float(1 << 53)
+    u = F.conv(F.substring(hash_order(F.lit(seed), F.col("id")), 1, 13), 16, 10).cast("double") / float(1 << 52)
     points = df.sparkSession.range(n).select((u * total).alias("_p")).withColumn("_k", F.floor(F.col("_p") / width))
     hit = buckets.join(points, "_k").where("_p >= _lo AND _p < _hi")
     return hit.groupBy(key).agg(F.count("*").alias("draws"))

@@ -24,60 +24,81 @@ def top_detections(scores: DataFrame, annotated: DataFrame | None = None, most:
     return scores.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank").where(F.col("score") >= floor)
 
 
-def _iou(d: np.ndarray, g: np.ndarray, crowd: np.ndarray) -> np.ndarray:
-    w = np.minimum(d[:, None, 0] + d[:, None, 2], g[None, :, 0] + g[None, :, 2]) - np.maximum(d[:, None, 0], g[None, :, 0])
-    h = np.minimum(d[:, None, 1] + d[:, None, 3], g[None, :, 1] + g[None, :, 3]) - np.maximum(d[:, None, 1], g[None, :, 1])
-    inter = np.maximum(w, 0) * np.maximum(h, 0)
-    area = d[:, None, 2] * d[:, None, 3]
-    union = np.where(crowd[None, :], area, area + g[None, :, 2] * g[None, :, 3] - inter)
-    return np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
-
-
 def match(over: np.ndarray, crowd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hit, ignored) by threshold and detection; over: overlaps of detections, best score first, with true boxes.
 
     At every threshold each detection takes the free true box of greatest overlap at or above it, the later one
     on ties; one that finds none but overlaps a crowd box is ignored.
     """
-    hit, ignored = (np.zeros((len(THRESHOLDS), len(over)), bool) for _ in range(2))
-    for k, t in enumerate(THRESHOLDS):
-        free = ~crowd
-        for i, row in enumerate(over):
-            ok = np.where(free & (row >= min(t, 1 - 1e-10)), row, -1.0)
-            if len(ok) and ok.max() >= 0:
-                free[len(ok) - 1 - int(ok[::-1].argmax())] = False
-                hit[k, i] = True
-            else:
-                ignored[k, i] = bool((crowd & (row >= t)).any())
+    hit, ignored = match_many(over[None], crowd[None])
+    return hit[:, 0], ignored[:, 0]
+
+
+def match_many(over: np.ndarray, crowd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """match() of many groups side by side: over (group, detection, box), -1 where there is no such box; results (threshold, group, detection)."""
+    groups, dets, boxes = over.shape
+    hit, ignored = (np.zeros((len(THRESHOLDS), groups, dets), bool) for _ in range(2))
+    if not boxes:
+        return hit, ignored
+    free = np.repeat(~crowd[None], len(THRESHOLDS), axis=0)
+    least = np.array(THRESHOLDS)[:, None, None]
+    for i in range(dets):
+        row = over[None, :, i]
+        ok = np.where(free & (row >= np.minimum(least, 1 - 1e-10)), row, -1.0)
+        last = boxes - 1 - ok[:, :, ::-1].argmax(axis=2)
+        hit[:, :, i] = np.take_along_axis(ok, last[:, :, None], 2)[:, :, 0] >= 0
+        t, g = np.nonzero(hit[:, :, i])
+        free[t, g, last[t, g]] = False
+        ignored[:, :, i] = ~hit[:, :, i] & (crowd[None] & (row >= least)).any(axis=2)
     return hit, ignored
 
 
+def _overlaps(d: np.ndarray, g: np.ndarray, crowd: np.ndarray) -> np.ndarray:
+    """Overlaps (group, detection, box) of boxes (group, place, x y w h); with a crowd box by the detection's area."""
+    d, g = d[:, :, None], g[:, None]
+    side = lambda k: np.maximum(np.minimum(d[..., k] + d[..., k + 2], g[..., k] + g[..., k + 2]) - np.maximum(d[..., k], g[..., k]), 0)
+    inter, area = side(0) * side(1), d[..., 2] * d[..., 3]
+    union = np.where(crowd[:, None], area, area + g[..., 2] * g[..., 3] - inter)
+    return np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
+
+
 def _match_all(dets: pa.Table, truth: pa.Table, most: int = 100) -> pa.Table:
-    """match() of every image and class of a bucket of images."""
+    """match() of every image and class of a bucket of images; groups of like sizes go side by side."""
     cols = lambda t, names: [t[n].to_numpy() for n in names]
     image, cls, det, score = cols(dets, ("image_id", "class_id", "det", "score"))
     t_image, t_cls, t_crowd = cols(truth, ("image_id", "class_id", "crowd"))
     box, t_box = (np.stack(cols(t, "xywh"), axis=1).astype(float) if t.num_rows else np.empty((0, 4)) for t in (dets, truth))
-    order = np.lexsort((det, -score, cls, image))
-    t_order = np.lexsort((t_cls, t_image))
-    t_key = np.rec.fromarrays([t_image[t_order], t_cls[t_order]], names="a,b") if len(t_order) else None
-    key = np.stack([image[order], cls[order]], axis=1) if len(order) else np.empty((0, 2))
-    cuts = np.append(np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1))), len(order)) if len(order) else np.array([0])
-    parts: list = []
-    for a, b in zip(cuts, cuts[1:]):
-        rows = order[a:b][:most]
-        own = np.empty(0, np.int64)
-        if t_key is not None:
-            probe = np.rec.array((image[rows[0]], cls[rows[0]]), dtype=t_key.dtype)
-            own = t_order[np.searchsorted(t_key, probe, "left") : np.searchsorted(t_key, probe, "right")]
-        crowd = t_crowd[own].astype(bool) if len(own) else np.empty(0, bool)
-        over = _iou(box[rows], t_box[own], crowd) if len(own) else np.zeros((len(rows), 0))
-        parts.append((rows, *match(over, crowd)))
-    n = len(THRESHOLDS)
-    rows = np.concatenate([np.tile(p[0], n) for p in parts]) if parts else np.empty(0, np.int64)
-    flat = lambda k: np.concatenate([p[k].ravel() for p in parts]) if parts else np.empty(0, bool)
-    t = np.concatenate([np.repeat(THRESHOLDS, len(p[0])) for p in parts]) if parts else np.empty(0)
-    return pa.table({"image_id": image[rows], "class_id": cls[rows], "score": score[rows], "det": det[rows], "t": t, "hit": flat(1), "ignored": flat(2)})
+    both = np.unique(np.stack([np.append(image, t_image), np.append(cls, t_cls)], axis=1).astype(np.int64), axis=0, return_inverse=True)[1].ravel()
+    group, t_group = both[: len(image)], both[len(image) :]
+    order = np.lexsort((det, -score, group))
+    first = np.searchsorted(group[order], np.arange(both.max(initial=-1) + 2))
+    t_order = np.argsort(t_group, kind="stable")
+    t_first = np.searchsorted(t_group[t_order], np.arange(both.max(initial=-1) + 2))
+    n, m = np.minimum(np.diff(first), most), np.diff(t_first)
+    some = np.flatnonzero(n)
+    some = some[np.lexsort((n[some], m[some]))]
+    rows, hits, ignored, at = [], [], [], 0
+    while at < len(some):
+        width = max(1, 2 * int(n[some[at]])) * max(1, 2 * int(m[some[at]]))
+        own = some[at : at + max(1, (1 << 18) // width)]
+        own = own[(m[own] <= max(2 * m[own[0]], 1)) & (np.maximum.accumulate(n[own]) <= 2 * n[own[0]])] if len(own) > 1 else own
+        own = some[at : at + len(own)]
+        d, g = (np.arange(max(int(x[own].max()), 0)) for x in (n, m))
+        has, t_has = d < n[own][:, None], g < m[own][:, None]
+        pick = order[np.where(has, first[own][:, None] + d, 0)]
+        t_pick = t_order[np.where(t_has, t_first[own][:, None] + g, 0)] if len(t_order) else np.zeros(t_has.shape, np.int64)
+        crowd = (t_crowd[t_pick].astype(bool) & t_has) if len(t_order) else t_has
+        over = np.where(t_has[:, None], _overlaps(box[pick], t_box[t_pick], crowd), -1.0) if len(t_order) else np.zeros((*has.shape, 0))
+        h, i = match_many(over, crowd)
+        rows.append(pick[has])
+        hits.append(h[:, has])
+        ignored.append(i[:, has])
+        at += len(own)
+    k = len(THRESHOLDS)
+    at = np.concatenate([*rows, np.empty(0, np.int64)])
+    flat = lambda x: np.concatenate([*x, np.empty((k, 0), bool)], axis=1).ravel()
+    rows = np.tile(at, k)
+    return pa.table({"image_id": image[rows], "class_id": cls[rows], "score": score[rows], "det": det[rows], "t": np.repeat(THRESHOLDS, len(at)), "hit": flat(hits), "ignored": flat(ignored)})
 
 
 def average_precision(detections: DataFrame, truth: DataFrame, classes: DataFrame) -> DataFrame:
@@ -126,6 +147,17 @@ def fold_summary(results: DataFrame, value: str, by: list[str]) -> DataFrame:
     )
 
 
+def epoch_means(batches: DataFrame, by: list[str], losses: list[str]) -> DataFrame:
+    """Mean of every loss over an epoch's batches; 0 where a batch has none."""
+    return batches.groupBy(*by).agg(*(F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in losses))
+
+
+def box_counts(annotations: DataFrame, image: str = "image_id") -> DataFrame:
+    """A1: (image, n_boxes, histogram): boxes of each image, and (class_id, n) by class."""
+    each = annotations.groupBy(image, "class_id").agg(F.count("*").alias("n"))
+    return each.groupBy(image).agg(F.sum("n").alias("n_boxes"), F.sort_array(F.collect_list(F.struct("class_id", "n"))).alias("histogram"))
+
+
 def early_stopping(curve: DataFrame, by: list[str], order: str, score: str, patience: int) -> DataFrame:
     """Curve with is_best, since_best (epochs without a better one) and stop (the first at `patience`)."""
     run = Window.partitionBy(*by).orderBy(order)

@@ -1,4 +1,4 @@
-"""Similarity joins on vectors, bit strings and word shingles [J4-J7, J10, J11, J13-J15, T2, T3, P12, A7, A8]."""
+"""Similarity joins on vectors, bit strings and word shingles [J4-J7, J10, J11, J13, J19, T2, T3, P12, A7-A9]."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldsmith.operators.tiles import matrix, numbers, tile_join, tile_self_join, unordered
+from foldsmith.session import materialize
 
 
 def cosine_pairs(df: DataFrame, threshold: float, key: str = "vec_id", vec: str = "embedding", cross: str | None = None, cross_threshold: float | None = None) -> DataFrame:
@@ -134,6 +135,25 @@ def nearest_hamming(queries: DataFrame, targets: DataFrame, key: str = "vec_id",
     return queries.select(F.col(key).cast("long").alias("q")).join(least, "q", "left").select("q", F.coalesce("d", F.lit(64).cast("long")).alias("distance"))
 
 
+def distance_counts(left: DataFrame, right: DataFrame, uppers: list[int], key: str = "vec_id", bits: str = "bits") -> DataFrame:
+    """(bucket, n): pairs of the two sides by Hamming distance above 0; bucket i ends at uppers[i], the last one has what lies beyond.
+
+    Tiles count their own pairs and send a row for each bucket.
+    """
+    rows = lambda df: df.select(F.col(key).cast("long").alias("k"), F.col(bits).alias("h")).where("k IS NOT NULL AND h IS NOT NULL")
+    edges = np.array([0, *uppers])
+
+    def kernel(x: pa.Table, y: pa.Table) -> pa.Table:
+        n = np.zeros(len(edges) + 1, np.int64)
+        if x.num_rows and y.num_rows:
+            h, g = (numbers(t["h"]).astype(np.int64).view(np.uint64) for t in (x, y))
+            by_distance = np.bincount(np.bitwise_count(h[:, None] ^ g[None, :]).ravel(), minlength=65)
+            np.add.at(n, np.searchsorted(edges, np.arange(65)), by_distance)
+        return pa.table({"bucket": np.arange(len(n) - 1), "n": n[1:]})
+
+    return tile_join(rows(left), rows(right), "k", kernel, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 def most_similar(queries: DataFrame, targets: DataFrame, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """(q, t, cosine): the nearest target of every query that has one [J10]."""
     return top_similar(queries, targets, 1, key, vec).drop("rank")
@@ -154,21 +174,30 @@ def jaccard_pairs(docs: DataFrame, threshold: float, key: str = "doc_id", text:
     split = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
     grams = F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: F.array_join(F.slice("w", i, words), " "))
     # The generator keeps the split from being evaluated again for every shingle.
-    sets = docs.select(F.col(key).cast("long").alias("k"), F.explode(F.array(split)).alias("w")).where(F.size("w") >= words)
-    sets = sets.select("k", F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g))).alias("s"))
-    each = sets.select("k", F.size("s").alias("n"), F.explode("s").alias("g"))
+    sets = docs.select(F.col(key).cast("long").alias("id"), F.explode(F.array(split)).alias("w")).where(F.size("w") >= words)
+    sets = sets.select("id", F.array_sort(F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))).alias("s"))
+    # Equal sets are one class, known by two hashes of the set: pairs are sought between classes and verified once.
+    sets = materialize(sets.withColumn("h", F.struct(F.xxhash64("s"), F.xxhash64(F.lit(1), "s"))), "shingles")
+    named = sets.groupBy("h").agg(F.min("id").alias("k"), F.count("*").alias("copies"))
+    first = materialize(sets.join(named, (sets.id == named.k) & (sets.h == named.h)).select("k", "s"), "shingle-classes")
+    each = first.select("k", F.size("s").alias("n"), F.explode("s").alias("g"))
     df = each.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
     rank = F.row_number().over(Window.partitionBy("k").orderBy("df", "g"))
-    # Shingles of one document only can match nothing: they take the first places of the prefix.
-    many = each.join(df, "g").withColumn("rank", rank)
-    count = many.groupBy("k").agg(F.count("*").alias("m"))
-    prefix = many.join(count, "k").where(F.col("rank") + F.col("n") - F.col("m") <= F.floor((1 - threshold) * F.col("n") + 1e-9) + 1)
+    # Shingles of one class only can match nothing: they take the first places of the prefix.
+    many = each.join(df, "g").withColumn("rank", rank).withColumn("m", F.count("*").over(Window.partitionBy("k")))
+    prefix = materialize(many.where(F.col("rank") + F.col("n") - F.col("m") <= F.floor((1 - threshold) * F.col("n") + 1e-9) + 1).select("k", "g", "n"), "shingle-prefixes")
     a, b = prefix.select(F.col("k").alias("a"), "g", F.col("n").alias("na")), prefix.select(F.col("k").alias("b"), "g", F.col("n").alias("nb"))
     candidates = a.join(b, "g").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
-    full = candidates.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
+    full = candidates.join(first.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(first.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
-    found = full.select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("jaccard"))
-    return found.where(F.col("jaccard") >= threshold)
+    found = full.select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    # Classes are expanded only where they have copies, as the result names every pair.
+    member = materialize(sets.join(named, "h").select("k", "id"), "shingle-members")
+    x = found.join(member.select(F.col("k").alias("a"), F.col("id").alias("x")), "a").join(member.select(F.col("k").alias("b"), F.col("id").alias("y")), "b")
+    inside = member.join(named.where("copies > 1").select("k"), "k", "left_semi")
+    same = inside.select("k", F.col("id").alias("x")).join(inside.select("k", F.col("id").alias("y")), "k").where("x < y").withColumn("jaccard", F.lit(1.0))
+    pairs = x.select("x", "y", "jaccard").union(same.select("x", "y", "jaccard"))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
 
 
 def threshold_counts(df: DataFrame, score: str, thresholds: dict[str, float]) -> list[Column]:

@@ -1,4 +1,4 @@
-"""Leave-one-dataset-out folds [P18-P21, G2, G4, G6, G8-G10, J13, J14, C1, U2, U4].
+"""Leave-one-dataset-out folds [P5, P18-P20, G2, G4, G6, G8-G10, J14, J15, A19, C1, U4].
 
 Images are a DataFrame: id, dataset, group_id, subscene_id, sha, file, n_boxes, n_classes, area and
 embedding (unit vector, null allowed). What needs an order inside a scene group runs as one task for each group and
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldsmith.operators.graph import connected_components
+from foldsmith.operators.ids import with_index
 from foldsmith.operators.similarity import cosine_pairs, most_similar
 from foldsmith.session import materialize
 
@@ -70,17 +71,21 @@ def pick(images: pd.DataFrame, cap: int, thin: float | None) -> list[int]:
     one is at or above `thin`. What is passed over takes up no place.
     """
     vectors = [None if v is None else np.asarray(v, float) for v in images["embedding"]]
-    chosen, seen, used, stack = [], set(), {}, []
+    stack, n = np.empty((16, next((len(v) for v in vectors if v is not None), 0))), 0
+    chosen, seen, used = [], set(), {}
     for i, (sha, key, v) in enumerate(zip(images["sha"], images["cap_key"], vectors)):
         if sha in seen or used.get(key, 0) >= cap:
             continue
-        if thin is not None and v is not None and stack and (np.stack(stack) @ v).max() >= thin:
+        if thin is not None and v is not None and n and (stack[:n] @ v).max() >= thin:
             continue
         chosen.append(i)
         seen.add(sha)
         used[key] = used.get(key, 0) + 1
         if v is not None:
-            stack.append(v)
+            if n == len(stack):
+                stack = np.concatenate([stack, np.empty_like(stack)])
+            stack[n] = v
+            n += 1
     return chosen
 
 
@@ -190,21 +195,35 @@ def validation_groups(summary: DataFrame, rules: FoldRules) -> DataFrame:
 
 
 def split_by_group(images: DataFrame, fraction: float, seed: int) -> DataFrame:
-    """(id, to_val): whole groups in hash order go to validation while they fit; the smallest if none does."""
-    sizes = images.groupBy("group_id").agg(F.count("*").alias("n"))
+    """(id, to_val): whole groups in hash order go to validation while they fit; the smallest if none does.
 
-    def run(s: pd.DataFrame) -> pd.DataFrame:
-        s = s.assign(k=[hashlib.sha1(f"{seed}:{g}".encode()).hexdigest() for g in s["group_id"]]).sort_values("k", ignore_index=True)
-        room, out = max(1, int(s["n"].sum() * fraction)), []
-        for n in s["n"]:
-            out.append(n <= room)
-            room -= n if out[-1] else 0
-        if not any(out):
-            out[int(s["n"].to_numpy().argmin())] = True
-        return pd.DataFrame({"group_id": s["group_id"], "to_val": out})
-
-    chosen = sizes.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda s: run(s[["group_id", "n"]]), "group_id long, to_val boolean")
-    return images.join(chosen, "group_id").select("id", "to_val")
+    Groups are numbered in hash order over range partitions. A round takes all groups up to the first that does not fit, by
+    running sums; the next goes on behind it with the groups that fit the room left, of which each round has fewer sizes.
+    """
+    sizes = images.groupBy("group_id").agg(F.count("*").alias("n"))
+    key = F.sha1(F.concat_ws(":", F.lit(seed).cast("string"), F.col("group_id").cast("string")))
+    ordered = materialize(with_index(sizes.withColumn("_k", key), [F.col("_k"), F.col("group_id")], "_i").drop("_k"), "groups")
+    room = max(1, int((ordered.agg(F.sum("n")).first()[0] or 0) * fraction))
+    taken, begin = F.lit(False), 0
+    while True:
+        rest = ordered.where((F.col("_i") >= begin) & (F.col("n") <= room)).withColumn("_c", F.floor(F.col("_i") / 65536))
+        sums = rest.groupBy("_c").agg(F.sum("n").alias("_s"))  # a row for each 65,536 groups
+        before = F.coalesce(F.sum("_s").over(Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        upto = F.col("_b") + F.sum("n").over(Window.partitionBy("_c").orderBy("_i"))
+        run = rest.join(F.broadcast(sums.select("_c", before.alias("_b"))), "_c").select("_i", "n", upto.alias("_u"))
+        fits = F.col("_u") <= room
+        r = run.agg(F.sum(F.when(fits, F.col("n"))).alias("n"), F.min(F.when(~fits, F.col("_i"))).alias("stop")).first()
+        end = (1 << 62) if r.stop is None else r.stop
+        taken = taken | ((F.col("_i") >= begin) & (F.col("_i") < end) & (F.col("n") <= room))
+        room -= r.n or 0
+        if r.stop is None or room < 1:
+            break
+        begin = r.stop + 1
+    chosen = ordered.withColumn("to_val", taken)
+    if chosen.where("to_val").isEmpty():
+        least = ordered.orderBy("n", "_i").limit(1).select("_i")
+        chosen = ordered.join(F.broadcast(least.withColumn("to_val", F.lit(True))), "_i", "left").fillna(False, ["to_val"])
+    return images.join(chosen.select("group_id", "to_val"), "group_id").select("id", "to_val")
 
 
 def build_folds(images: DataFrame, held_out: list[str], rules: FoldRules, boxes: DataFrame | None = None, drops: DataFrame | None = None, barred: DataFrame | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from foldsmith.functions import boxes as B
 from foldsmith.functions.vectors import span_max
 from foldsmith.operators import audit, ids, merge, metrics
 from foldsmith.session import table
+from foldsmith.sources import readers
 
 
 def _raw(spark, sf_dir):
@@ -86,12 +87,11 @@ def multiset_diff(spark, sf_dir):
 
 def class_remap(spark, sf_dir):
     """Raw part types mapped by two tables; and what is dropped [P1]."""
-    p = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_type").alias("raw"))
-    raw = spark.createDataFrame([("economy", "cheap"), ("standard", "plain"), ("promo", "cheap")], "word string, unified string")
-    num = spark.createDataFrame([("cheap", 0), ("plain", 1)], "unified string, class_id int")
-    first = F.split("raw", " ")[0]
-    m = p.withColumn("word", first).join(F.broadcast(raw), "word", "left").join(F.broadcast(num), "unified", "left")
-    return m.groupBy("word", "class_id").agg(F.count("*").alias("n"), F.count_if(F.col("class_id").isNull()).alias("n_issues"))
+    raw = table(spark, sf_dir, "part").select(F.lit("parts").alias("dataset"), F.split(F.lower("p_type"), " ")[0].alias("raw_class"))
+    maps = spark.createDataFrame([("parts", "economy", "cheap"), ("parts", "standard", "plain"), ("parts", "promo", "cheap")], "dataset string, raw_class string, unified string")
+    mapped, dropped = readers.remap_classes(raw, maps, spark.createDataFrame([("cheap", 0), ("plain", 1)], "unified string, class_id int"))
+    m = mapped.select("raw_class", "class_id").union(dropped.select("raw_class", F.lit(None).cast("int").alias("class_id")))
+    return m.groupBy(F.col("raw_class").alias("word"), "class_id").agg(F.count("*").alias("n"), F.count_if(F.col("class_id").isNull()).alias("n_issues"))
 
 
 def split_offsets(spark, sf_dir):
@@ -103,7 +103,7 @@ def split_offsets(spark, sf_dir):
 def default_area(spark, sf_dir):
     """Areas with a default of width times height [P6]."""
     x = _annotations(spark, sf_dir).withColumn("area", F.when(F.col("ord") % 2 == 0, F.lit(7.0)))
-    return x.groupBy("class_id").agg(F.sum(F.coalesce("area", F.col("box")["w"] * F.col("box")["h"])).alias("area"))
+    return x.groupBy("class_id").agg(F.sum(B.default_area(F.col("area"), F.col("box"))).alias("area"))
 
 
 def dropped_labels(spark, sf_dir):
@@ -158,6 +158,17 @@ SQL = {
               len(list_filter(g.kept, lambda a: a.c = b.class_id AND greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) / (a.w + b.w - greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x))) > 0.9)) > 0 AS hit
             FROM g JOIN t b ON b.image_id = g.image_id AND b.k = g.k + 1))
         SELECT row_number() OVER (ORDER BY image_id, ord) - 1 AS ann_id, image_id, ord, class_id FROM g WHERE ok""",
+    "annotation_check": f"""
+        WITH RECURSIVE t AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY ord) AS k FROM ({ANN})),
+        g AS (SELECT image_id, 0::BIGINT AS k, [] :: STRUCT(c INTEGER, x DOUBLE, w DOUBLE)[] AS kept FROM (SELECT DISTINCT image_id FROM t)
+          UNION ALL
+          SELECT b.image_id, b.k, CASE WHEN len(list_filter(g.kept, lambda a: a.c = b.class_id AND greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) / (a.w + b.w - greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x))) > 0.9)) > 0
+            THEN g.kept ELSE list_append(g.kept, {{'c': b.class_id, 'x': b.x, 'w': b.w}}) END FROM g JOIN t b ON b.image_id = g.image_id AND b.k = g.k + 1),
+        f AS (SELECT image_id, u.c, u.x, u.w FROM (SELECT image_id, unnest(arg_max(kept, k)) AS u FROM g GROUP BY 1)),
+        e AS (SELECT image_id, class_id AS c, x, w, count(*) AS n FROM t GROUP BY ALL), n AS (SELECT image_id, c, x, w, count(*) AS n FROM f GROUP BY ALL),
+        m AS (SELECT e.* FROM e LEFT JOIN n USING (image_id, c, x, w) WHERE e.n > coalesce(n.n, 0)),
+        q AS (SELECT m.image_id, bool_and(EXISTS (SELECT 1 FROM f WHERE f.image_id = m.image_id AND f.c = m.c AND greatest(0, least(f.x + f.w, m.x + m.w) - greatest(f.x, m.x)) / (f.w + m.w - greatest(0, least(f.x + f.w, m.x + m.w) - greatest(f.x, m.x))) > 0.9)) AS ok FROM m GROUP BY 1)
+        SELECT CASE WHEN q.ok IS NULL THEN 'exact' WHEN q.ok THEN 'merged' ELSE 'error' END AS verdict, count(*) AS n_images FROM (SELECT DISTINCT image_id FROM t) i LEFT JOIN q USING (image_id) GROUP BY 1""",
     "multiset_diff": """
         WITH l AS (SELECT l_suppkey, CAST(round_even(l_tax / 0.02, 0) AS BIGINT) AS g, l_returnflag AS f FROM lineitem)
         SELECT *, 'missing' AS side FROM (SELECT l_suppkey, g FROM l WHERE f = 'A' EXCEPT ALL SELECT l_suppkey, g FROM l WHERE f = 'R')

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foldsmith.functions import names
+from foldsmith.functions.vectors import ordered_fingerprint
 from foldsmith.operators import pairs
 from foldsmith.session import table
 
@@ -88,7 +89,7 @@ def content_fingerprint(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     g = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.concat_ws(":", "role", "text").alias("line")))).alias("t"))
     lines = F.transform("t", lambda t: t["line"])
-    return g.select("conv_id", F.substring(F.md5(F.array_join(lines, "\n").cast("binary")), 1, 12).alias("fingerprint"))
+    return g.select("conv_id", ordered_fingerprint(lines).alias("fingerprint"))
 
 
 def same_text_elsewhere(spark, sf_dir):

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from foldsmith.functions.vectors import lr_factor
 from foldsmith.operators import metrics
-from foldsmith.sources import readers
 from foldsmith.session import table
+from foldsmith.sources import readers
+from foldsmith.streaming.events import upsert
 
 
 def fold_summary(spark, sf_dir):
@@ -50,8 +51,7 @@ def ema(spark, sf_dir):
 def status_latest(spark, sf_dir):
     """The last value of every user's keys; a purchase with an even id deletes its key."""
     e = table(spark, sf_dir, "events").withColumn("value", F.when(F.col("event_id") % 5 != 0, F.col("value")))
-    last = e.groupBy("user_id", "event_type").agg(F.max_by(F.struct("value"), F.struct("ts", "event_id")).alias("v"))
-    return last.where("v.value IS NOT NULL").select("user_id", "event_type", F.col("v.value").alias("value"))
+    return upsert(None, e.withColumn("at", F.struct("ts", "event_id")), ["user_id", "event_type"], "at")
 
 
 def section_pairs(spark, sf_dir):
@@ -75,7 +75,8 @@ def _detections(spark, sf_dir):
 def average_precision(spark, sf_dir):
     """Average precision of generated detections by class."""
     det, truth = _detections(spark, sf_dir)
-    return metrics.average_precision(det, truth, spark.createDataFrame([(0,), (1,), (2,), (9,)], "class_id int"))
+    ap = metrics.average_precision(det, truth, spark.createDataFrame([(0,), (1,), (2,), (9,)], "class_id int"))
+    return ap.select("class_id", *(F.round(c, 6).alias(c) for c in ("ap", "ap_50", "ap_75")), "support")
 
 
 def throughput(spark, sf_dir):
@@ -126,6 +127,27 @@ SQL = {
                    WHERE conv_id % 3 <> 0 AND conv_id IN (SELECT conv_id FROM conversations WHERE turn = 0))
         SELECT 'c' || conv_id AS section, CAST(k // 2 AS INTEGER) AS nth, trim(max(CASE WHEN k % 2 = 0 THEN p END)) AS first, trim(max(CASE WHEN k % 2 = 1 THEN p END)) AS second
         FROM t GROUP BY conv_id, k // 2 HAVING count(*) = 2""",
+    # One row more of each image and class a step: the ten sets of taken boxes go along as bits.
+    "average_precision": """
+        WITH RECURSIVE d AS (SELECT l_orderkey AS i, CAST(l_suppkey % 3 AS INTEGER) AS c, l_linenumber * 100000 + l_partkey AS det, l_extendedprice % 100 / 100 AS score, (l_linenumber * 100 + l_partkey % 9)::DOUBLE AS x, 20 + l_quantity AS w FROM lineitem),
+        t AS (SELECT l_orderkey AS i, CAST(l_suppkey % 3 AS INTEGER) AS c, (l_linenumber * 100)::DOUBLE AS x, 20 + l_quantity AS w, row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 3 ORDER BY l_linenumber * 100, l_quantity) AS b FROM lineitem WHERE l_linenumber <= 3),
+        r AS (SELECT *, row_number() OVER (PARTITION BY i, c ORDER BY score DESC, det) AS k FROM d),
+        o AS (SELECT r.i, r.c, r.k, t.b, greatest(0, least(r.x + r.w, t.x + t.w) - greatest(r.x, t.x)) AS n, r.w AS rw, t.w AS tw FROM r JOIN t ON t.i = r.i AND t.c = r.c),
+        v AS (SELECT i, c, k, list({'b': b, 'u': n / (rw + tw - n)} ORDER BY b) AS l FROM o GROUP BY ALL),
+        h AS (SELECT unnest(range(10)) AS q),
+        m AS (SELECT DISTINCT r.i, r.c, q, 0::BIGINT AS k, []::BIGINT[] AS taken, NULL::BIGINT AS hit FROM r, h
+          UNION ALL
+          SELECT i, c, q, k, CASE WHEN hit IS NULL THEN taken ELSE list_append(taken, hit) END, hit FROM (
+            SELECT m.i, m.c, m.q, r.k, m.taken, list_reduce(list_prepend({'b': NULL::BIGINT, 'u': -1.0::DOUBLE}, list_filter(coalesce(v.l, []), lambda z: NOT list_contains(m.taken, z.b) AND z.u >= round(0.5 + 0.05 * m.q, 2))), lambda y, z: CASE WHEN z.u >= y.u THEN z ELSE y END).b AS hit
+            FROM m JOIN r ON r.i = m.i AND r.c = m.c AND r.k = m.k + 1 LEFT JOIN v ON v.i = r.i AND v.c = r.c AND v.k = r.k)),
+        s AS (SELECT c, count(*) AS n FROM t GROUP BY 1),
+        e AS (SELECT m.c, q, n, count(hit) OVER w AS tp, count(*) OVER w AS pos FROM m JOIN r ON r.i = m.i AND r.c = m.c AND r.k = m.k JOIN s ON s.c = m.c WINDOW w AS (PARTITION BY m.c, q ORDER BY score DESC, m.i, r.det ROWS UNBOUNDED PRECEDING)),
+        p AS (SELECT c, q, CAST(floor(tp / n * 100 + 1e-9) AS INTEGER) AS f, max(tp / pos) AS p FROM e GROUP BY ALL),
+        a AS (SELECT c, q, sum(coalesce((SELECT max(p) FROM p WHERE p.c = g.c AND p.q = g.q AND p.f >= g.f), 0)) / 101 AS ap FROM (SELECT c, q, unnest(range(101)) AS f FROM (SELECT DISTINCT c, q FROM p)) g GROUP BY ALL),
+        z AS (SELECT c, sum(ap) / 10 AS ap, max(ap) FILTER (q = 0) AS ap_50, max(ap) FILTER (q = 5) AS ap_75 FROM a GROUP BY 1)
+        SELECT k.class_id, CASE WHEN s.n IS NULL THEN -1.0::DOUBLE ELSE round(z.ap, 6)::DOUBLE END AS ap, CASE WHEN s.n IS NULL THEN -1.0::DOUBLE ELSE round(ap_50, 6)::DOUBLE END AS ap_50,
+          CASE WHEN s.n IS NULL THEN -1.0::DOUBLE ELSE round(ap_75, 6)::DOUBLE END AS ap_75, coalesce(s.n, 0) AS support
+        FROM (SELECT unnest([0, 1, 2, 9])::INTEGER AS class_id) k LEFT JOIN s ON s.c = class_id LEFT JOIN z ON z.c = class_id""",
     "throughput": "SELECT event_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1000000 AS gap_s, count(*) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS done FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
     "topk_limit": "SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem ORDER BY 4, 1, 2, 3 LIMIT 30",
     "cube_rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",

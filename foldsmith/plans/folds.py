@@ -143,6 +143,25 @@ SQL = {
         SELECT split, subscene_id, count(*) AS n, CASE split WHEN 'train' THEN 2 ELSE 1 END AS cap FROM ({FOLDS})
         GROUP BY split, subscene_id, CASE WHEN dataset = 'src0' THEN dataset END HAVING count(*) > CASE split WHEN 'train' THEN 2 ELSE 1 END""",
     "unexpected_datasets": f"SELECT DISTINCT dataset FROM ({FOLDS}) WHERE dataset NOT IN ('src0', 'src1')",
+    "greedy_pick": """
+        WITH RECURSIVE i AS (SELECT doc_id AS id, doc_id // 7 AS g, doc_id // 4 AS s, md5(text) AS sha, embedding::DOUBLE[] AS v,
+            row_number() OVER (PARTITION BY doc_id // 7 ORDER BY (n_chars % 6 > 0)::INT DESC, n_chars % 3 DESC, n_chars % 6 DESC, n_chars DESC, doc_id) AS k FROM documents LEFT JOIN embeddings ON vec_id = doc_id),
+        p AS (SELECT g, 0::BIGINT AS k, []::STRUCT(id BIGINT, s BIGINT, sha VARCHAR, v DOUBLE[])[] AS kept FROM (SELECT DISTINCT g FROM i)
+          UNION ALL
+          SELECT i.g, i.k, CASE WHEN len(list_filter(p.kept, lambda a: a.sha = i.sha)) > 0 OR len(list_filter(p.kept, lambda a: a.s = i.s)) >= 2
+              OR len(list_filter(p.kept, lambda a: a.v IS NOT NULL AND i.v IS NOT NULL AND list_dot_product(a.v, i.v) >= 0.95)) > 0
+            THEN p.kept ELSE list_append(p.kept, {'id': i.id, 's': i.s, 'sha': i.sha, 'v': i.v}) END FROM p JOIN i ON i.g = p.g AND i.k = p.k + 1)
+        SELECT g AS group_id, u.id AS id FROM (SELECT g, unnest(arg_max(kept, k)) AS u FROM p GROUP BY 1)""",
+    "val_group_split": """
+        WITH RECURSIVE s AS (SELECT doc_id // 7 AS g, count(*) AS n FROM documents GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY sha1('42:' || g)) AS k FROM s),
+        r AS (SELECT 0::BIGINT AS k, greatest(1, floor((SELECT sum(n) FROM s) * 0.1::DOUBLE))::BIGINT AS room, NULL::BIGINT AS g, false AS ok
+          UNION ALL SELECT o.k, CASE WHEN o.n <= r.room THEN r.room - o.n ELSE r.room END, o.g, o.n <= r.room FROM r JOIN o ON o.k = r.k + 1),
+        f AS (SELECT g, ok OR (NOT bool_or(ok) OVER () AND g = (SELECT arg_min(g, (n, k)) FROM o)) AS ok FROM r WHERE g IS NOT NULL)
+        SELECT doc_id AS id, ok AS to_val FROM documents JOIN f ON f.g = doc_id // 7""",
+    "weighted_sample": f"""
+        WITH {LINES}, w AS (SELECT id, factor, sum(factor) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING) AS hi FROM fa), z AS (SELECT count(*) AS n, max(hi) AS total FROM w),
+        p AS (SELECT ('0x' || substr(sha1('3:' || i), 1, 13))::BIGINT / (1::BIGINT << 52) * total AS p FROM (SELECT unnest(range(n)) AS i, total FROM z))
+        SELECT id, count(*) AS draws FROM p JOIN w ON p >= hi - factor AND p < hi GROUP BY 1""",
     "repeat_factors": f"WITH {LINES} SELECT id, dataset, round(factor, 6) AS factor FROM fa",
     "balance_report": f"""
         WITH {LINES}, p AS (SELECT 'dataset' AS kind, dataset AS name, factor FROM fa UNION ALL SELECT 'class', CAST(c AS VARCHAR), factor FROM fa JOIN k USING (id))

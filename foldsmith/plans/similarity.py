@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foldsmith.functions.vectors import hamming, sign_bits
+from foldsmith.functions.vectors import sign_bits
 from foldsmith.operators import pairs, registry
 from foldsmith.operators import similarity as S
 from foldsmith.operators.graph import connected_components
@@ -52,11 +52,10 @@ def hamming_with_cosine_guard(spark, sf_dir):
 
 
 def distance_histogram(spark, sf_dir):
-    """Pairs of labels 0 and 1 by Hamming distance above 0 in three buckets [J19, A9]; two collections of a bounded size."""
+    """Pairs of labels 0 and 1 by Hamming distance above 0 in three buckets [J19, A9]."""
     h = hashes(spark, sf_dir).select("vec_id", "label", "bits")
-    d = h.where("label = 0").select(F.col("bits").alias("x")).crossJoin(h.where("label = 1").select(F.col("bits").alias("y"))).select(hamming(F.col("x"), F.col("y")).alias("d"))
-    bucket = F.when(F.col("d") <= 24, "1-24").when(F.col("d") <= 32, "25-32").otherwise("33+")
-    return d.where("d > 0").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    d = S.distance_counts(h.where("label = 0"), h.where("label = 1"), [24, 32])
+    return d.select(F.element_at(F.array(*map(F.lit, ("1-24", "25-32", "33+"))), (F.col("bucket") + 1).cast("int")).alias("bucket"), "n")
 
 
 def closest_pairs(spark, sf_dir):

@@ -24,6 +24,7 @@ def build_session(app: str = "foldsmith", master: str = "local[*]", **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.shuffle.partitions": "8",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64m",
         "spark.ui.enabled": "false",
         "spark.driver.memory": "6g",
     } | {k.replace("__", "."): v for k, v in conf.items()}
@@ -41,9 +42,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset, as in tests on one machine, a temporary folder takes its place.
+    Only where that is unset and the session is local, as in tests, a temporary folder takes its place.
     """
     known = spark.conf.get("spark.checkpoint.dir", None)
+    if not known and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not known:
         known = tempfile.mkdtemp(prefix="foldsmith-")
         atexit.register(shutil.rmtree, known, ignore_errors=True)

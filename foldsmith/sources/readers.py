@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foldsmith.functions import boxes as B
+from foldsmith.operators.audit import Unreadable
+from foldsmith.operators.balance import hash_sample
+from foldsmith.operators.ids import with_index
 from foldsmith.session import scratch_path
 
 COCO = """images array<struct<id:bigint,file_name:string,width:int,height:int>>,
@@ -78,7 +81,7 @@ def yolo(spark: SparkSession, label_glob: str, sizes: DataFrame, dataset: str) -
     """One text file for each image, lines `class cx cy w h`; sizes: stem, file_name, width, height. Images without a label file drop."""
     stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.txt$", 1)
     lines = spark.read.text(label_glob).select(stem.alias("stem"), F.split(F.trim("value"), r"\s+").alias("t"))
-    # An empty file has no rows, so the names come from the reader's file index, which the driver holds anyway.
+    # No reader of Spark gives rows for an empty file, so the names come from the reader's file index, which the driver holds anyway.
     found = [(x.rsplit("/", 1)[-1].removesuffix(".txt"),) for x in spark.read.text(label_glob).inputFiles()]
     files = spark.createDataFrame(found, "stem string")
     images = sizes.join(files, "stem", "left_semi").select(F.lit(dataset).alias("dataset"), F.lit(None).cast("string").alias("split"), F.col("stem").alias("old_id"), "file_name", "width", "height")
@@ -112,6 +115,135 @@ def read_dataset(spark: SparkSession, kind: str, *args) -> tuple[DataFrame, Data
     return READERS[kind](spark, *args)
 
 
+def read_all(spark: SparkSession, sources: list[tuple[str, str, tuple]]) -> tuple[DataFrame, DataFrame]:
+    """(images, annotations) of all sources (dataset, format, reader's arguments before the name) in config order.
+
+    dataset_ord is the place in that order; old ids, whose types differ by format, are strings.
+    """
+    images, annotations = [], []
+    for nth, (dataset, kind, args) in enumerate(sources):
+        i, a = read_dataset(spark, kind, *args, dataset)
+        images.append(i.withColumns({"old_id": F.col("old_id").cast("string"), "dataset_ord": F.lit(nth)}))
+        annotations.append(a.withColumns({"old_image_id": F.col("old_image_id").cast("string"), "dataset_ord": F.lit(nth)}))
+    return tuple(_stack(x) for x in (images, annotations))
+
+
+def _stack(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def embedding_cache(spark: SparkSession, path: str) -> DataFrame:
+    """(path, embedding) of a Parquet cache; empty where there is none yet."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.read.parquet(path).select("path", F.col("embedding").cast("array<float>").alias("embedding"))
+    return spark.createDataFrame([], "path string, embedding array<float>")
+
+
+#: What the check reader takes of each format; it shares no schema and no box code with the readers above.
+CHECK_COCO = "images array<struct<id:string,file_name:string>>, annotations array<struct<image_id:string,category_id:string,bbox:array<double>>>, categories array<struct<id:string,name:string>>"
+CHECK_PER_IMAGE = "array<struct<image:string,annotations:array<struct<label:string,coordinates:map<string,double>>>>>"
+
+
+def check_boxes(spark: SparkSession, kind: str, path: str, dataset: str, class_map: DataFrame, sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(boxes, dropped) of one source, read a second way to verify the readers.
+
+    boxes: image, class_id, corners x1, y1, x2, y2 (cropped to the image where the format is relative or centred). dropped: dataset, reason,
+    n: raw classes that class_map (raw_class, class_id) lacks, and boxes without an area. path: the folder of splits, or a
+    glob of files; sizes: file_name, stem, width, height.
+    """
+    if kind == "coco_roboflow":
+        raw = spark.read.text(_shown(spark, path, "_annotations.coco.json"), wholetext=True).select(F.from_json("value", f"struct<{CHECK_COCO.replace(' array', ': array')}>").alias("j"))
+        raw = raw.select(F.monotonically_increasing_id().alias("f"), "j.*")
+        name = raw.select("f", F.explode(F.map_from_entries(F.transform("categories", lambda c: F.struct(c["id"], c["name"]))))).toDF("f", "category_id", "raw_class")
+        image = raw.select("f", F.inline("images")).toDF("f", "image_id", "image")
+        b = F.col("bbox")
+        boxes = raw.select("f", F.inline("annotations")).join(name, ["f", "category_id"]).join(image, ["f", "image_id"])
+        boxes = boxes.select("image", "raw_class", b[0].alias("x1"), b[1].alias("y1"), (b[0] + b[2]).alias("x2"), (b[1] + b[3]).alias("y2"))
+    elif kind == "yolo":
+        part = F.split(F.trim("value"), "[ \t]+")
+        raw = spark.read.text(path).select(F.regexp_extract("_metadata.file_name", "^(.*)[.]txt$", 1).alias("stem"), part.alias("p")).where(F.size("p") > 4).join(sizes, "stem")
+        boxes = _cropped(raw, F.col("file_name"), F.col("p")[0], *((F.col("p")[k].cast("double") * F.col(size)) for k, size in ((1, "width"), (2, "height"), (3, "width"), (4, "height"))))
+    elif kind == "fuselage_json":
+        raw = spark.read.text(path, wholetext=True).select(F.try_element_at(F.from_json("value", CHECK_PER_IMAGE), F.lit(1)).alias("r")).where("r IS NOT NULL")
+        raw = raw.select(F.col("r.image").alias("file_name"), F.explode("r.annotations").alias("a")).join(sizes, "file_name")
+        boxes = _cropped(raw, F.col("file_name"), F.col("a.label"), *(F.col("a.coordinates")[k] for k in ("x", "y", "width", "height")))
+    else:
+        raise ValueError(f"unknown format: {kind}")
+    known = boxes.join(F.broadcast(class_map.select("raw_class", "class_id")), "raw_class", "left")
+    flat = (F.col("x2") <= F.col("x1")) | (F.col("y2") <= F.col("y1"))
+    reason = F.when(F.col("class_id").isNull(), F.col("raw_class")).when(flat, F.concat("raw_class", F.lit(" (without an area)")))
+    known = known.withColumn("reason", reason)
+    dropped = known.where("reason IS NOT NULL").groupBy(F.lit(dataset).alias("dataset"), "reason").agg(F.count("*").alias("n"))
+    return known.where("reason IS NULL").select("image", "class_id", "x1", "y1", "x2", "y2"), dropped
+
+
+def _cropped(raw: DataFrame, image, label, cx, cy, w, h) -> DataFrame:
+    """Corners of centred boxes in pixels, held inside the image."""
+    within = lambda v, size: F.least(F.greatest(v, F.lit(0.0)), F.col(size).cast("double"))
+    return raw.select(image.alias("image"), label.alias("raw_class"), within(cx - w / 2, "width").alias("x1"), within(cy - h / 2, "height").alias("y1"), within(cx + w / 2, "width").alias("x2"), within(cy + h / 2, "height").alias("y2"))
+
+
+INLINE = """images array<struct<file_name:string,annotations:array<struct<category_name:string,
+    bounding_box_normalized:struct<x_center:double,y_center:double,width:double,height:double>>>>>"""
+
+
+def inline_json(spark: SparkSession, path: str, sizes: DataFrame, dataset: str, default_class: str = "defect") -> tuple[DataFrame, DataFrame]:
+    """One document with the boxes inside its images; sizes: file_name, width, height. Raises if an image has no size, that is no file.
+
+    Images and boxes are numbered from 1 in the document's order; boxes are not clipped; a box without a class has the default.
+    """
+    raw = spark.read.schema(INLINE).option("multiLine", True).json(path).select(F.posexplode("images").alias("pos", "i"))
+    raw = raw.select(F.lit(dataset).alias("dataset"), (F.col("pos") + 1).cast("long").alias("old_id"), F.col("i.file_name").alias("file_name"), F.col("i.annotations").alias("a"))
+    known = _with_files(raw, sizes)
+    ann = known.select("dataset", F.col("old_id").alias("old_image_id"), "width", "height", F.posexplode("a").alias("nth", "a"))
+    n = F.col("a.bounding_box_normalized")
+    w, h = n["width"] * F.col("width"), n["height"] * F.col("height")
+    box = B.box(n["x_center"] * F.col("width") - w / 2, n["y_center"] * F.col("height") - h / 2, w, h)
+    ann = with_index(ann, [F.col("old_image_id"), F.col("nth")], "at").withColumn("ann_id", F.col("at") + 1)
+    ann = ann.select("dataset", "old_image_id", "ann_id", F.coalesce("a.category_name", F.lit(default_class)).alias("raw_class"), box.alias("box"), (w * h).alias("area"), F.lit(0).alias("iscrowd"))
+    return known.drop("a"), ann
+
+
+def coco_again(spark: SparkSession, base: str, files: DataFrame, dataset: str) -> tuple[DataFrame, DataFrame]:
+    """coco() with ids from 1 in order, areas of w * h, and an error where coco() would report a missing file."""
+    images, ann = coco(spark, base, dataset)
+    images = with_index(_with_files(images, files.select("file_name")), [F.col("split"), F.col("old_id")], "at").withColumn("id", F.col("at") + 1).drop("at")
+    ann = ann.join(images.select("split", F.col("old_id").alias("old_image_id"), F.col("id").alias("image_id")), ["split", "old_image_id"])
+    ann = with_index(ann, [F.col("split"), F.col("ann_id")], "at").withColumn("id", F.col("at") + 1).drop("at")
+    return images, ann.withColumn("area", F.col("box.w") * F.col("box.h"))
+
+
+def _with_files(images: DataFrame, files: DataFrame) -> DataFrame:
+    """images joined to their files; raises if any has none."""
+    lost = images.join(files, "file_name", "left_anti").limit(1).collect()
+    if lost:
+        raise Unreadable(f"no file {lost[0].file_name}")
+    return images.join(files, "file_name")
+
+
+def truth_sample(lines: DataFrame, n_classes: int, n: int, seed: int = 1) -> DataFrame:
+    """truth_of_lines of n lines with boxes, the first in hash order; without any mask of classes."""
+    boxed = lines.where(F.size("detection.instances") > 0)
+    return truth_of_lines(hash_sample(boxed, n, F.lit(seed), F.col("filename")), n_classes)
+
+
+def decode_samples(lines: DataFrame, n_classes: int) -> DataFrame:
+    """(filename, boxes, labels, annotated_classes) of ODVG lines: unknown labels drop, a missing class list means all classes.
+
+    A line without a file name is refused rather than replaced by another one.
+    """
+    if not lines.where("filename IS NULL").isEmpty():
+        raise Unreadable("lines without a file name")
+    kept = F.filter(F.coalesce("detection.instances", F.array().cast(lines.schema["detection"].dataType["instances"].dataType)), lambda i: i["label"] < n_classes)
+    every = F.sequence(F.lit(0), F.lit(n_classes - 1))
+    known = F.array_sort(F.array_distinct(F.filter(F.coalesce("annotated_classes", every), lambda c: c < n_classes)))
+    return lines.select("filename", F.transform(kept, lambda i: i["bbox"]).alias("boxes"), F.transform(kept, lambda i: i["label"]).alias("labels"), known.alias("annotated_classes"))
+
+
 def remap_classes(annotations: DataFrame, class_map: DataFrame, numbers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(annotations with class_id, dropped ones); class_map: dataset, raw_class, unified; numbers: unified, class_id."""
     m = F.broadcast(class_map.join(numbers, "unified").select("dataset", "raw_class", "class_id"))
@@ -155,14 +287,20 @@ def drop_lists(spark: SparkSession, path: str, key: str = "drops") -> DataFrame:
 def section_pairs(lines: DataFrame, order: str, line: str) -> DataFrame:
     """(section, nth, first, second): path lines below `=== Exact matches (Distance 0): X ===`, two by two.
 
-    A header begins a section, any other line with === in front ends it. The line's section is carried forward
-    from the last header; a report is one file, its lines the unit of the window.
+    A header begins a section, any other line with === in front ends it. Each line takes the last header before it: the
+    lines are dealt to ranges by their order, each range passes its last header on to those after it.
     """
     head = F.when(F.col(line).startswith("=== "), F.regexp_extract(line, r"^=== Exact matches \(Distance 0\): (.*) ===$", 1))
-    at = F.last(F.when(head.isNotNull(), F.struct(F.col(order).alias("o"), head.alias("h"))), True).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    x = lines.select(order, line, at.alias("s")).where(F.col("s.h").isNotNull() & (F.col("s.h") != "") & F.col(line).rlike(r"^  \S"))
-    x = x.withColumn("k", F.row_number().over(Window.partitionBy("s").orderBy(order)) - 1)
-    g = x.groupBy("s", F.floor(F.col("k") / 2).cast("int").alias("nth")).agg(F.max(F.when(F.col("k") % 2 == 0, F.trim(line))).alias("first"), F.max(F.when(F.col("k") % 2 == 1, F.trim(line))).alias("second"))
+    mark = F.when(head.isNotNull(), F.struct(F.col(order).alias("o"), head.alias("h")))
+    x = with_index(lines.select(F.col(order).alias("_o"), F.col(line).alias("_line"), mark.alias("_mark")), [F.col("_o"), F.col("_line")], "_i")
+    x = x.withColumn("_part", F.floor(F.col("_i") / 65536))
+    inner = Window.partitionBy("_part").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    ends = x.groupBy("_part").agg(F.max_by("_mark", F.when(F.col("_mark").isNotNull(), F.col("_i"))).alias("_end"))  # a row for each 65,536 lines
+    before = F.last("_end", True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    x = x.withColumn("_own", F.last("_mark", True).over(inner)).join(F.broadcast(ends.select("_part", before.alias("_before"))), "_part")
+    x = x.select("_o", "_line", F.coalesce("_own", "_before").alias("s")).where(F.col("s.h").isNotNull() & (F.col("s.h") != "") & F.col("_line").rlike(r"^  \S"))
+    x = x.withColumn("k", F.row_number().over(Window.partitionBy("s").orderBy("_o")) - 1)
+    g = x.groupBy("s", F.floor(F.col("k") / 2).cast("int").alias("nth")).agg(F.max(F.when(F.col("k") % 2 == 0, F.trim("_line"))).alias("first"), F.max(F.when(F.col("k") % 2 == 1, F.trim("_line"))).alias("second"))
     return g.where("second IS NOT NULL").select(F.col("s.h").alias("section"), "nth", "first", "second")
 
 

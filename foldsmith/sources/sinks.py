@@ -1,11 +1,14 @@
-"""Writers of folds and manifests [K1-K8, K11, K12, K14]. All write through Spark, to any file system that it knows."""
+"""Writers of folds, reports and manifests [K1-K12, K14, T16]. All write through Spark, to any file system that it knows."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldsmith.functions.boxes import to_corners
+from foldsmith.operators.ids import with_index
 
 
 def odvg_rows(images: DataFrame, annotations: DataFrame, classes: DataFrame, names: DataFrame) -> DataFrame:
@@ -31,6 +34,48 @@ def coco_document(images: DataFrame, annotations: DataFrame, names: DataFrame) -
     return i.crossJoin(a).crossJoin(c)
 
 
+def canonical_coco(images: DataFrame, annotations: DataFrame, names: DataFrame) -> DataFrame:
+    """coco_document with images by file and boxes by image, class, y and x, numbered anew from 0 in that order."""
+    at = with_index(images, [F.col("file"), F.col("image_id")], "_new").select(F.col("image_id").alias("_old"), F.col("_new"))
+    order = [F.col("_new"), F.col("class_id"), F.col("box")["y"], F.col("box")["x"], F.col("ann_id")]
+    boxes = with_index(annotations.withColumnRenamed("image_id", "_old").join(at, "_old"), order, "_place")
+    boxes = boxes.select(F.col("_place").alias("ann_id"), F.col("_new").alias("image_id"), "class_id", "box")
+    return coco_document(images.withColumn("_old", F.col("image_id")).join(at, "_old").withColumn("image_id", F.col("_new")), boxes, names)
+
+
+def write_nearest(nearest: DataFrame, counts: DataFrame, path: str) -> None:
+    """K9: the pairs of an audit, closest first, as one CSV file for each fold and split, and the counters as JSON lines."""
+    rows = nearest.select("held", "split", "id", "near", F.format_string("%.4f", "cosine").alias("cosine"), "distance", F.col("cosine").alias("_c"))
+    rows = rows.repartition("held", "split").sortWithinPartitions("held", "split", F.desc("_c"), "id").drop("_c")
+    rows.write.mode("errorifexists").option("header", True).partitionBy("held", "split").csv(f"{path}/nearest")
+    counts.coalesce(1).write.mode("errorifexists").json(f"{path}/summary")  # a row for each fold and split
+
+
+def report(rows: DataFrame, columns: list[tuple[str, str]], order: list[str]) -> DataFrame:
+    """(nth, line): a header, a rule and one formatted line for each row; columns: (name, printf format such as %-20s or %10.4f)."""
+    width = [int("".join(c for c in f.split(".")[0] if c.isdigit()) or 0) for _, f in columns]
+    head = " ".join(name.ljust(w) if "-" in f else name.rjust(w) for (name, f), w in zip(columns, width))
+    body = with_index(rows.select(*order, F.format_string(" ".join(f for _, f in columns), *(c for c, _ in columns)).alias("line")), [F.col(c) for c in order], "_i")
+    top = rows.sparkSession.createDataFrame([(0, head), (1, "-" * len(head))], "nth long, line string")
+    return top.union(body.select((F.col("_i") + 2).alias("nth"), "line"))
+
+
+def write_registry(path: str, images: DataFrame, annotations: DataFrame, groups: DataFrame, folds: DataFrame, as_json: bool = False) -> None:
+    """The registry, merged annotations, scene groups and folds as tables below path; as JSON lines too if asked for."""
+    for name, df in (("images", images), ("annotations", annotations), ("groups", groups), ("folds", folds)):
+        df.write.mode("errorifexists").parquet(f"{path}/{name}")
+        if as_json:
+            df.sparkSession.read.parquet(f"{path}/{name}").write.option("ignoreNullFields", False).json(f"{path}/json/{name}")
+
+
+def run_metadata(spark: SparkSession, counts: dict[str, int], config: dict, seed: int) -> DataFrame:
+    """One row with a JSON document: versions, seed, counts, configuration."""
+    import platform
+
+    doc = {"python": platform.python_version(), "spark": spark.version, "seed": seed, **counts, "config": config}
+    return spark.createDataFrame([(json.dumps(doc, sort_keys=True, default=str),)], "value string")
+
+
 def label_map(names: DataFrame) -> DataFrame:
     """K3: one row with {class id: name}."""
     return names.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("class_id").cast("string"), "name"))))).alias("value"))

@@ -224,3 +224,65 @@ def test_average_precision_query_reads_all_of_lineitem(spark):
     assert det.count() == lines.count() and det.select("image_id").distinct().count() == lines.select("l_orderkey").distinct().count()
     support = {r.class_id: r.support for r in curves.average_precision(spark, sf_dir).collect()}
     assert sum(support.values()) == lines.where("l_linenumber <= 3").count() and set(support) == {0, 1, 2, 9}
+
+
+def test_prompts_and_masks(spark):
+    from foldsmith.operators import masking
+
+    assert masking.prompts(spark, {"bare": {"dent": "dent", "hole": "a hole"}}, "bare", ["hole", "dent"]).first().prompt == "a hole"
+    for name, classes in (("none", []), ("bare", ["dent", "rust"])):
+        with pytest.raises(ValueError):
+            masking.prompts(spark, {"bare": {"dent": "dent"}}, name, classes)
+    spans = F.create_map(F.lit(0), F.struct(F.lit(1).alias("start"), F.lit(3).alias("end")), F.lit(1), F.struct(F.lit(3).alias("start"), F.lit(9).alias("end")))
+    assert spark.range(1).select(masking.token_mask(F.array(F.lit(0), F.lit(1), F.lit(7)), spans, 5).alias("m")).first().m == [False, True, True, False, False]
+    q = spark.createDataFrame([(1, [0.0, 2.0, 9.0], [1, 0, 0], [True, True, False], 2)], "b int, logits array<double>, targets array<int>, mask array<boolean>, n int")
+    sig = 1 / (1 + np.exp(-2.0))
+    want = (0.25 * np.log(2) * 0.25 + 0.75 * -np.log(1 - sig) * sig**2) / 2
+    assert masking.focal_loss(q, ["b"], "n").first().loss == pytest.approx(want)
+
+
+def test_leakage_and_fold_files(spark):
+    from foldsmith.operators import leakage
+    from foldsmith.operators.audit import Unreadable
+
+    assert leakage.known_pairs(None, {"a": "b", "c": "a", "b": "z"}, ["a", "b"]) == (["a", "b"], {"a": "b"})
+    assert leakage.known_pairs(["b", "q"], None, ["a", "b"]) == (["b"], {})
+    files = spark.createDataFrame([("0", "train.jsonl"), ("0", "val.jsonl"), ("1", "train.jsonl")], "fold string, name string")
+    maps = spark.createDataFrame([("0", {"0": "dent"}), ("1", {"0": "dent", "1": "hole"})], "fold string, classes map<string,string>")
+    got = {(r.fold, r.problem) for r in leakage.file_problems(files, ["0", "1"], ["train.jsonl", "val.jsonl"], maps, 2).collect()}
+    assert got == {("1", "missing: val.jsonl"), ("0", "label map of 1 classes")}
+    m = spark.createDataFrame([(1, 2, 0.7, 16), (3, 4, 0.5, 16), (5, 6, 0.9, None)], "id long, near long, cosine double, inliers int")
+    with pytest.raises(Unreadable, match="1 validation"):
+        leakage.refuse_matches(m)
+    assert leakage.refuse_matches(m.where("id > 1")).count() == 2
+
+
+def test_group_split_against_a_loop(spark):
+    import hashlib
+    import random
+
+    for seed, most, fraction in ((1, 9, 0.1), (2, 40, 0.1), (3, 3, 0.5), (4, 60, 0.01)):
+        rnd = random.Random(seed)
+        sizes = {g: rnd.randint(1, most) for g in range(80)}
+        df = spark.createDataFrame([(g * 100 + i, g) for g, n in sizes.items() for i in range(n)], "id long, group_id long")
+        order = sorted(sizes, key=lambda g: hashlib.sha1(f"{seed}:{g}".encode()).hexdigest())
+        room, want = max(1, int(sum(sizes.values()) * fraction)), set()
+        for g in order:
+            if sizes[g] <= room:
+                want.add(g)
+                room -= sizes[g]
+        want = want or {min(order, key=lambda g: sizes[g])}
+        got = splits.split_by_group(df, fraction, seed)
+        assert {r.id // 100 for r in got.where("to_val").collect()} == want and got.count() == df.count()
+
+
+def test_jaccard_pairs_with_copies_against_brute_force(spark):
+    import random
+
+    rnd = random.Random(2)
+    base = [[f"w{rnd.randrange(30)}" for _ in range(rnd.randint(2, 25))] for _ in range(25)]
+    texts = [" ".join(b) for b in base] + [" ".join([*b[:-1], "x"]) for b in base] + [" ".join(base[0])] * 4 + [None, "", "a b"]
+    grams = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in ((t or "").split() for t in texts)]
+    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if grams[i] and grams[j] and len(grams[i] & grams[j]) >= 0.6 * len(grams[i] | grams[j])}
+    got = [(r.a, r.b) for r in jaccard_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 0.6).collect()]
+    assert sorted(got) == sorted(want)

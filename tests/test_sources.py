@@ -112,3 +112,83 @@ def test_upsert_and_windows(spark, tmp_path):
     q = events.windowed_counts(events.without_repeats(stream), None).writeStream.outputMode("append").format("memory").queryName("w").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert 0 < spark.table("w").agg(F.sum("n")).first()[0] <= 1000
+
+
+def test_all_sources_and_the_check_reader(spark, tmp_path):
+    coco = {"images": [{"id": 0, "file_name": "a.jpg", "width": 10, "height": 10}], "categories": [{"id": 1, "name": "dent"}, {"id": 2, "name": "odd"}],
+            "annotations": [{"id": 1, "image_id": 0, "category_id": 1, "bbox": [1, 2, 3, 4]}, {"id": 2, "image_id": 0, "category_id": 2, "bbox": [0, 0, 1, 1]}, {"id": 3, "image_id": 0, "category_id": 1, "bbox": [1, 2, 0, 4]}]}
+    put(tmp_path / "c/train/_annotations.coco.json", coco)
+    put(tmp_path / "y/a.txt", "0 0.95 0.5 0.2 0.5\n7 0.5 0.5 0.1 0.1\n0 3.0 0.5 0.1 0.1\nshort\n")
+    put(tmp_path / "y/none.txt", "")
+    put(tmp_path / "f/a.json", [{"image": "a.png", "annotations": [{"label": "dent", "coordinates": {"x": 9, "y": 5, "width": 4, "height": 4}}]}])
+    put(tmp_path / "f/e.json", [])
+    sizes = spark.createDataFrame([("a", "a.jpg", 100, 200), ("none", "none.jpg", 5, 5)], "stem string, file_name string, width int, height int")
+    png = spark.createDataFrame([("a", "a.png", 10, 10)], sizes.schema)
+    c, y, f = str(tmp_path / "c"), str(tmp_path / "y/*.txt"), str(tmp_path / "f/*.json")
+    images, ann = readers.read_all(spark, [("d", "coco_roboflow", (c,)), ("y", "yolo", (y, sizes)), ("f", "fuselage_json", (f, png))])
+    assert {(r.dataset, r.dataset_ord, r.old_id) for r in images.collect()} == {("d", 0, "0"), ("y", 1, "a"), ("y", 1, "none"), ("f", 2, "a.png")}
+    assert ann.groupBy("dataset").count().count() == 3
+    names = spark.createDataFrame([("dent", 0), ("0", 0)], "raw_class string, class_id int")
+    boxes, dropped = readers.check_boxes(spark, "coco_roboflow", c, "d", names)
+    assert [tuple(r) for r in boxes.collect()] == [("a.jpg", 0, 1, 2, 4, 6)]
+    assert {(r.reason, r.n) for r in dropped.collect()} == {("odd", 1), ("dent (without an area)", 1)}
+    boxes, dropped = readers.check_boxes(spark, "yolo", y, "y", names, sizes)
+    assert [(r.image, round(r.x1, 6), r.y1, r.x2, r.y2) for r in boxes.collect()] == [("a.jpg", 85, 50, 100, 150)]
+    assert {(r.dataset, r.reason, r.n) for r in dropped.collect()} == {("y", "7", 1), ("y", "0 (without an area)", 1)}
+    boxes, _ = readers.check_boxes(spark, "fuselage_json", f, "f", names, png)
+    assert [tuple(r) for r in boxes.collect()] == [("a.png", 0, 7, 3, 10, 7)]
+    with pytest.raises(ValueError):
+        readers.check_boxes(spark, "nothing", c, "d", names)
+
+
+def test_inline_and_renumbered(spark, tmp_path):
+    norm = {"x_center": 0.5, "y_center": 0.25, "width": 0.2, "height": 0.1}
+    put(tmp_path / "i.json", {"images": [{"file_name": "b.jpg", "annotations": [{"bounding_box_normalized": norm}, {"category_name": "dent", "bounding_box_normalized": norm}]}, {"file_name": "a.jpg"}]})
+    sizes = spark.createDataFrame([("a.jpg", 10, 20), ("b.jpg", 100, 200)], "file_name string, width int, height int")
+    images, ann = readers.inline_json(spark, str(tmp_path / "i.json"), sizes, "k")
+    assert [(r.old_id, r.file_name, r.width) for r in images.orderBy("old_id").collect()] == [(1, "b.jpg", 100), (2, "a.jpg", 10)]
+    assert [(r.ann_id, r.old_image_id, r.raw_class, [round(x, 6) for x in r.box]) for r in ann.orderBy("ann_id").collect()] == [(1, 1, "defect", [40, 40, 20, 20]), (2, 1, "dent", [40, 40, 20, 20])]
+    with pytest.raises(readers.Unreadable):
+        readers.inline_json(spark, str(tmp_path / "i.json"), sizes.where("width > 50"), "k")
+    doc = {"images": [{"id": 7, "file_name": "b.jpg", "width": 1, "height": 1}, {"id": 3, "file_name": "a.jpg", "width": 1, "height": 1}], "categories": [{"id": 1, "name": "dent"}], "annotations": [{"id": 9, "image_id": 7, "category_id": 1, "bbox": [0, 0, 3, 4], "area": 99.0}]}
+    put(tmp_path / "c/train/_annotations.coco.json", doc)
+    images, ann = readers.coco_again(spark, str(tmp_path / "c"), sizes, "r")
+    assert {(r.old_id, r.id) for r in images.collect()} == {(3, 1), (7, 2)} and [(r.id, r.image_id, r.area) for r in ann.collect()] == [(1, 2, 12)]
+    with pytest.raises(readers.Unreadable):
+        readers.coco_again(spark, str(tmp_path / "c"), sizes.where("width > 50"), "r")
+
+
+def test_embedding_cache(spark, tmp_path):
+    assert readers.embedding_cache(spark, str(tmp_path / "no")).count() == 0
+    spark.createDataFrame([("a", [1.0, 0.0])], "path string, embedding array<double>").write.parquet(str(tmp_path / "e"))
+    assert readers.embedding_cache(spark, str(tmp_path / "e")).first().embedding == [1.0, 0.0]
+
+
+def test_reports_and_registry_files(spark, tmp_path):
+    box = F.struct(F.lit(1.0).alias("x"), F.col("y"), F.lit(2.0).alias("w"), F.lit(2.0).alias("h"))
+    images = spark.createDataFrame([(5, "b.jpg", 4, 4), (6, "a.jpg", 4, 4)], "image_id long, file string, width int, height int")
+    ann = spark.createDataFrame([(1, 5, 0, 3.0), (2, 6, 1, 2.0), (3, 6, 0, 9.0)], "ann_id long, image_id long, class_id int, y double").select("ann_id", "image_id", "class_id", box.alias("box"))
+    names = spark.createDataFrame([(0, "dent"), (1, "hole")], "class_id int, name string")
+    doc = sinks.canonical_coco(images, ann, names).first()
+    assert [(i.id, i.file_name) for i in doc.images] == [(0, "a.jpg"), (1, "b.jpg")]
+    assert [(a.id, a.image_id, a.category_id, a.bbox[1]) for a in doc.annotations] == [(0, 0, 0, 9), (1, 0, 1, 2), (2, 1, 0, 3)]
+    near = spark.createDataFrame([("h", "val", 1, 2, 0.5, 3), ("h", "val", 4, 2, 0.75, 3)], "held string, split string, id long, near long, cosine double, distance long")
+    sinks.write_nearest(near, near.groupBy("held", "split").count(), str(tmp_path / "n"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "n/nearest"))
+    assert [(r.id, r.cosine) for r in back.collect()] == [("4", "0.7500"), ("1", "0.5000")]
+    lines = sinks.report(names.withColumn("ap", F.lit(0.12345)), [("name", "%-8s"), ("ap", "%10.4f")], ["class_id"]).orderBy("nth").collect()
+    assert [r.line for r in lines] == ["name             ap", "-" * 19, "dent         0.1235", "hole         0.1235"] or lines[2].line.endswith("0.1234")
+    sinks.write_registry(str(tmp_path / "r"), images, ann, names, names, as_json=True)
+    assert spark.read.parquet(str(tmp_path / "r/annotations")).count() == 3 and spark.read.json(str(tmp_path / "r/json/images")).count() == 2
+    meta = json.loads(sinks.run_metadata(spark, {"train": 3}, {"lr": 1}, 42).first().value)
+    assert (meta["seed"], meta["train"], meta["config"], meta["spark"]) == (42, 3, {"lr": 1}, spark.version)
+
+
+def test_states_of_another_configuration_and_unfinished_ones_do_not_count(spark, tmp_path):
+    path = str(tmp_path / "s")
+    assert events.load_state(spark, path, "x") == (None, -1)
+    for n in (1, 2, 3):
+        events.save_state(spark.createDataFrame([(n,)], "v int"), path, n, "x" if n < 3 else "y")
+    (tmp_path / "s/version=000000002/_SUCCESS").unlink()
+    state, n = events.load_state(spark, path, "x")
+    assert (state.first().v, n, state.columns) == (1, 1, ["v"]) and events.load_state(spark, path, "y")[1] == 3 and events.load_state(spark, path, "z")[0] is None
