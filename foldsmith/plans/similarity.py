@@ -121,6 +121,20 @@ def proximity_anti_join(spark, sf_dir):
     return S.far_from(e.where("vec_id % 2 = 0 AND label <> 0"), e.where("label = 0"), 0.35).select("vec_id", "label")
 
 
+def proximity_anti_join_labels(spark, sf_dir):
+    """Vectors of any other label that no vector of label 0 is near to, over all rows."""
+    e = emb(spark, sf_dir)
+    return S.far_from(e.where("label <> 0"), e.where("label = 0"), 0.35).select("vec_id", "label")
+
+
+def similarity_counters_labels(spark, sf_dir):
+    """Counters of the cosines of all other labels nearest to label 0, and duplicates among all vectors."""
+    e = emb(spark, sf_dir)
+    near = S.most_similar(e.where("label <> 0"), e.where("label = 0"))
+    inside = S.cosine_pairs(e, T).agg(F.count("*").alias("inside_40"))
+    return near.agg(*S.threshold_counts(near, "cosine", {"n_35": 0.35, "n_40": 0.40, "n_45": 0.45}), _r(F.max("cosine")).alias("top")).crossJoin(inside)
+
+
 def subscene_semi_drop(spark, sf_dir):
     """Documents of a language and source that hold a matched document."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.concat_ws("/", "source", "lang").alias("subscene_id"))
@@ -182,7 +196,7 @@ def scene_group_rollup(spark, sf_dir):
     return g.groupBy("n_images", "cross_dataset").agg(F.count("*").alias("n_groups"))
 
 
-QUERIES = {f.__name__: f for f in (cosine_pairs, cosine_pairs_cross_label, hamming_pairs, hamming_with_cosine_guard, distance_histogram, closest_pairs, nearest_neighbour, nearest_hamming, similarity_counters, topk_per_query_band, topk_per_pool, pair_specification, proximity_anti_join, subscene_semi_drop, match_decisions, shingle_jaccard_pairs, components_docs, components_embeddings, rule_merge_counts, group_id_assignment, scene_group_rollup)}
+QUERIES = {f.__name__: f for f in (cosine_pairs, cosine_pairs_cross_label, hamming_pairs, hamming_with_cosine_guard, distance_histogram, closest_pairs, nearest_neighbour, nearest_hamming, similarity_counters, topk_per_query_band, topk_per_pool, pair_specification, proximity_anti_join, proximity_anti_join_labels, similarity_counters_labels, subscene_semi_drop, match_decisions, shingle_jaccard_pairs, components_docs, components_embeddings, rule_merge_counts, group_id_assignment, scene_group_rollup)}
 
 _HAM = """hp AS (SELECT a.vec_id AS a, b.vec_id AS b, least(bit_count(xor(a.bits, b.bits)), bit_count(xor(a.bits, b.turned)))::BIGINT AS a_to_b,
             least(bit_count(xor(b.bits, a.bits)), bit_count(xor(b.bits, a.turned)))::BIGINT AS b_to_a FROM h a JOIN h b ON a.vec_id < b.vec_id)"""
@@ -218,6 +232,10 @@ SQL = {
     "topk_per_pool": _TOP.format(pool=", label", cond="a.vec_id % 10 = 0", k=2),
     "pair_specification": "SELECT q, t, cosine, rank FROM (" + _TOP.format(pool=", label", cond="a.label IN (0, 1)", k=3) + ") WHERE cosine >= 0.2 AND cosine < 0.4",
     "proximity_anti_join": f"SELECT vec_id, label FROM embeddings a WHERE vec_id % 2 = 0 AND label <> 0 AND NOT EXISTS (SELECT 1 FROM embeddings b WHERE b.label = 0 AND {COS} >= 0.35)",
+    "proximity_anti_join_labels": f"SELECT vec_id, label FROM embeddings a WHERE label <> 0 AND NOT EXISTS (SELECT 1 FROM embeddings b WHERE b.label = 0 AND {COS} >= 0.35)",
+    "similarity_counters_labels": f"""WITH n AS (SELECT a.vec_id, max({COS}) AS c FROM embeddings a JOIN embeddings b ON a.label <> 0 AND b.label = 0 GROUP BY 1)
+        SELECT count(*) FILTER (c >= 0.35) AS n_35, count(*) FILTER (c >= 0.40) AS n_40, count(*) FILTER (c >= 0.45) AS n_45, round(max(c), 6) AS top,
+          (SELECT count(*) FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {COS} >= {T}) AS inside_40 FROM n""",
     "subscene_semi_drop": "SELECT doc_id AS file, source || '/' || lang AS subscene_id FROM documents WHERE source || '/' || lang IN (SELECT source || '/' || lang FROM documents WHERE doc_id % 97 = 0)",
     "match_decisions": """
         SELECT DISTINCT l_suppkey % 3 AS fold_id, 'test' AS side, l_orderkey AS file, 'drop' AS decision FROM lineitem WHERE l_returnflag = 'A' AND l_quantity >= 45
