@@ -87,6 +87,18 @@ def nearest_hamming(spark, sf_dir):
     return S.nearest_hamming(h.where("vec_id % 2 = 0"), h.where("vec_id % 2 = 1"))
 
 
+def nearest_neighbour_labels(spark, sf_dir):
+    """The vector of label 0 nearest to each of any other label, over all rows."""
+    e = emb(spark, sf_dir)
+    return S.most_similar(e.where("label <> 0"), e.where("label = 0")).withColumn("cosine", _r(F.col("cosine")))
+
+
+def nearest_hamming_labels(spark, sf_dir):
+    """Least distance of each vector of another label to label 0, over all rows."""
+    h = hashes(spark, sf_dir)
+    return S.nearest_hamming(h.where("label <> 0"), h.where("label = 0"))
+
+
 def similarity_counters(spark, sf_dir):
     """Counters of the nearest cosines, and duplicates inside one side."""
     e = emb(spark, sf_dir)
@@ -196,7 +208,7 @@ def scene_group_rollup(spark, sf_dir):
     return g.groupBy("n_images", "cross_dataset").agg(F.count("*").alias("n_groups"))
 
 
-QUERIES = {f.__name__: f for f in (cosine_pairs, cosine_pairs_cross_label, hamming_pairs, hamming_with_cosine_guard, distance_histogram, closest_pairs, nearest_neighbour, nearest_hamming, similarity_counters, topk_per_query_band, topk_per_pool, pair_specification, proximity_anti_join, proximity_anti_join_labels, similarity_counters_labels, subscene_semi_drop, match_decisions, shingle_jaccard_pairs, components_docs, components_embeddings, rule_merge_counts, group_id_assignment, scene_group_rollup)}
+QUERIES = {f.__name__: f for f in (cosine_pairs, cosine_pairs_cross_label, hamming_pairs, hamming_with_cosine_guard, distance_histogram, closest_pairs, nearest_neighbour, nearest_hamming, nearest_neighbour_labels, nearest_hamming_labels, similarity_counters, topk_per_query_band, topk_per_pool, pair_specification, proximity_anti_join, proximity_anti_join_labels, similarity_counters_labels, subscene_semi_drop, match_decisions, shingle_jaccard_pairs, components_docs, components_embeddings, rule_merge_counts, group_id_assignment, scene_group_rollup)}
 
 _HAM = """hp AS (SELECT a.vec_id AS a, b.vec_id AS b, least(bit_count(xor(a.bits, b.bits)), bit_count(xor(a.bits, b.turned)))::BIGINT AS a_to_b,
             least(bit_count(xor(b.bits, a.bits)), bit_count(xor(b.bits, a.turned)))::BIGINT AS b_to_a FROM h a JOIN h b ON a.vec_id < b.vec_id)"""
@@ -225,6 +237,8 @@ SQL = {
     "closest_pairs": f"WITH {HASHES} SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.bits, b.bits))::BIGINT AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id AND a.label <> b.label WHERE bit_count(xor(a.bits, b.bits)) > 0 ORDER BY 3, 1, 2 LIMIT 30",
     "nearest_neighbour": "SELECT q, t, cosine FROM (" + _TOP.format(pool="", cond="a.vec_id % 2 = 0 AND b.vec_id % 2 = 1", k=1) + ")",
     "nearest_hamming": f"WITH {HASHES} SELECT a.vec_id AS q, min(bit_count(xor(a.bits, b.bits)))::BIGINT AS distance FROM h a JOIN h b ON a.vec_id % 2 = 0 AND b.vec_id % 2 = 1 GROUP BY 1",
+    "nearest_neighbour_labels": "SELECT q, t, cosine FROM (" + _TOP.format(pool="", cond="a.label <> 0 AND b.label = 0", k=1) + ")",
+    "nearest_hamming_labels": f"WITH {HASHES} SELECT a.vec_id AS q, min(bit_count(xor(a.bits, b.bits)))::BIGINT AS distance FROM h a JOIN h b ON a.label <> 0 AND b.label = 0 GROUP BY 1",
     "similarity_counters": f"""WITH n AS (SELECT a.vec_id, max({COS}) AS c FROM embeddings a JOIN embeddings b ON a.vec_id % 2 = 0 AND b.vec_id % 2 = 1 GROUP BY 1)
         SELECT count(*) FILTER (c >= 0.35) AS n_35, count(*) FILTER (c >= 0.40) AS n_40, count(*) FILTER (c >= 0.45) AS n_45, round(max(c), 6) AS top,
           (SELECT count(*) FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 0 WHERE {COS} >= {T}) AS inside_40 FROM n""",
