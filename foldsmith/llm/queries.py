@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from foldsmith.llm import decontamination, hpyp, language, pieces, preference, rans, repetition, simhash, toxicity, urls
+from foldsmith.llm import decontamination, hpyp, language, pieces, preference, rans, repetition, simhash, toxicity, trie, urls
 from foldsmith.session import table
 
 
@@ -69,3 +69,8 @@ def op3_hpyp(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("train", ~hpyp.held_out())
     out = hpyp.score(docs)
     return out.select("doc_id", hpyp.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
+def op11_trie(spark, sf_dir):
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    return trie.prefix_nodes(table(spark, sf_dir, "conversations")).drop("slot")

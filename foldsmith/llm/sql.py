@@ -43,4 +43,28 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR long) AS kept FROM s
 """
 
-SQL: dict[str, str] = {"op7_repetition": OP7, "op8_preference": OP8}
+# CRC-32 byte by byte: eight steps of its reflected polynomial.
+_CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda s, b: list_reduce(list_concat([xor(s, b)], range(8)), lambda v, i: xor(v >> 1, CASE WHEN v % 2 = 1 THEN 3988292384 ELSE 0 END))))"""
+
+OP11 = rf"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT c, c - c % 20 AS base, CAST({_CRC32} AS BIGINT) % 4 AS h FROM (SELECT DISTINCT c FROM t)),
+r AS (
+  SELECT h.c, 0 AS own, t.k, t.role, t.text FROM h JOIN t ON t.c = h.base AND t.k <= h.h
+  UNION ALL SELECT h.c, 1, t.k, t.role, t.text FROM h JOIN t ON t.c = h.c AND t.k > h.h),
+g AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY own, k) AS pos, len(list_filter(regexp_split_to_array(text, '[ 	-]+'), lambda x: x <> '')) AS words FROM r),
+l AS (SELECT h.c, coalesce(list(md5(g.role || chr(10) || length(g.role) || chr(10) || g.text) ORDER BY g.pos) FILTER (g.pos IS NOT NULL), []) AS said, coalesce(list(g.words ORDER BY g.pos) FILTER (g.pos IS NOT NULL), []) AS words FROM h LEFT JOIN g USING (c) GROUP BY 1),
+p AS (SELECT c, d, md5(array_to_string(said[1:d], ',')) AS key, CASE WHEN d > 0 THEN md5(array_to_string(said[1 : d - 1], ',')) END AS parent, CASE WHEN d > 0 THEN words[d] ELSE 0 END AS words, d = len(said) AS ends
+      FROM (SELECT *, unnest(range(0, len(said) + 1)) AS d FROM l)),
+n AS (SELECT key, d, any_value(parent) AS parent, min(c) AS c, count(*) AS n, (count(*) - 1) * any_value(words) AS saved, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS sha FROM p GROUP BY 1, 2),
+k AS (SELECT parent AS key, count(*) AS n FROM n WHERE d > 0 GROUP BY 1),
+x AS (SELECT n.*, coalesce(k.n, 0) AS children FROM n LEFT JOIN k USING (key)),
+s AS (SELECT p.key, sum(CASE WHEN x.children = 0 THEN 1 ELSE 0 END) AS leaves, sum(x.saved) AS saved FROM x JOIN p ON p.c = x.c AND p.d <= x.d GROUP BY 1)
+SELECT x.c AS conv_id, x.d AS depth, u.c AS parent_conv_id, x.n AS n_convs, x.children AS n_children, CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, x.sha AS ends_sha256
+FROM x JOIN s USING (key) LEFT JOIN n u ON u.key = x.parent
+"""
+
+SQL: dict[str, str] = {"op7_repetition": OP7, "op8_preference": OP8, "op11_trie": OP11}
