@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from foldsmith.llm import decontamination, hpyp, language, pieces, preference, rans, repetition, simhash, toxicity, trie, urls
+from foldsmith.llm import decontamination, hpyp, language, lines, pieces, preference, rans, repetition, search, simhash, toxicity, trie, urls
 from foldsmith.session import table
 
 
@@ -74,3 +74,14 @@ def op3_hpyp(spark, sf_dir):
 def op11_trie(spark, sf_dir):
     """Nodes of the prefix trie of all rebuilt conversations."""
     return trie.prefix_nodes(table(spark, sf_dir, "conversations")).drop("slot")
+
+
+def op12_search(spark, sf_dir):
+    """The twenty best documents for every benchmark item."""
+    return search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_lines(spark, sf_dir):
+    """Line dedup of all documents through the reversible index."""
+    out = lines.deduplicate_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))

@@ -55,7 +55,8 @@ h AS (SELECT c, c - c % 20 AS base, CAST({_CRC32} AS BIGINT) % 4 AS h FROM (SELE
 r AS (
   SELECT h.c, 0 AS own, t.k, t.role, t.text FROM h JOIN t ON t.c = h.base AND t.k <= h.h
   UNION ALL SELECT h.c, 1, t.k, t.role, t.text FROM h JOIN t ON t.c = h.c AND t.k > h.h),
-g AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY own, k) AS pos, len(list_filter(regexp_split_to_array(text, '[ 	-]+'), lambda x: x <> '')) AS words FROM r),
+g AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY own, k) AS pos, len(list_filter(regexp_split_to_array(text, '[ 	-
+]+'), lambda x: x <> '')) AS words FROM r),
 l AS (SELECT h.c, coalesce(list(md5(g.role || chr(10) || length(g.role) || chr(10) || g.text) ORDER BY g.pos) FILTER (g.pos IS NOT NULL), []) AS said, coalesce(list(g.words ORDER BY g.pos) FILTER (g.pos IS NOT NULL), []) AS words FROM h LEFT JOIN g USING (c) GROUP BY 1),
 p AS (SELECT c, d, md5(array_to_string(said[1:d], ',')) AS key, CASE WHEN d > 0 THEN md5(array_to_string(said[1 : d - 1], ',')) END AS parent, CASE WHEN d > 0 THEN words[d] ELSE 0 END AS words, d = len(said) AS ends
       FROM (SELECT *, unnest(range(0, len(said) + 1)) AS d FROM l)),
@@ -67,4 +68,28 @@ SELECT x.c AS conv_id, x.d AS depth, u.c AS parent_conv_id, x.n AS n_convs, x.ch
 FROM x JOIN s USING (key) LEFT JOIN n u ON u.key = x.parent
 """
 
-SQL: dict[str, str] = {"op7_repetition": OP7, "op8_preference": OP8, "op11_trie": OP11}
+_TERMS = r"list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))"
+
+OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+c AS (SELECT count(*) AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+p AS (SELECT r, any_value(doc_id) AS doc_id, any_value(m) AS m, term, count(*) AS tf
+      FROM (SELECT r, doc_id, 100 - 25 + (25 * len(w)::BIGINT * n) // l AS m, unnest(w) AS term FROM d, c) GROUP BY r, term),
+t AS (SELECT term, CAST(floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY 1), c),
+i AS (SELECT k, any_value(item_id) AS item_id, term, count(*) AS times FROM (SELECT k, item_id, unnest(w) AS term FROM (SELECT row_number() OVER () AS k, item_id, {_TERMS} AS w FROM benchmark)) GROUP BY k, term),
+s AS (SELECT k, r, any_value(item_id) AS item_id, any_value(doc_id) AS doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM i JOIN t USING (term) JOIN p USING (term) GROUP BY k, r)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0) WHERE rank <= 20
+"""
+
+OP13 = r"""
+WITH l AS (
+  SELECT r, doc_id, line, i, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT r, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i
+        FROM (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
+k AS (SELECT key, min(doc_id) AS first FROM l WHERE length(key) >= 10 GROUP BY 1 HAVING count(DISTINCT doc_id) > 1),
+x AS (SELECT l.*, k.key IS NOT NULL AND l.doc_id <> k.first AS gone FROM l LEFT JOIN k USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM x GROUP BY r
+"""
+
+SQL: dict[str, str] = {"op7_repetition": OP7, "op8_preference": OP8, "op11_trie": OP11, "op12_search": OP12, "op13_lines": OP13}
