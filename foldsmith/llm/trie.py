@@ -220,6 +220,7 @@ def prefix_nodes(turns: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     rows = materialize(keyed.join(paths, "c"), "trie-paths")
     # Turns below a prefix; it falls along every path, so the upper nodes are the first ones of a path.
     upper = rows.groupBy("p1", "p2").agg(F.sum(F.col("len") - F.col("pos") + 1).alias("below"), F.min("pos").alias("at")).where((F.col("below") > shard_rows) | (F.col("at") == 0))
+    upper = materialize(upper, "trie-high")  # a join behind the aggregate itself could not be split at a prefix that many share
     rows = materialize(rows.join(upper.select("p1", "p2", F.lit(True).alias("upper")), ["p1", "p2"], "left").withColumn("upper", F.coalesce("upper", F.lit(False))), "trie-cut")
     high, low = rows.where("upper"), rows.where("NOT upper")
     tops = low.groupBy("c").agg(F.min("pos").alias("cut"), F.min_by(F.struct(F.col("p1").alias("t1"), F.col("p2").alias("t2")), "pos").alias("t")).select("c", "cut", "t.*")
