@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldsmith.operators.ids import with_index
+from foldsmith.operators.scan import running
 
 
 def repeat_factors(lines: DataFrame, cap: float = 3.0) -> DataFrame:
@@ -51,13 +51,8 @@ def weighted_sample(df: DataFrame, weight: str, key: str, n: int, seed: int) ->
     seed and its number as a share of the total. Points and intervals meet by buckets of the range, so the join is an
     equi-join with a bounded number of buckets for each interval.
     """
-    rows = with_index(df.select(key, F.col(weight).cast("double").alias("_w")).where(F.col(weight) > 0), [F.col(key)], "_i")
-    chunk = F.floor(F.col("_i") / 65536)
-    sums = rows.groupBy(chunk.alias("_c")).agg(F.sum("_w").alias("_s"))
-    before = F.coalesce(F.sum("_s").over(Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    sums = sums.withColumn("_b", before)  # a row for each 65,536 rows
-    own = F.sum("_w").over(Window.partitionBy("_c").orderBy("_i"))
-    x = rows.withColumn("_c", chunk).join(sums, "_c").withColumn("_hi", F.col("_b") + own).withColumn("_lo", F.col("_hi") - F.col("_w"))
+    rows = df.select(key, F.col(weight).cast("double").alias("_w")).where(F.col(weight) > 0)
+    x = running(rows, [], [F.col(key)], {"_hi": ("sum", F.col("_w"))}).withColumn("_lo", F.col("_hi") - F.col("_w"))
     total = x.agg(F.max("_hi")).first()[0] or 0.0
     width = max(total / max(n, 1), 1e-300)
     buckets = x.withColumn("_k", F.explode(F.sequence(F.floor(F.col("_lo") / width), F.floor(F.col("_hi") / width))))

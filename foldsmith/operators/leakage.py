@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldsmith.functions.boxes import inside
-from foldsmith.operators.audit import Unreadable, over_cap
+from foldsmith.operators.audit import Unreadable, over_cap, refuse_unreadable
 from foldsmith.operators.balance import hash_order
 from foldsmith.operators.similarity import most_similar, nearest_hamming, top_similar
 
@@ -32,14 +32,16 @@ def fold_problems(folds: DataFrame, boxes: DataFrame, caps: dict[str, int], per_
 def nearest_in_training(folds: DataFrame, held: str, split: str) -> DataFrame:
     """Images of a split with their nearest training image: (held, split, id, near, cosine, distance, same_name).
 
-    folds: held, split, id, embedding, bits, source. distance: least Hamming distance to any training image, 64 without bits.
+    folds: held, split, id, embedding, bits, source; bits is a hash or an array of the hashes of all orientations, of which an image's first is
+    compared with all of the training images. distance: the least one, 64 where training is empty. Images of either
+    side without a vector or hash raise Unreadable: left out, they would look clean. Without training images near and cosine are null.
     """
-    own = folds.where((F.col("held") == held) & (F.col("split") == split))
-    train = folds.where((F.col("held") == held) & (F.col("split") == "train"))
+    fold = refuse_unreadable(folds.where((F.col("held") == held) & F.col("split").isin(split, "train")), "embedding", "bits")
+    own, train = fold.where(F.col("split") == split), fold.where(F.col("split") == "train")
     cosine = most_similar(own, train, "id").select(F.col("q").alias("id"), F.col("t").alias("near"), "cosine")
     distance = nearest_hamming(own, train, "id").select(F.col("q").alias("id"), "distance")
     named = own.select("id", "source").join(train.select("source").where("source IS NOT NULL").distinct().withColumn("same_name", F.lit(True)), "source", "left").select("id", F.coalesce("same_name", F.lit(False)).alias("same_name"))
-    out = cosine.join(distance, "id").join(named, "id")
+    out = own.select("id").join(cosine, "id", "left").join(distance, "id").join(named, "id")
     return out.select(F.lit(held).alias("held"), F.lit(split).alias("split"), "id", "near", "cosine", "distance", "same_name")
 
 
@@ -59,8 +61,9 @@ def sampled_matches(folds: DataFrame, held: str, inliers: DataFrame, n: int, k:
     """(held, id, near, cosine, inliers): n validation images in hash order with their k most similar training images.
 
     inliers: (a, b, inliers) of matched pairs in either order; pairs not matched have null. n is the size of the check, not a limit of the data.
+    Images of train or val without a vector raise Unreadable.
     """
-    own = folds.where(F.col("held") == held)
+    own = refuse_unreadable(folds.where((F.col("held") == held) & F.col("split").isin("val", "train")), "embedding")
     val = own.where("split = 'val'").orderBy(hash_order(F.lit(seed), F.col("id")), "id").limit(n)
     found = top_similar(val, own.where("split = 'train'"), k, "id").where(F.col("cosine") >= least_cosine)
     pair = lambda a, b: (F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"))

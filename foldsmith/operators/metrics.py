@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldsmith.operators.scan import running
+
 THRESHOLDS = [round(0.5 + 0.05 * i, 2) for i in range(10)]
 
 
@@ -106,7 +108,8 @@ def average_precision(detections: DataFrame, truth: DataFrame, classes: DataFram
 
     detections: image_id, class_id, det (number), score, x, y, w, h. truth: image_id, class_id, crowd, x, y, w, h.
     Images are matched in parallel; precision and recall are running sums over each class and threshold
-    by score, the precision is made monotone from the right and sampled at recalls 0, 0.01, ..., 1.
+    by score, taken over ranges of them, so a common class is spread over tasks. The precision is made monotone from the right and
+    sampled at recalls 0, 0.01, ..., 1.
     """
 
     ddl = "image_id long, class_id int, score double, det long, t double, hit boolean, ignored boolean"
@@ -114,11 +117,10 @@ def average_precision(detections: DataFrame, truth: DataFrame, classes: DataFram
     own = F.pmod(F.xxhash64("image_id"), F.lit(buckets)).alias("_b")
     matched = detections.select("*", own).groupBy("_b").cogroup(truth.select("*", own).groupBy("_b")).applyInArrow(lambda d, g: _match_all(d, g), ddl)
     support = truth.where(~F.col("crowd")).groupBy("class_id").agg(F.count("*").alias("support"))
-    run = Window.partitionBy("class_id", "t").orderBy(F.desc("score"), "image_id", "det").rowsBetween(Window.unboundedPreceding, 0)
-    hits = F.sum(F.col("hit").cast("long")).over(run)
-    curve = matched.where(~F.col("ignored")).join(support, "class_id")
-    curve = curve.select("class_id", "t", "support", "score", "image_id", "det", hits.alias("tp"), F.count("*").over(run).alias("n"))
-    curve = curve.select("class_id", "t", (F.col("tp") / F.col("support")).alias("recall"), (F.col("tp") / F.col("n")).alias("precision"))
+    seen = matched.where(~F.col("ignored")).select("class_id", "t", "score", "image_id", "det", "hit")
+    one = F.lit(1).cast("long")
+    curve = running(seen, ["class_id", "t"], [F.desc("score"), F.col("image_id"), F.col("det")], {"tp": ("sum", F.col("hit").cast("long")), "n": ("sum", one)})
+    curve = curve.join(F.broadcast(support), "class_id").select("class_id", "t", (F.col("tp") / F.col("support")).alias("recall"), (F.col("tp") / F.col("n")).alias("precision"))
     # The greatest precision at or beyond each recall sample: a point serves all samples up to its recall.
     best = curve.groupBy("class_id", "t", F.floor(F.col("recall") * 100 + 1e-9).cast("int").alias("r")).agg(F.max("precision").alias("p"))
     samples = best.groupBy("class_id", "t").agg(F.collect_list(F.struct("r", "p")).alias("c"))

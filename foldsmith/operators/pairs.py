@@ -33,7 +33,10 @@ def new_pairs(candidates: DataFrame, known: DataFrame, a: str, b: str) -> DataFr
 
 @dataclass
 class Spec:
-    """Queries and targets (`*` all datasets, `=` the query's own, `+` all as one pool), k, and the cosine band."""
+    """Queries and targets, k, and the cosine band.
+
+    Targets: `*` every dataset as a pool of its own, `=` the query's own dataset, `+` all as one pool; names are one pool together.
+    """
 
     queries: list[str]
     targets: list[str]
@@ -55,7 +58,8 @@ def candidates(images: DataFrame, spec: Spec, key: str = "vec_id", vec: str = "e
     from foldsmith.operators.similarity import band, top_similar
 
     some = lambda names: images if "*" in names or "+" in names or "=" in names else images.where(F.col(dataset).isin(names))
-    found = top_similar(some(spec.queries), some(spec.targets), spec.k, key, vec, pool=None if "+" in spec.targets else dataset)
+    own_pools = "+" not in spec.targets and ("*" in spec.targets or "=" in spec.targets)
+    found = top_similar(some(spec.queries), some(spec.targets), spec.k, key, vec, pool=dataset if own_pools else None)
     if "=" in spec.targets:
         own = images.select(F.col(key).cast("long").alias("q"), F.col(dataset).alias("own"))
         found = found.join(own, "q").where(F.col("pool") == F.col("own")).drop("own")

@@ -7,15 +7,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldsmith.operators import cells
+from foldsmith.operators.graph import connected_components
+from foldsmith.operators.hamming import near_hashes, nearest_hashes
 from foldsmith.operators.tiles import matrix, numbers, tile_join, tile_self_join, unordered
 from foldsmith.session import materialize
 
 
-def cosine_pairs(df: DataFrame, threshold: float, key: str = "vec_id", vec: str = "embedding", cross: str | None = None, cross_threshold: float | None = None) -> DataFrame:
+def cosine_pairs(df: DataFrame, threshold: float, key: str = "vec_id", vec: str = "embedding", cross: str | None = None, cross_threshold: float | None = None, tiled: bool = False, cell_rows: int = cells.CELL_ROWS) -> DataFrame:
     """(a, b, cosine), a < b: pairs of unit vectors at or above the threshold [J4].
 
     With `cross` also pairs whose `cross` differs at or above cross_threshold, which counts only below the
-    threshold [J5].
+    threshold [J5]. Cells that are too far apart never meet; `tiled` compares all pairs of blocks instead, as a reference.
     """
     use_cross = cross is not None and cross_threshold is not None and cross_threshold < threshold
     cols = [F.col(key).cast("long").alias("k"), F.col(vec).cast("array<double>").alias("v")] + ([F.xxhash64(cross).alias("d")] if use_cross else [])
@@ -29,16 +32,27 @@ def cosine_pairs(df: DataFrame, threshold: float, key: str = "vec_id", vec: str
         i, j = unordered(a, b, hit)
         return pa.table({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j]), "cosine": sim[i, j]})
 
-    return tile_self_join(df.select(*cols).where("k IS NOT NULL AND v IS NOT NULL"), "k", kernel, "a long, b long, cosine double")
+    rows, ddl = df.select(*cols).where("k IS NOT NULL AND v IS NOT NULL"), "a long, b long, cosine double"
+    if tiled:
+        return tile_self_join(rows, "k", kernel, ddl)
+    return cells.self_join(rows, min(threshold, cross_threshold) if use_cross else threshold, kernel, ddl, cell_rows)
 
 
-def hamming_pairs(df: DataFrame, most: int, key: str = "vec_id", hashes: str = "h8") -> DataFrame:
+#: Distance up to which hash segments are looked up. Beyond it, so many bits of a segment would have to be turned over that a lookup
+#: meets more than an eighth of all hashes, and comparing blocks of hashes is cheaper.
+MOST_BY_SEGMENTS = 15
+
+
+def hamming_pairs(df: DataFrame, most: int, key: str = "vec_id", hashes: str = "h8", tiled: bool | None = None) -> DataFrame:
     """(a, b, distance, a_to_b, b_to_a), a < b: first hash of one against all orientations of the other [J6].
 
     A pair is a link if either direction is at `most` or below; distance is the less of the two. Null
-    and empty hash arrays link to nothing.
+    and empty hash arrays link to nothing. Up to MOST_BY_SEGMENTS bits the hashes are looked up by segments, beyond that all blocks of
+    hashes are compared; `tiled` chooses one of the two, which give the same rows.
     """
     rows = df.select(F.col(key).cast("long").alias("k"), F.col(hashes).alias("h")).where(F.col("k").isNotNull() & (F.size("h") > 0))
+    if not (most > MOST_BY_SEGMENTS if tiled is None else tiled):
+        return _hamming_by_segments(rows, most)
 
     def kernel(x: pa.Table, y: pa.Table) -> pa.Table:
         a, b = numbers(x["k"]), numbers(y["k"])
@@ -59,6 +73,20 @@ def hamming_pairs(df: DataFrame, most: int, key: str = "vec_id", hashes: str = "
     return tile_self_join(rows, "k", kernel, "a long, b long, distance long, a_to_b long, b_to_a long")
 
 
+def _hamming_by_segments(rows: DataFrame, most: int) -> DataFrame:
+    """hamming_pairs of k and h: different hashes meet by their segments, images by the hashes that have met."""
+    rows = materialize(rows, "hashes")
+    first = rows.select("k", F.col("h")[0].alias("q"))
+    turned = rows.select("k", F.explode(F.array_distinct("h")).alias("h")).where("h IS NOT NULL")
+    met = materialize(near_hashes(first, turned, most).select("q", "h"), "hashes-met")
+    link = first.select(F.col("k").alias("x"), "q").join(met, "q").join(turned.select(F.col("k").alias("y"), "h"), "h").where("x <> y")
+    pairs = link.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    both = pairs.join(rows.select(F.col("k").alias("a"), F.col("h").alias("ha")), "a").join(rows.select(F.col("k").alias("b"), F.col("h").alias("hb")), "b")
+    to = lambda one, other: F.array_min(F.transform(other, lambda x: F.bit_count(F.col(one)[0].bitwiseXOR(x)))).cast("long")
+    both = both.select("a", "b", to("ha", "hb").alias("a_to_b"), to("hb", "ha").alias("b_to_a"))
+    return both.select("a", "b", F.least("a_to_b", "b_to_a").alias("distance"), "a_to_b", "b_to_a")
+
+
 def guarded_hamming_pairs(df: DataFrame, most: int, least_cosine: float, key: str = "vec_id", hashes: str = "h8", vec: str = "embedding") -> DataFrame:
     """hamming_pairs with the pair's cosine and kept = cosine at or above the guard [J7]; the rejected directed pairs are where not kept.
 
@@ -72,15 +100,30 @@ def guarded_hamming_pairs(df: DataFrame, most: int, least_cosine: float, key: st
     return p.withColumn("cosine", dot(F.col("va"), F.col("vb"))).withColumn("kept", F.col("cosine") >= least_cosine).drop("va", "vb")
 
 
-def top_similar(queries: DataFrame, targets: DataFrame, k: int, key: str = "vec_id", vec: str = "embedding", pool: str | None = None, other: str | None = None) -> DataFrame:
+def top_similar(queries: DataFrame, targets: DataFrame, k: int, key: str = "vec_id", vec: str = "embedding", pool: str | None = None, other: str | list[str] | None = None, tiled: bool = False, cell_rows: int = cells.CELL_ROWS) -> DataFrame:
     """(q, t[, pool], cosine, rank): each query's k most similar targets, of every pool if one is named [T2, T3, J10].
 
-    With `other` targets that share the query's value of it are left out before the ranking. Ties go to the
-    least target id. Each tile ranks its own and passes k on, so what is shuffled does not grow with the square.
+    With `other`, one column or several, targets that share the query's value of any of them are left out before the ranking. Ties go to
+    the least target id. Cells of targets are visited best first until the kth best beats what the rest can hold; `tiled` compares all
+    blocks instead, as a reference.
     """
-    cols = [F.col(key).cast("long").alias("k"), F.col(vec).cast("array<double>").alias("v")]
-    extra = {"p": pool, "o": other}
-    pick = lambda df: df.select(*cols, *(F.xxhash64(c).alias(n) for n, c in extra.items() if c)).where("k IS NOT NULL AND v IS NOT NULL")
+    others = [other] if isinstance(other, str) else list(other or [])
+    cols = [F.col(key).cast("long").alias("k"), F.col(vec).cast("array<double>").alias("v"), *(F.xxhash64(c).alias(f"o{i}") for i, c in enumerate(others))]
+    apart = [f"o{i}" for i in range(len(others))]
+    ok = "k IS NOT NULL AND v IS NOT NULL"
+    left = queries.select(*cols).where(ok)
+    right = targets.select(*cols, F.xxhash64(pool).alias("p") if pool else F.lit(0).cast("long").alias("p")).where(ok)
+    found = _top_of_tiles(left, right, k, apart) if tiled else cells.nearest(left, right, k, apart, cell_rows)
+    rank = F.row_number().over(Window.partitionBy("q", "p").orderBy(F.desc("cosine"), "t"))
+    found = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    if pool:
+        names = targets.select(F.xxhash64(pool).alias("p"), F.col(pool).alias("pool")).distinct()
+        return found.join(names, "p").select("q", "t", "pool", "cosine", "rank")
+    return found.select("q", "t", "cosine", "rank")
+
+
+def _top_of_tiles(left: DataFrame, right: DataFrame, k: int, apart: list[str]) -> DataFrame:
+    """(q, t, p, cosine): the k best of every tile and pool; each passes no more on, so what is shuffled does not grow with the square."""
 
     def kernel(x: pa.Table, y: pa.Table) -> pa.Table:
         a, b = numbers(x["k"]), numbers(y["k"])
@@ -88,10 +131,10 @@ def top_similar(queries: DataFrame, targets: DataFrame, k: int, key: str = "vec_
         if len(a) and len(b):
             sim = matrix(x["v"]) @ matrix(y["v"]).T
             ok = a[:, None] != b[None, :]
-            if other:
-                ok &= numbers(x["o"])[:, None] != numbers(y["o"])[None, :]
+            for c in apart:
+                ok &= numbers(x[c])[:, None] != numbers(y[c])[None, :]
             sim = np.where(ok, sim, -np.inf)
-            pools = numbers(y["p"]) if pool else np.zeros(len(b), np.int64)
+            pools = numbers(y["p"])
             for value in np.unique(pools):
                 own = np.flatnonzero(pools == value)
                 own = own[np.argsort(b[own])]
@@ -104,15 +147,7 @@ def top_similar(queries: DataFrame, targets: DataFrame, k: int, key: str = "vec_
                 out["cosine"].append(score[i, c])
         return pa.table({n: np.concatenate(v) if v else np.empty(0, float if n == "cosine" else np.int64) for n, v in out.items()})
 
-    found = tile_join(pick(queries), pick(targets), "k", kernel, "q long, t long, p long, cosine double")
-    rank = F.row_number().over(Window.partitionBy("q", "p").orderBy(F.desc("cosine"), "t"))
-    found = found.withColumn("rank", rank).where(F.col("rank") <= k)
-    if pool:
-        names = targets.select(F.xxhash64(pool).alias("p"), F.col(pool).alias("pool")).distinct()
-        found = found.join(names, "p").select("q", "t", "pool", "cosine", "rank")
-    else:
-        found = found.select("q", "t", "cosine", "rank")
-    return found
+    return tile_join(left, right, "k", kernel, "q long, t long, p long, cosine double")
 
 
 def band(found: DataFrame, low: float, high: float) -> DataFrame:
@@ -120,19 +155,34 @@ def band(found: DataFrame, low: float, high: float) -> DataFrame:
     return found.where((F.col("cosine") >= low) & (F.col("cosine") < high))
 
 
-def nearest_hamming(queries: DataFrame, targets: DataFrame, key: str = "vec_id", bits: str = "bits") -> DataFrame:
-    """(q, distance): least Hamming distance of each query to any target; 64 for a null query or without a target [J11]."""
-    rows = lambda df: df.select(F.col(key).cast("long").alias("k"), F.col(bits).alias("h")).where("k IS NOT NULL AND h IS NOT NULL")
+def nearest_hamming(queries: DataFrame, targets: DataFrame, key: str = "vec_id", bits: str = "bits", tiled: bool = False) -> DataFrame:
+    """(q, distance): least Hamming distance of each query to any target; 64 for a null query or without a target [J11].
+
+    bits: a hash or an array of them. Of a query the first counts, of a target all, so an array of the 8 orientations of the targets
+    finds turned copies. Rings of growing radius over the hashes' segments settle the queries that have something near; only those with
+    nothing within 15 bits are compared with all different hashes of the targets. `tiled` compares all, as a reference.
+    """
+    array = lambda df: F.col(bits) if df.schema[bits].dataType.typeName() == "array" else F.array(bits)
+    asks = queries.select(F.col(key).cast("long").alias("q"), F.get(array(queries), 0).alias("h"))
+    hashes = targets.where(F.col(key).isNotNull()).select(F.explode(array(targets)).alias("h")).where("h IS NOT NULL").distinct()
+    hashes = materialize(hashes, "target-hashes")
+    probes = asks.where("q IS NOT NULL AND h IS NOT NULL").select(F.col("h").alias("q")).distinct()
+    done, far = (None, probes) if tiled else nearest_hashes(probes, hashes)
 
     def kernel(x: pa.Table, y: pa.Table) -> pa.Table:
-        a = numbers(x["k"])
-        if not len(a) or not y.num_rows:
+        a, b = (numbers(t["k"]).astype(np.int64) for t in (x, y))
+        if not len(a) or not len(b):
             return pa.table({"q": np.empty(0, np.int64), "d": np.empty(0, np.int64)})
-        h, g = numbers(x["h"]).astype(np.int64).view(np.uint64), numbers(y["h"]).astype(np.int64).view(np.uint64)
-        return pa.table({"q": a, "d": np.bitwise_count(h[:, None] ^ g[None, :]).min(axis=1).astype(np.int64)})
+        least = np.full(len(a), 64, np.int64)
+        for at in range(0, len(b), 512):
+            np.minimum(least, np.bitwise_count(a.view(np.uint64)[:, None] ^ b[at : at + 512].view(np.uint64)[None, :]).min(axis=1), out=least)
+        return pa.table({"q": a, "d": least})
 
-    least = tile_join(rows(queries), rows(targets), "k", kernel, "q long, d long").groupBy("q").agg(F.min("d").alias("d"))
-    return queries.select(F.col(key).cast("long").alias("q")).join(least, "q", "left").select("q", F.coalesce("d", F.lit(64).cast("long")).alias("distance"))
+    if tiled or not far.isEmpty():
+        rest = tile_join(far.select(F.col("q").alias("k")), hashes.select(F.col("h").alias("k")), "k", kernel, "q long, d long").groupBy("q").agg(F.min("d").alias("distance"))
+        done = rest if done is None else done.unionByName(rest)
+    out = asks.join(done.select(F.col("q").alias("h"), "distance"), "h", "left")
+    return out.select("q", F.coalesce("distance", F.lit(64).cast("long")).alias("distance"))
 
 
 def distance_counts(left: DataFrame, right: DataFrame, uppers: list[int], key: str = "vec_id", bits: str = "bits") -> DataFrame:
@@ -161,15 +211,31 @@ def most_similar(queries: DataFrame, targets: DataFrame, key: str = "vec_id", ve
 
 def far_from(df: DataFrame, held: DataFrame, threshold: float, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """The rows of df whose greatest cosine to any row of `held` is below the threshold [J13]."""
-    near = most_similar(df, held, key, vec).where(F.col("cosine") >= threshold).select(F.col("q").alias(key))
-    return df.join(near, key, "left_anti")
+    return df.join(near_any(df, held, threshold, key, vec).select(F.col("q").alias(key)), key, "left_anti")
 
 
-def jaccard_pairs(docs: DataFrame, threshold: float, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
-    """(a, b, jaccard), a < b, of the sets of word shingles.
+def near_any(df: DataFrame, held: DataFrame, threshold: float, key: str = "vec_id", vec: str = "embedding", cell_rows: int = cells.CELL_ROWS) -> DataFrame:
+    """(q): the rows of df that any other row of `held` is near to, at the threshold or above [J14, J15, G10]; no pair leaves its task."""
+    rows = lambda x: x.select(F.col(key).cast("long").alias("k"), F.col(vec).cast("array<double>").alias("v")).where("k IS NOT NULL AND v IS NOT NULL")
+
+    def kernel(x: pa.Table, y: pa.Table) -> pa.Table:
+        a, b = numbers(x["k"]), numbers(y["k"])
+        hit = (matrix(x["v"]) @ matrix(y["v"]).T >= threshold) & (a[:, None] != b[None, :]) if len(a) and len(b) else np.zeros((len(a), 1), bool)
+        return pa.table({"q": a[hit.any(axis=1)]})
+
+    return cells.join(rows(df), rows(held), threshold, kernel, "q long", cell_rows).distinct()
+
+
+#: Sets that meet on one shingle in a task; of a shingle that more have, the tasks are pairs of parts.
+SHINGLE_PART = 4096
+
+
+def jaccard_classes(docs: DataFrame, threshold: float, key: str = "doc_id", text: str = "text", words: int = 3) -> tuple[DataFrame, DataFrame]:
+    """((a, b, jaccard) of classes of equal shingle sets, a < b, (k, id): the members of every class k, its least id among them).
 
     Prefix filtering: with shingles in the order of their frequency, two sets at the threshold share one of
-    the rarest (1 - threshold) n + 1 of each, so candidates meet on those alone; each is verified on the whole sets.
+    the rarest (1 - threshold) n + 1 of each, so candidates meet on those alone; each is verified on the whole sets. Texts of fewer than
+    `words` words have no shingle and are in no class.
     """
     split = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
     grams = F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: F.array_join(F.slice("w", i, words), " "))
@@ -178,28 +244,61 @@ def jaccard_pairs(docs: DataFrame, threshold: float, key: str = "doc_id", text:
     sets = sets.select("id", F.array_sort(F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))).alias("s"))
     # Equal sets are one class, known by two hashes of the set: pairs are sought between classes and verified once.
     sets = materialize(sets.withColumn("h", F.struct(F.xxhash64("s"), F.xxhash64(F.lit(1), "s"))), "shingles")
-    named = sets.groupBy("h").agg(F.min("id").alias("k"), F.count("*").alias("copies"))
+    named = sets.groupBy("h").agg(F.min("id").alias("k"))
     first = materialize(sets.join(named, (sets.id == named.k) & (sets.h == named.h)).select("k", "s"), "shingle-classes")
     each = first.select("k", F.size("s").alias("n"), F.explode("s").alias("g"))
     df = each.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
     rank = F.row_number().over(Window.partitionBy("k").orderBy("df", "g"))
     # Shingles of one class only can match nothing: they take the first places of the prefix.
     many = each.join(df, "g").withColumn("rank", rank).withColumn("m", F.count("*").over(Window.partitionBy("k")))
-    prefix = materialize(many.where(F.col("rank") + F.col("n") - F.col("m") <= F.floor((1 - threshold) * F.col("n") + 1e-9) + 1).select("k", "g", "n"), "shingle-prefixes")
-    a, b = prefix.select(F.col("k").alias("a"), "g", F.col("n").alias("na")), prefix.select(F.col("k").alias("b"), "g", F.col("n").alias("nb"))
-    candidates = a.join(b, "g").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
+    prefix = materialize(many.where(F.col("rank") + F.col("n") - F.col("m") <= F.floor((1 - threshold) * F.col("n") + 1e-9) + 1).select("k", "g", "n", "df"), "shingle-prefixes")
+    parts = F.ceil(F.col("df") / SHINGLE_PART).cast("int")
+    prefix = prefix.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int"))
+    a = prefix.select(F.col("k").alias("a"), "g", F.col("n").alias("na"), F.col("part").alias("u"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("w"))
+    b = prefix.select(F.col("k").alias("b"), "g", F.col("n").alias("nb"), F.explode(F.sequence(F.lit(0), F.col("part"))).alias("u"), F.col("part").alias("w"))
+    met = a.join(b, ["g", "u", "w"]).where((F.col("u") < F.col("w")) & (F.col("a") != F.col("b")) | (F.col("a") < F.col("b")))
+    met = met.where(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)
+    candidates = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     full = candidates.join(first.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(first.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     found = full.select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("jaccard")).where(F.col("jaccard") >= threshold)
-    # Classes are expanded only where they have copies, as the result names every pair.
-    member = materialize(sets.join(named, "h").select("k", "id"), "shingle-members")
+    return found, materialize(sets.join(named, "h").select("k", "id"), "shingle-members")
+
+
+def jaccard_pairs(docs: DataFrame, threshold: float, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
+    """(a, b, jaccard), a < b, of the sets of word shingles: jaccard_classes with every copy named, so n copies give n (n - 1) / 2 rows."""
+    found, member = jaccard_classes(docs, threshold, key, text, words)
     x = found.join(member.select(F.col("k").alias("a"), F.col("id").alias("x")), "a").join(member.select(F.col("k").alias("b"), F.col("id").alias("y")), "b")
-    inside = member.join(named.where("copies > 1").select("k"), "k", "left_semi")
-    same = inside.select("k", F.col("id").alias("x")).join(inside.select("k", F.col("id").alias("y")), "k").where("x < y").withColumn("jaccard", F.lit(1.0))
+    same = member.select("k", F.col("id").alias("x")).join(member.select("k", F.col("id").alias("y")), "k").where("x < y").withColumn("jaccard", F.lit(1.0))
     pairs = x.select("x", "y", "jaccard").union(same.select("x", "y", "jaccard"))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
 
 
+def jaccard_components(docs: DataFrame, threshold: float, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
+    """(node, component) of the documents that jaccard_pairs links: links of classes, and one edge for each further copy."""
+    found, member = jaccard_classes(docs, threshold, key, text, words)
+    return connected_components(found.select("a", "b").union(member.where("k <> id").select("k", "id")))
+
+
+def closest_pairs(df: DataFrame, n: int, apart: str, key: str = "vec_id", bits: str = "bits") -> DataFrame:
+    """T4: (a, b, distance), a < b: the n pairs of the least Hamming distance above 0 whose `apart` differs; ties by a, then b.
+
+    Every pair of blocks passes no more than n on. Rows without key, hash or `apart` are left out.
+    """
+    rows = df.select(F.col(key).cast("long").alias("k"), F.col(bits).alias("h"), F.xxhash64(apart).alias("o"), F.col(apart).alias("_o")).where("k IS NOT NULL AND h IS NOT NULL AND _o IS NOT NULL").drop("_o")
+
+    def kernel(x: pa.Table, y: pa.Table) -> pa.Table:
+        a, b = numbers(x["k"]), numbers(y["k"])
+        h, g = (numbers(t["h"]).astype(np.int64).view(np.uint64) for t in (x, y))
+        d = np.bitwise_count(h[:, None] ^ g[None, :]).astype(np.int64)
+        i, j = unordered(a, b, (d > 0) & (numbers(x["o"])[:, None] != numbers(y["o"])[None, :]))
+        lo, hi, d = np.minimum(a[i], b[j]), np.maximum(a[i], b[j]), d[i, j]
+        best = np.lexsort((hi, lo, d))[:n]
+        return pa.table({"a": lo[best], "b": hi[best], "distance": d[best]})
+
+    return tile_self_join(rows, "k", kernel, "a long, b long, distance long").orderBy("distance", "a", "b").limit(n)
+
+
 def threshold_counts(df: DataFrame, score: str, thresholds: dict[str, float]) -> list[Column]:
     """Conditional counters of a score at or above each threshold [A7, A8]."""
     return [F.count_if(F.col(score) >= t).alias(name) for name, t in thresholds.items()]

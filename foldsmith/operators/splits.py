@@ -2,7 +2,8 @@
 
 Images are a DataFrame: id, dataset, group_id, subscene_id, sha, file, n_boxes, n_classes, area and
 embedding (unit vector, null allowed). What needs an order inside a scene group runs as one task for each group and
-fold; group summaries, which are small, go to one task for each fold; all else is joins and windows.
+fold, or in rounds over all tasks where a group is large; group summaries, which are small, go to one task for each fold; all
+else is joins and windows.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 
 from foldsmith.operators.graph import connected_components
 from foldsmith.operators.ids import with_index
-from foldsmith.operators.similarity import cosine_pairs, most_similar
+from foldsmith.operators.scan import running
+from foldsmith.operators.similarity import cosine_pairs, near_any
 from foldsmith.session import materialize
 
 
@@ -64,17 +66,17 @@ def cap_key(keep_together: list[str]) -> Column:
     return F.concat_ws("/", F.col("subscene_id").cast("string"), F.when(F.col("dataset").isin(keep_together or [""]), F.col("dataset")))
 
 
-def pick(images: pd.DataFrame, cap: int, thin: float | None) -> list[int]:
+def pick(images: pd.DataFrame, cap: int, thin: float | None, before: list[int] | None = None) -> list[int]:
     """Positions of the images to keep, in the order given (best first).
 
     An image is passed over if its content is chosen already, its cap_key has `cap` chosen, or its cosine to a chosen
-    one is at or above `thin`. What is passed over takes up no place.
+    one is at or above `thin`. What is passed over takes up no place. before: for each image those of its cap_key chosen elsewhere.
     """
     vectors = [None if v is None else np.asarray(v, float) for v in images["embedding"]]
     stack, n = np.empty((16, next((len(v) for v in vectors if v is not None), 0))), 0
     chosen, seen, used = [], set(), {}
     for i, (sha, key, v) in enumerate(zip(images["sha"], images["cap_key"], vectors)):
-        if sha in seen or used.get(key, 0) >= cap:
+        if sha in seen or used.get(key, 0) + (before[i] if before else 0) >= cap:
             continue
         if thin is not None and v is not None and n and (stack[:n] @ v).max() >= thin:
             continue
@@ -89,8 +91,25 @@ def pick(images: pd.DataFrame, cap: int, thin: float | None) -> list[int]:
     return chosen
 
 
-def picked(images: DataFrame, by: list[str], cap: int, thin: float | None) -> DataFrame:
-    """Rows of images (with cap_key) that pick() keeps, one call for each group of `by`."""
+#: Images of a group that one task picks from; larger groups are settled in rounds by all tasks.
+GROUP_ROWS = 10_000
+
+
+def picked(images: DataFrame, by: list[str], cap: int, thin: float | None, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Rows of images (with cap_key) that pick() keeps of each group of `by`.
+
+    A group of up to group_rows images is one task; what is kept of larger ones is the same, see picked_in_rounds.
+    """
+    large = materialize(images.groupBy(*by).agg(F.count("*").alias("_size")).where(F.col("_size") > group_rows).drop("_size"), "large-groups")
+    if large.isEmpty():
+        return images.join(_picked_in_tasks(images, by, cap, thin), [*by, "id"], "left_semi")
+    small = _picked_in_tasks(images.join(large, by, "left_anti"), by, cap, thin)
+    kept = small.unionByName(picked_in_rounds(images.join(large, by, "left_semi"), by, cap, thin, group_rows))
+    return images.join(kept, [*by, "id"], "left_semi")
+
+
+def _picked_in_tasks(images: DataFrame, by: list[str], cap: int, thin: float | None) -> DataFrame:
+    """(*by, id) that pick() keeps, one call for each group."""
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(*best_first()))
     few = images.select(*by, "id", "sha", "cap_key", "embedding", rank.alias("_rank"))
     names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in few.select(*by, "id").schema)
@@ -99,7 +118,61 @@ def picked(images: DataFrame, by: list[str], cap: int, thin: float | None) -> Da
         group = group.sort_values("_rank", ignore_index=True)
         return group.loc[pick(group, cap, thin), [*by, "id"]]
 
-    return images.join(few.groupBy(*by).applyInPandas(run, names), [*by, "id"], "left_semi")
+    return few.groupBy(*by).applyInPandas(run, names)
+
+
+def picked_in_rounds(images: DataFrame, by: list[str], cap: int, thin: float | None, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(*by, id) that pick() keeps of groups of any size: an ordered greedy independent set.
+
+    An image is out once a better one of its content or near to it is kept, or `cap` better ones of its cap_key are; it is kept once no
+    better one that could still be kept stands in its way. Each round settles all such images of all groups at once: what
+    is kept and open before an image comes from running sums over ranges, near pairs from the cells' join. A group whose open images
+    are down to group_rows is finished in one task, so a round is only spent where many images remain.
+    """
+    number = materialize(with_index(images.select(*by, "id", "sha", "cap_key", "embedding", "n_boxes", "n_classes", "area"), [*map(F.col, by), *best_first()], "_n"), "pick-order")
+    edges = None
+    if thin is not None:
+        near = cosine_pairs(number.select("id", "embedding").dropDuplicates(["id"]), thin, "id").select("a", "b")
+        rows = number.select(*by, "id", "_n")
+        end = lambda side: rows.select(*by, F.col("id").cast("long").alias(side), F.col("_n").alias(f"_{side}"))
+        edges = near.join(end("a"), "a").join(end("b"), [*by, "b"])
+        edges = materialize(edges.select(F.least("_a", "_b").alias("_lo"), F.greatest("_a", "_b").alias("_n")), "pick-edges")
+    state = number.select(*by, "id", "_n", "sha", "cap_key", F.lit(0).alias("_is"))  # 0 open, 1 kept, 2 out
+    kept, open_ = ((F.col("_is") == v).cast("long") for v in (1, 0))
+    while True:
+        s = running(state, [*by, "sha"], [F.col("_n")], {"_kept_sha": ("sum", kept), "_open_sha": ("sum", open_)})
+        s = running(s, [*by, "cap_key"], [F.col("_n")], {"_kept_cap": ("sum", kept), "_open_cap": ("sum", open_)})
+        if edges is not None:
+            at = edges.join(state.select(F.col("_n").alias("_lo"), "_is"), "_lo").groupBy("_n").agg(F.count_if(F.col("_is") == 1).alias("_kept_near"), F.count_if(F.col("_is") == 0).alias("_open_near"))
+            s = s.join(at, "_n", "left").fillna(0, ["_kept_near", "_open_near"])
+        else:
+            s = s.withColumns({"_kept_near": F.lit(0), "_open_near": F.lit(0)})
+        out = (F.col("_kept_sha") > 0) | (F.col("_kept_near") > 0) | (F.col("_kept_cap") >= cap)
+        free = (F.col("_open_sha") == 1) & (F.col("_open_near") == 0) & (F.col("_kept_cap") + F.col("_open_cap") - 1 < cap)
+        is_ = F.when(F.col("_is") != 0, F.col("_is")).when(out, 2).when(free, 1).otherwise(0)
+        state = materialize(s.select(*by, "id", "_n", "sha", "cap_key", is_.alias("_is")), "pick-round")
+        most = state.where("_is = 0").groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+        if most <= group_rows:
+            break
+    done = state.where("_is = 1").select(*by, "id")
+    return done if not most else done.unionByName(_finish(state, number, edges, by, cap, thin))
+
+
+def _finish(state: DataFrame, number: DataFrame, edges: DataFrame | None, by: list[str], cap: int, thin: float | None) -> DataFrame:
+    """(*by, id) that pick() keeps of the open images of each group, after those that are settled."""
+    before = running(state, [*by, "cap_key"], [F.col("_n")], {"_kept_cap": ("sum", (F.col("_is") == 1).cast("long"))})
+    sha = running(state, [*by, "sha"], [F.col("_n")], {"_kept_sha": ("sum", (F.col("_is") == 1).cast("long"))})
+    rest = before.where("_is = 0").join(sha.where("_kept_sha = 0").select("_n"), "_n", "left_semi").join(number.select("_n", "embedding"), "_n")
+    if edges is not None:  # kept in the last round, so not yet held against their neighbours
+        close = edges.join(state.where("_is = 1").select(F.col("_n").alias("_lo")), "_lo", "left_semi").select("_n")
+        rest = rest.join(close, "_n", "left_anti")
+    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rest.select(*by, "id").schema)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_n", ignore_index=True)
+        return group.loc[pick(group, cap, thin, group["_kept_cap"].tolist()), [*by, "id"]]
+
+    return rest.groupBy(*by).applyInPandas(run, names)
 
 
 def one_dataset_per_scene(images: DataFrame, by: list[str], keep_together: list[list[str]]) -> DataFrame:
@@ -206,11 +279,8 @@ def split_by_group(images: DataFrame, fraction: float, seed: int) -> DataFrame:
     room = max(1, int((ordered.agg(F.sum("n")).first()[0] or 0) * fraction))
     taken, begin = F.lit(False), 0
     while True:
-        rest = ordered.where((F.col("_i") >= begin) & (F.col("n") <= room)).withColumn("_c", F.floor(F.col("_i") / 65536))
-        sums = rest.groupBy("_c").agg(F.sum("n").alias("_s"))  # a row for each 65,536 groups
-        before = F.coalesce(F.sum("_s").over(Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        upto = F.col("_b") + F.sum("n").over(Window.partitionBy("_c").orderBy("_i"))
-        run = rest.join(F.broadcast(sums.select("_c", before.alias("_b"))), "_c").select("_i", "n", upto.alias("_u"))
+        rest = ordered.where((F.col("_i") >= begin) & (F.col("n") <= room)).select("_i", "n")
+        run = running(rest, [], [F.col("_i")], {"_u": ("sum", F.col("n"))})
         fits = F.col("_u") <= room
         r = run.agg(F.sum(F.when(fits, F.col("n"))).alias("n"), F.min(F.when(~fits, F.col("_i"))).alias("stop")).first()
         end = (1 << 62) if r.stop is None else r.stop
@@ -284,7 +354,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def _near(left: DataFrame, right: DataFrame, held: str, threshold: float) -> DataFrame:
     """Rows of a fold's left side that are at or above the threshold to its right side."""
     a = left.where(F.col("held") == held)
-    return most_similar(a, right.where(F.col("held") == held), "id").where(F.col("cosine") >= threshold).select(F.lit(held).alias("held"), F.col("q").alias("id"))
+    return near_any(a, right.where(F.col("held") == held), threshold, "id").select(F.lit(held).alias("held"), F.col("q").alias("id"))
 
 
 def _far(left, right, held, threshold):
@@ -292,12 +362,17 @@ def _far(left, right, held, threshold):
 
 
 def _settle(val, train, as_train, held_out, near):
-    """Groups with a val image near to train go to train whole, until none is left."""
+    """Groups with a val image near to train go to train whole, until none is left.
+
+    After the first round val has nothing near to what was in train before, so it only meets the groups that have just come.
+    """
+    fresh = train
     while True:
-        close = materialize(_union([_near(val, train, h, near) for h in held_out]).join(val, ["held", "id"]).select("held", "group_id").distinct(), "close")
+        close = materialize(_union([_near(val, fresh, h, near) for h in held_out]).join(val, ["held", "id"]).select("held", "group_id").distinct(), "close")
         if close.isEmpty():
             return val, train
-        train = materialize(train.unionByName(as_train.join(close, ["held", "group_id"], "left_semi")), "train")
+        fresh = materialize(as_train.join(close, ["held", "group_id"], "left_semi"), "fresh")
+        train = materialize(train.unionByName(fresh), "train")
         val = materialize(val.join(close, ["held", "group_id"], "left_anti"), "val")
 
 

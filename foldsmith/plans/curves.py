@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from foldsmith.functions import vectors
 from foldsmith.functions.vectors import lr_factor
 from foldsmith.operators import metrics
 from foldsmith.session import table
@@ -38,14 +39,15 @@ def early_stopping(spark, sf_dir):
 
 
 def lr_schedule(spark, sf_dir):
-    s = spark.range(0, 130).withColumn("f", lr_factor(F.col("id"), 10, 12, 1, 5e-5, 1e-6))
-    return s.select(F.col("id").alias("step"), F.round("f", 9).alias("factor"))
+    """Factor of every step of a run of 130; the orders tell which steps there are."""
+    s = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 130).alias("step")).distinct()
+    return s.select("step", F.round(lr_factor(F.col("step"), 10, 12, 1, 5e-5, 1e-6), 9).alias("factor"))
 
 
 def ema(spark, sf_dir):
     """Moving average of each user's values in time order."""
     g = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))).alias("v"))
-    return g.select("user_id", F.round(F.aggregate("v", F.lit(1.0), lambda s, x: 0.9 * s + 0.1 * x["value"]), 6).alias("ema"))
+    return g.select("user_id", F.round(vectors.ema(F.col("v.value"), 0.9, 1.0), 6).alias("ema"))
 
 
 def status_latest(spark, sf_dir):

@@ -8,7 +8,6 @@ from foldsmith.functions.vectors import sign_bits
 from foldsmith.operators import pairs, registry
 from foldsmith.operators import similarity as S
 from foldsmith.operators.graph import connected_components
-from foldsmith.operators.tiles import numbers, tile_self_join, unordered
 from foldsmith.session import materialize, table
 
 T, CROSS = 0.40, 0.35
@@ -59,21 +58,8 @@ def distance_histogram(spark, sf_dir):
 
 
 def closest_pairs(spark, sf_dir):
-    """The thirty pairs of vectors of different labels with the least distance above 0 [T4]."""
-    h = hashes(spark, sf_dir).select(F.col("vec_id").alias("k"), "label", "bits")
-
-    def kernel(x, y):
-        import numpy as np
-        import pyarrow as pa
-
-        a, b = numbers(x["k"]), numbers(y["k"])
-        d = np.bitwise_count(numbers(x["bits"]).astype(np.int64).view(np.uint64)[:, None] ^ numbers(y["bits"]).astype(np.int64).view(np.uint64)[None, :]).astype(np.int64)
-        i, j = unordered(a, b, (d > 0) & (numbers(x["label"])[:, None] != numbers(y["label"])[None, :]))
-        lo, hi, d = np.minimum(a[i], b[j]), np.maximum(a[i], b[j]), d[i, j]
-        best = np.lexsort((hi, lo, d))[:30]  # a tile passes on no more than can be among the first
-        return pa.table({"a": lo[best], "b": hi[best], "distance": d[best]})
-
-    return tile_self_join(h, "k", kernel, "a long, b long, distance long").orderBy("distance", "a", "b").limit(30)
+    """The thirty pairs of vectors of different labels with the least distance above 0."""
+    return S.closest_pairs(hashes(spark, sf_dir), 30, "label")
 
 
 def nearest_neighbour(spark, sf_dir):
@@ -167,7 +153,7 @@ def shingle_jaccard_pairs(spark, sf_dir):
 
 def components_docs(spark, sf_dir):
     """Components of documents linked by shingles."""
-    return connected_components(S.jaccard_pairs(table(spark, sf_dir, "documents"), 0.7).select("a", "b"))
+    return S.jaccard_components(table(spark, sf_dir, "documents"), 0.7)
 
 
 def components_embeddings(spark, sf_dir):

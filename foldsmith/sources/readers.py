@@ -11,19 +11,20 @@ import json
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldsmith.functions import boxes as B
 from foldsmith.operators.audit import Unreadable
 from foldsmith.operators.balance import hash_sample
 from foldsmith.operators.ids import with_index
+from foldsmith.operators.scan import running
 from foldsmith.session import scratch_path
 
 COCO = """images array<struct<id:bigint,file_name:string,width:int,height:int>>,
     annotations array<struct<id:bigint,image_id:bigint,category_id:int,bbox:array<double>,area:double,iscrowd:int>>,
     categories array<struct<id:int,name:string>>"""
-PER_IMAGE = "image string, annotations array<struct<label:string,coordinates:struct<x:double,y:double,width:double,height:double>>>"
+PER_IMAGE_FIELDS = "image:string,annotations:array<struct<label:string,coordinates:struct<x:double,y:double,width:double,height:double>>>"
 ODVG = "filename string, height int, width int, detection struct<instances:array<struct<bbox:array<double>,label:int,category:string>>>, annotated_classes array<int>"
 PAIRS = "path_a string, path_b string, cosine double, inliers int"
 
@@ -78,13 +79,14 @@ def existing(images: DataFrame, files: DataFrame, on: str = "file_name") -> tupl
 
 
 def yolo(spark: SparkSession, label_glob: str, sizes: DataFrame, dataset: str) -> tuple[DataFrame, DataFrame]:
-    """One text file for each image, lines `class cx cy w h`; sizes: stem, file_name, width, height. Images without a label file drop."""
-    stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.txt$", 1)
-    lines = spark.read.text(label_glob).select(stem.alias("stem"), F.split(F.trim("value"), r"\s+").alias("t"))
-    # No reader of Spark gives rows for an empty file, so the names come from the reader's file index, which the driver holds anyway.
-    found = [(x.rsplit("/", 1)[-1].removesuffix(".txt"),) for x in spark.read.text(label_glob).inputFiles()]
-    files = spark.createDataFrame(found, "stem string")
-    images = sizes.join(files, "stem", "left_semi").select(F.lit(dataset).alias("dataset"), F.lit(None).cast("string").alias("split"), F.col("stem").alias("old_id"), "file_name", "width", "height")
+    """One text file for each image, lines `class cx cy w h`; sizes: stem, file_name, width, height. Images without a label file drop.
+
+    The files are read whole as binary, the only one of Spark's readers that has a row for an empty file.
+    """
+    files = _label_files(spark, label_glob)
+    lines = files.select("stem", F.explode(F.split(F.col("content").cast("string"), r"\r?\n")).alias("value"))
+    lines = lines.select("stem", F.split(F.trim("value"), r"\s+").alias("t"))
+    images = sizes.join(files.select("stem"), "stem", "left_semi").select(F.lit(dataset).alias("dataset"), F.lit(None).cast("string").alias("split"), F.col("stem").alias("old_id"), "file_name", "width", "height")
     n = [F.col("t")[k].cast("double") for k in range(1, 5)]
     ann = lines.where(F.size("t") >= 5).join(sizes, "stem")
     box = B.from_normal_centre(*n, F.col("width"), F.col("height"))
@@ -92,11 +94,16 @@ def yolo(spark: SparkSession, label_glob: str, sizes: DataFrame, dataset: str) -
     return images, ann.withColumns({"area": F.col("box.w") * F.col("box.h"), "iscrowd": F.lit(0)})
 
 
+def _label_files(spark: SparkSession, glob: str) -> DataFrame:
+    """(stem, content) of the .txt files of a glob."""
+    stem = F.regexp_extract(F.col("path"), r"([^/]+)\.txt$", 1)
+    return spark.read.format("binaryFile").load(glob).select(stem.alias("stem"), "content")
+
+
 def per_image(spark: SparkSession, glob: str, sizes: DataFrame, dataset: str) -> tuple[DataFrame, DataFrame]:
     """A JSON list for each image, of which the first record counts; boxes by pixel centre, clipped. sizes: file_name, width, height."""
-    raw = spark.read.schema(PER_IMAGE).option("multiLine", True).json(glob).withColumn("path", F.col("_metadata.file_path"))
-    first = raw.withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy(F.monotonically_increasing_id()))).where("n = 1")
-    images = first.join(sizes, F.col("image") == F.col("file_name")).select(F.lit(dataset).alias("dataset"), F.lit(None).cast("string").alias("split"), F.col("file_name").alias("old_id"), "file_name", "width", "height", "annotations")
+    raw = spark.read.text(glob, wholetext=True).select(F.try_element_at(F.from_json("value", f"array<struct<{PER_IMAGE_FIELDS}>>"), F.lit(1)).alias("r"))
+    images = raw.where("r IS NOT NULL").select("r.*").join(sizes, F.col("image") == F.col("file_name")).select(F.lit(dataset).alias("dataset"), F.lit(None).cast("string").alias("split"), F.col("file_name").alias("old_id"), "file_name", "width", "height", "annotations")
     ann = images.select("dataset", F.col("old_id").alias("old_image_id"), "width", "height", F.explode("annotations").alias("a"))
     c = F.col("a.coordinates")
     box = B.from_centre(c["x"], c["y"], c["width"], c["height"], F.col("width"), F.col("height"))
@@ -292,14 +299,10 @@ def section_pairs(lines: DataFrame, order: str, line: str) -> DataFrame:
     """
     head = F.when(F.col(line).startswith("=== "), F.regexp_extract(line, r"^=== Exact matches \(Distance 0\): (.*) ===$", 1))
     mark = F.when(head.isNotNull(), F.struct(F.col(order).alias("o"), head.alias("h")))
-    x = with_index(lines.select(F.col(order).alias("_o"), F.col(line).alias("_line"), mark.alias("_mark")), [F.col("_o"), F.col("_line")], "_i")
-    x = x.withColumn("_part", F.floor(F.col("_i") / 65536))
-    inner = Window.partitionBy("_part").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    ends = x.groupBy("_part").agg(F.max_by("_mark", F.when(F.col("_mark").isNotNull(), F.col("_i"))).alias("_end"))  # a row for each 65,536 lines
-    before = F.last("_end", True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    x = x.withColumn("_own", F.last("_mark", True).over(inner)).join(F.broadcast(ends.select("_part", before.alias("_before"))), "_part")
-    x = x.select("_o", "_line", F.coalesce("_own", "_before").alias("s")).where(F.col("s.h").isNotNull() & (F.col("s.h") != "") & F.col("_line").rlike(r"^  \S"))
-    x = x.withColumn("k", F.row_number().over(Window.partitionBy("s").orderBy("_o")) - 1)
+    x = lines.select(F.col(order).alias("_o"), F.col(line).alias("_line"), mark.alias("_mark"))
+    x = running(x, [], [F.col("_o"), F.col("_line")], {"s": ("last", F.col("_mark"))})
+    x = x.select("_o", "_line", "s").where(F.col("s.h").isNotNull() & (F.col("s.h") != "") & F.col("_line").rlike(r"^  \S"))
+    x = running(x, ["s"], [F.col("_o"), F.col("_line")], {"k": ("sum", F.lit(1).cast("long"))}).withColumn("k", F.col("k") - 1)
     g = x.groupBy("s", F.floor(F.col("k") / 2).cast("int").alias("nth")).agg(F.max(F.when(F.col("k") % 2 == 0, F.trim("_line"))).alias("first"), F.max(F.when(F.col("k") % 2 == 1, F.trim("_line"))).alias("second"))
     return g.where("second IS NOT NULL").select(F.col("s.h").alias("section"), "nth", "first", "second")
 

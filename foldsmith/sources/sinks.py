@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from foldsmith.functions.boxes import to_corners
 from foldsmith.operators.ids import with_index
+from foldsmith.operators.scan import running
+from foldsmith.session import materialize, scratch_path
 
 
 def odvg_rows(images: DataFrame, annotations: DataFrame, classes: DataFrame, names: DataFrame) -> DataFrame:
@@ -21,12 +23,15 @@ def odvg_rows(images: DataFrame, annotations: DataFrame, classes: DataFrame, nam
 
 
 def write_odvg(rows: DataFrame, path: str) -> None:
-    """K1: JSON lines below fold_id=/split=; refuses to overwrite. Null fields are written."""
-    rows.repartition("fold_id", "split").sortWithinPartitions("fold_id", "split", "filename").write.mode("errorifexists").option("ignoreNullFields", False).partitionBy("fold_id", "split").json(path)
+    """K1: JSON lines below fold_id=/split=, by file name within and across the parts of a split; refuses to overwrite. Null fields are written.
+
+    The rows are dealt to ranges, so a large split is written by many tasks.
+    """
+    rows.repartitionByRange("fold_id", "split", "filename").sortWithinPartitions("fold_id", "split", "filename").write.mode("errorifexists").option("ignoreNullFields", False).partitionBy("fold_id", "split").json(path)
 
 
 def coco_document(images: DataFrame, annotations: DataFrame, names: DataFrame) -> DataFrame:
-    """One row with a COCO document; a test split is one file by its format, so it is gathered here alone."""
+    """One row with a COCO document, for splits that fit a row; write_coco writes those of any size."""
     i = images.select(F.struct(F.col("image_id").alias("id"), F.col("file").alias("file_name"), "width", "height").alias("i")).agg(F.sort_array(F.collect_list("i")).alias("images"))
     b = F.array(*(F.col("box")[c] for c in "xywh"))
     a = annotations.select(F.struct(F.col("ann_id").alias("id"), "image_id", F.col("class_id").alias("category_id"), b.alias("bbox"), (F.col("box")["w"] * F.col("box")["h"]).alias("area"), F.lit(0).alias("iscrowd")).alias("a")).agg(F.sort_array(F.collect_list("a")).alias("annotations"))
@@ -34,13 +39,61 @@ def coco_document(images: DataFrame, annotations: DataFrame, names: DataFrame) -
     return i.crossJoin(a).crossJoin(c)
 
 
-def canonical_coco(images: DataFrame, annotations: DataFrame, names: DataFrame) -> DataFrame:
-    """coco_document with images by file and boxes by image, class, y and x, numbered anew from 0 in that order."""
+def _canonical(images: DataFrame, annotations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Images numbered from 0 by file, boxes from 0 by image, class, y and x."""
     at = with_index(images, [F.col("file"), F.col("image_id")], "_new").select(F.col("image_id").alias("_old"), F.col("_new"))
     order = [F.col("_new"), F.col("class_id"), F.col("box")["y"], F.col("box")["x"], F.col("ann_id")]
     boxes = with_index(annotations.withColumnRenamed("image_id", "_old").join(at, "_old"), order, "_place")
     boxes = boxes.select(F.col("_place").alias("ann_id"), F.col("_new").alias("image_id"), "class_id", "box")
-    return coco_document(images.withColumn("_old", F.col("image_id")).join(at, "_old").withColumn("image_id", F.col("_new")), boxes, names)
+    return images.withColumn("_old", F.col("image_id")).join(at, "_old").withColumn("image_id", F.col("_new")), boxes
+
+
+def canonical_coco(images: DataFrame, annotations: DataFrame, names: DataFrame) -> DataFrame:
+    """coco_document with images by file and boxes by image, class, y and x, numbered anew from 0 in that order."""
+    return coco_document(*_canonical(images, annotations), names)
+
+
+def write_coco(images: DataFrame, annotations: DataFrame, names: DataFrame, path: str, canonical: bool = False) -> None:
+    """One COCO document as one file of any size; refuses to overwrite.
+
+    Every image and box is a line of its own. Spark writes the lines in order as parts beside the path, then the driver streams
+    the parts one after the other into the file and renames it, so a reader sees the whole document or none, and no task and no
+    driver holds more than a line and a buffer.
+    """
+    spark = images.sparkSession
+    if canonical:
+        images, annotations = _canonical(images, annotations)
+    i = images.select(F.lit(0).alias("section"), F.col("image_id").alias("id"), F.to_json(F.struct(F.col("image_id").alias("id"), F.col("file").alias("file_name"), "width", "height")).alias("value"))
+    b = F.array(*(F.col("box")[c] for c in "xywh"))
+    a = F.struct(F.col("ann_id").alias("id"), "image_id", F.col("class_id").alias("category_id"), b.alias("bbox"), (F.col("box")["w"] * F.col("box")["h"]).alias("area"), F.lit(0).alias("iscrowd"))
+    a = annotations.select(F.lit(1).alias("section"), F.col("ann_id").alias("id"), F.to_json(a).alias("value"))
+    c = names.select(F.lit(2).alias("section"), F.col("class_id").cast("long").alias("id"), F.to_json(F.struct(F.col("class_id").alias("id"), "name")).alias("value"))
+    # A head for each section sorts before its lines; every line but the first of its section has a comma in front.
+    heads = spark.createDataFrame([(0, '{"images": ['), (1, '], "annotations": ['), (2, '], "categories": ['), (3, "]}")], "section int, value string").withColumn("id", F.lit(None).cast("long"))
+    lines = i.union(a).union(c).unionByName(heads.select("section", "id", "value"))
+    lines = running(lines, ["section"], [F.asc_nulls_first("id")], {"nth": ("sum", F.lit(1).cast("long"))})
+    order = ["section", "nth"]
+    text = lines.repartitionByRange(*order).sortWithinPartitions(*order).select(F.concat(F.when(F.col("nth") > 2, ",").otherwise(""), F.col("value")).alias("value"))
+    parts = scratch_path(spark, "document")
+    text.write.text(parts)
+    _join_parts(spark, parts, path)
+
+
+def _join_parts(spark: SparkSession, parts: str, path: str) -> None:
+    """Stream part files in the order of their names into one new file."""
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    target, unfinished = hadoop.fs.Path(path), hadoop.fs.Path(f"{path}._unfinished")
+    fs, source = target.getFileSystem(conf), hadoop.fs.Path(f"{parts}/part-*")
+    if fs.exists(target):
+        raise FileExistsError(f"{path} exists")
+    out = fs.create(unfinished, True)
+    for f in sorted((x.getPath() for x in source.getFileSystem(conf).globStatus(source)), key=lambda p: p.getName()):
+        read = f.getFileSystem(conf).open(f)
+        hadoop.io.IOUtils.copyBytes(read, out, conf, False)
+        read.close()
+    out.close()
+    fs.rename(unfinished, target)
+    hadoop.fs.Path(parts).getFileSystem(conf).delete(hadoop.fs.Path(parts), True)
 
 
 def write_nearest(nearest: DataFrame, counts: DataFrame, path: str) -> None:
@@ -94,7 +147,7 @@ def append_new(df: DataFrame, path: str, key: list[str]) -> int:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         df = df.join(spark.read.parquet(path).select(*key), key, "left_anti")
-    df = df.dropDuplicates(key)
+    df = materialize(df.dropDuplicates(key), "new-rows")  # which of two rows of a key is kept is settled once
     n = df.count()
     if n:
         df.write.mode("append").parquet(path)

@@ -21,9 +21,24 @@ def upsert(state: DataFrame | None, updates: DataFrame, key: list[str], order: s
     return new.where("value IS NOT NULL")
 
 
-def save_state(state: DataFrame, path: str, version: int, fingerprint: str) -> None:
-    """A version of the state in a folder of its own, which Spark commits as a whole; fingerprint: of the configuration that made it."""
-    state.withColumn("_fingerprint", F.lit(fingerprint)).write.mode("errorifexists").parquet(f"{path}/version={version:09d}")
+def save_state(state: DataFrame, path: str, version: int, fingerprint: str) -> int:
+    """Write a version of the state and return its number; fingerprint: of the configuration that made it.
+
+    A version is a folder of its own, which Spark commits as a whole. If that number or a later one is taken by a finished version, of
+    this or another configuration, the next free number is used; what a crash left unfinished there is written over.
+    """
+    taken = [n for n, _ in _finished(state.sparkSession, path)]
+    version = max([version, *(n + 1 for n in taken if n >= version)])
+    state.withColumn("_fingerprint", F.lit(fingerprint)).write.mode("overwrite").parquet(f"{path}/version={version:09d}")
+    return version
+
+
+def _finished(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(number, folder) of the versions that have a commit mark, newest first."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    folders = [f.getPath().getParent().toString() for f in found]
+    return sorted(((int(f.rsplit("=", 1)[1]), f) for f in folders), reverse=True)
 
 
 def load_state(spark: SparkSession, path: str, fingerprint: str) -> tuple[DataFrame | None, int]:
@@ -32,13 +47,10 @@ def load_state(spark: SparkSession, path: str, fingerprint: str) -> tuple[DataFr
     A version without its commit mark was never finished and is passed over for the one before it; a state of another
     fingerprint counts for nothing, so tracking begins anew.
     """
-    conf = spark._jsc.hadoopConfiguration()
-    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
-    found = pattern.getFileSystem(conf).globStatus(pattern) or []
-    for folder in sorted((f.getPath().getParent().toString() for f in found), reverse=True):
+    for version, folder in _finished(spark, path):
         state = spark.read.parquet(folder)
         if state.where(F.col("_fingerprint") != fingerprint).isEmpty():
-            return state.drop("_fingerprint"), int(folder.rsplit("=", 1)[1])
+            return state.drop("_fingerprint"), version
     return None, -1
 
 
