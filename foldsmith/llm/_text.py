@@ -43,18 +43,24 @@ def record(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 
 def set_aside(docs: DataFrame, *names: str) -> DataFrame:
-    """docs with its columns of these names renamed to make room for new ones: `score` becomes `score_in`, or `score_in_in` if that is taken."""
-    for name in names:
-        if name in docs.columns:
+    """docs with its columns of these names renamed to make room for new ones: `score` becomes `score_in`, or `score_in_in` if that is taken.
+
+    Names that differ in case alone are the same, as they are to Spark.
+    """
+    wanted = {n.lower() for n in names}
+    for name in docs.columns:
+        if name.lower() in wanted:
+            taken = {c.lower() for c in docs.columns}
             new = name
-            while new in docs.columns or new in names:
+            while new.lower() in taken | wanted:
                 new += "_in"
             docs = docs.withColumnRenamed(name, new)
     return docs
 
 
 def unused(docs: DataFrame, name: str) -> str:
-    """A column name that docs does not have."""
-    while name in docs.columns:
+    """A column name that docs does not have, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
         name += "_"
     return name

@@ -355,7 +355,9 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int = 2, bits
 
     def code(batches):
         def flush(rows):
-            ids = [np.frombuffer(r["ids"], np.uint16 if len(freq) <= 1 << 16 else np.uint32).astype(np.uint32) for r in rows]
+            # As wide as they were written, which depends on the vocabulary and not on the ids that occur.
+            wide = [len(r["ids"]) > 2 * int(np.frombuffer(r["lens"], np.int64).sum()) for r in rows]
+            ids = [np.frombuffer(r["ids"], np.uint32 if w else np.uint16).astype(np.uint32) for r, w in zip(rows, wide)]
             some = [i for i, x in enumerate(ids) if len(x)]
             done = dict(zip(some, encode_blocks([ids[i] for i in some], freq, cum, bits))) if some else {}
             cols = [[r[c] for r in rows] for c in ("shard", "block", "first_token", "doc_ids", "lens")]
