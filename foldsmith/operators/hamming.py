@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from foldsmith.session import materialize
 
-#: Entries of a segment value that one part of it holds (about).
-PART = 4096
+#: Entries of a segment value that one part of it holds (about), and lookups of a hash at most: the table of bits to turn over is broadcast.
+PART, MOST_MASKS = 4096, 1 << 15
 
 
 def segments(m: int) -> list[tuple[int, int]]:
@@ -31,18 +31,19 @@ def radii(most: int, m: int) -> list[int]:
     return [r if i <= a else r - 1 for i in range(m)]
 
 
-def cost(n_probes: int, n_entries: int, most: int, m: int) -> float:
-    """Rows that the lookups make: one for each probe, and the entries that random hashes would meet."""
-    rows = 0.0
-    for (_, width), r in zip(segments(m), radii(most, m)):
-        probes = sum(comb(width, i) for i in range(r + 1))
-        rows += probes + n_entries * probes / 2**width
-    return n_probes * rows
+def lookups(most: int, m: int) -> list[int]:
+    """Values that a probe looks up in each segment."""
+    return [sum(comb(width, i) for i in range(r + 1)) for (_, width), r in zip(segments(m), radii(most, m))]
 
 
-def best_m(n_probes: int, n_entries: int, most: int) -> int:
-    """The number of segments that costs least."""
-    return min(range(2, max(3, min(most + 1, 16) + 1)), key=lambda m: cost(n_probes, n_entries, most, m))
+def cost(n_entries: int, most: int, m: int) -> float:
+    """Rows that a probe makes: one for each lookup, and the entries that a random hash would meet."""
+    return sum(n + n_entries * n / 2**width for n, (_, width) in zip(lookups(most, m), segments(m)))
+
+
+def best_m(n_entries: int, most: int) -> int:
+    """The number of segments that costs least, of those with MOST_MASKS lookups at most."""
+    return min((m for m in range(2, max(2, min(most + 1, 16)) + 1) if sum(lookups(most, m)) <= MOST_MASKS), key=lambda m: cost(n_entries, most, m))
 
 
 def _value(h: Column, first: int, width: int) -> Column:
@@ -79,7 +80,7 @@ def near_hashes(probes: DataFrame, hashes: DataFrame, most: int, m: int | None =
     """(q, h, distance): every different hash h within `most` bits of each different probe q (columns q and h; null matches nothing)."""
     probes = materialize(probes.select("q").where("q IS NOT NULL").distinct(), "hash-probes")
     hashes = materialize(hashes.select("h").where("h IS NOT NULL").distinct(), "hash-entries")
-    m = m or best_m(probes.count(), hashes.count(), most)
+    m = m or best_m(hashes.count(), most)
     found = _candidates(probes, _entries(hashes, m), m, [range(r + 1) for r in radii(most, m)])
     distance = F.bit_count(F.col("q").bitwiseXOR(F.col("h"))).cast("long")
     return found.withColumn("distance", distance).where(F.col("distance") <= most).distinct()

@@ -29,11 +29,11 @@ def greedy_keep(ordered: Column, most: float = 0.9) -> Column:
 def merge_annotations(annotations: DataFrame, most: float = 0.9) -> DataFrame:
     """(ann_id, image_id, ord, class_id, box): the greedy result of every image, numbered by image and order.
 
-    annotations: image_id, ord (total within the image), class_id, box. An image's boxes are one array, so
-    an image is the unit of work; images are spread by their id.
+    annotations: image_id, ord (total within the image), class_id, box. Only boxes of one class clash, so the boxes of a class in an image
+    are one array and the unit of work; those are spread by image and class.
     """
     one = F.struct("ord", "class_id", "box")
-    kept = annotations.groupBy("image_id").agg(F.sort_array(F.collect_list(one)).alias("b")).select("image_id", F.explode(greedy_keep(F.col("b"), most)).alias("k"))
+    kept = annotations.groupBy("image_id", "class_id").agg(F.sort_array(F.collect_list(one)).alias("b")).select("image_id", F.explode(greedy_keep(F.col("b"), most)).alias("k"))
     return merged_annotation_ids(kept.select("image_id", "k.ord", "k.class_id", "k.box"))
 
 

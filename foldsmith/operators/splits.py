@@ -238,12 +238,29 @@ def pick_validation(train: np.ndarray, val: np.ndarray, boxes: np.ndarray, eligi
     return chosen, np.array([share(d) for d in range(train.shape[1])])
 
 
-def validation_groups(summary: DataFrame, rules: FoldRules) -> DataFrame:
+#: Rows of a fold's summary that one task picks the validation groups from; larger folds are picked from in rounds.
+SUMMARY_ROWS = 200_000
+
+
+def validation_groups(summary: DataFrame, rules: FoldRules, summary_rows: int = SUMMARY_ROWS) -> DataFrame:
     """(held, group_id, to_val) of a summary by fold, group and dataset.
 
-    summary: held, group_id, dataset, n_train, n_val, class_boxes map<int,long> (on one row of the group), eligible. A fold's
-    summary has a row for each group and dataset, not for each image, and is one task.
+    summary: held, group_id, dataset, n_train, n_val, class_boxes map<int,long> (on one row of the group), eligible. A fold whose
+    summary has up to summary_rows rows is one task; what is picked in larger ones is the same, see validation.py.
     """
+    from foldsmith.operators.validation import picked_in_rounds
+
+    sizes = summary.groupBy("held").count().collect()  # a row for each fold
+    large = [r.held for r in sizes if r["count"] > summary_rows]
+    if not large:
+        return _validation_in_tasks(summary, rules)
+    out = _validation_in_tasks(summary.where(~F.col("held").isin(large)), rules)
+    for held in sorted(large):
+        out = out.unionByName(picked_in_rounds(summary.where(F.col("held") == held), held, rules))
+    return out
+
+
+def _validation_in_tasks(summary: DataFrame, rules: FoldRules) -> DataFrame:
 
     def run(s: pd.DataFrame) -> pd.DataFrame:
         held = s["held"].iloc[0]

@@ -80,14 +80,14 @@ def write_coco(images: DataFrame, annotations: DataFrame, names: DataFrame, path
 
 
 def _join_parts(spark: SparkSession, parts: str, path: str) -> None:
-    """Stream part files in the order of their names into one new file."""
+    """Stream part files in the order of their numbers into one new file."""
     hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
     target, unfinished = hadoop.fs.Path(path), hadoop.fs.Path(f"{path}._unfinished")
     fs, source = target.getFileSystem(conf), hadoop.fs.Path(f"{parts}/part-*")
     if fs.exists(target):
         raise FileExistsError(f"{path} exists")
     out = fs.create(unfinished, True)
-    for f in sorted((x.getPath() for x in source.getFileSystem(conf).globStatus(source)), key=lambda p: p.getName()):
+    for f in sorted((x.getPath() for x in source.getFileSystem(conf).globStatus(source)), key=lambda p: int(p.getName().split("-")[1])):
         read = f.getFileSystem(conf).open(f)
         hadoop.io.IOUtils.copyBytes(read, out, conf, False)
         read.close()

@@ -106,7 +106,7 @@ def test_every_number_of_segments(spark, m):
     h = df.select(F.explode("h8").alias("h")).distinct()
     got = {(r.q, r.h) for r in hamming.near_hashes(h.withColumnRenamed("h", "q"), h, 6, m).collect()}
     values = [r.h for r in h.collect()]
-    assert got == {(a, b) for a in values for b in values if (a ^ b &ZZ
+    assert got == {(a, b) for a in values for b in values if ((a ^ b) & (1 << 64) - 1).bit_count() <= 6}
 
 
 def test_nearest_hamming_over_orientations(spark):
@@ -121,3 +121,10 @@ def test_nearest_hamming_over_orientations(spark):
     # A turned copy is found by the targets' other orientations.
     turned = targets.select((F.col("vec_id") + 10_000).alias("vec_id"), F.slice("h8", 6, 1).alias("h8"))
     assert {r.distance for r in S.nearest_hamming(turned.where("size(h8) = 1"), targets, bits="h8").collect()} == {0}
+
+
+def test_closest_pairs(spark):
+    df = hashes(spark, 150, copies=30).where("size(h8) > 0").select("vec_id", F.col("h8")[0].alias("bits"), (F.col("vec_id") % 3).alias("label"))
+    rows = lambda x: [tuple(r) for r in x.collect()]
+    for n in (1, 25, 4000):
+        assert rows(S.closest_pairs(df, n, "label")) == rows(S.closest_pairs(df, n, "label", tiled=True))
