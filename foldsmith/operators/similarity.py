@@ -41,6 +41,8 @@ def cosine_pairs(df: DataFrame, threshold: float, key: str = "vec_id", vec: str
 #: Distance up to which hash segments are looked up. Of a million random hashes a probe meets 4 in 100 at 15 bits, 7 at 16 and 13 at 18, each a
 #: row of a join; beyond 15 bits blocks of hashes are compared instead, which costs less for a pair.
 MOST_BY_SEGMENTS = 15
+#: Comparisons of hashes that take a core less than a second: not worth an index.
+FEW = 1 << 28
 
 
 def hamming_pairs(df: DataFrame, most: int, key: str = "vec_id", hashes: str = "h8", tiled: bool | None = None) -> DataFrame:
@@ -155,18 +157,20 @@ def band(found: DataFrame, low: float, high: float) -> DataFrame:
     return found.where((F.col("cosine") >= low) & (F.col("cosine") < high))
 
 
-def nearest_hamming(queries: DataFrame, targets: DataFrame, key: str = "vec_id", bits: str = "bits", tiled: bool = False) -> DataFrame:
+def nearest_hamming(queries: DataFrame, targets: DataFrame, key: str = "vec_id", bits: str = "bits", tiled: bool | None = None) -> DataFrame:
     """(q, distance): least Hamming distance of each query to any target; 64 for a null query or without a target [J11].
 
     bits: a hash or an array of them. Of a query the first counts, of a target all, so an array of the 8 orientations of the targets
     finds turned copies. Rings of growing radius over the hashes' segments settle the queries that have something near; only those with
-    nothing within 15 bits are compared with all different hashes of the targets. `tiled` compares all, as a reference.
+    nothing within 15 bits are compared with all different hashes of the targets. `tiled` compares all at once; if it is not
+    given, that is done where it takes no more than FEW comparisons, which costs less than a ring. Both give the same rows.
     """
     array = lambda df: F.col(bits) if df.schema[bits].dataType.typeName() == "array" else F.array(bits)
     asks = queries.select(F.col(key).cast("long").alias("q"), F.get(array(queries), 0).alias("h"))
     hashes = targets.where(F.col(key).isNotNull()).select(F.explode(array(targets)).alias("h")).where("h IS NOT NULL").distinct()
     hashes = materialize(hashes, "target-hashes")
     probes = asks.where("q IS NOT NULL AND h IS NOT NULL").select(F.col("h").alias("q")).distinct()
+    tiled = probes.count() * hashes.count() <= FEW if tiled is None else tiled
     done, far = (None, probes) if tiled else nearest_hashes(probes, hashes)
 
     def kernel(x: pa.Table, y: pa.Table) -> pa.Table:
@@ -280,15 +284,15 @@ def jaccard_components(docs: DataFrame, threshold: float, key: str = "doc_id", t
     return connected_components(found.select("a", "b").union(member.where("k <> id").select("k", "id")))
 
 
-def closest_pairs(df: DataFrame, n: int, apart: str, key: str = "vec_id", bits: str = "bits", tiled: bool = False) -> DataFrame:
+def closest_pairs(df: DataFrame, n: int, apart: str, key: str = "vec_id", bits: str = "bits", tiled: bool | None = None) -> DataFrame:
     """T4: (a, b, distance), a < b: the n pairs of the least Hamming distance above 0 whose `apart` differs; ties by a, then b.
 
     Hashes are looked up by segments within 7 and then 15 bits; n pairs found within a radius hold the n closest. Of the rows of one
-    hash and `apart` only the n least ids can be among them. If there are fewer, all blocks are compared (`tiled`: at once), and every
-    pair of blocks passes no more than n on. Rows without key, hash or `apart` are left out.
+    hash and `apart` only the n least ids can be among them. If there are fewer, all blocks are compared, and every
+    pair of blocks passes no more than n on. `tiled` does so at once, as do FEW comparisons or less if it is not given. Rows without key, hash or `apart` are left out.
     """
     rows = df.select(F.col(key).cast("long").alias("k"), F.col(bits).alias("h"), F.xxhash64(apart).alias("o"), F.col(apart).alias("_o")).where("k IS NOT NULL AND h IS NOT NULL AND _o IS NOT NULL").drop("_o")
-    if not tiled:
+    if not (rows.count() ** 2 <= FEW if tiled is None else tiled):
         first = F.row_number().over(Window.partitionBy("h", "o").orderBy("k"))
         few = materialize(rows.withColumn("_nth", first).where(F.col("_nth") <= n).drop("_nth"), "closest-rows")
         x, y = few.select(F.col("k").alias("x"), F.col("h").alias("q"), F.col("o").alias("ox")), few.select(F.col("k").alias("y"), "h", F.col("o").alias("oy"))

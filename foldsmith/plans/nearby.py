@@ -22,7 +22,7 @@ def hamming_near_pairs(spark, sf_dir):
 def nearest_hamming_turned(spark, sf_dir):
     """Least distance of each vector of another label to any orientation of those of label 0."""
     h = hashes(spark, sf_dir)
-    return S.nearest_hamming(h.where("label <> 0"), h.where("label = 0"), bits="h8")
+    return S.nearest_hamming(h.where("label <> 0"), h.where("label = 0"), bits="h8", tiled=False)
 
 
 def topk_apart(spark, sf_dir):

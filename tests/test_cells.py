@@ -114,17 +114,17 @@ def test_nearest_hamming_over_orientations(spark):
     far = spark.createDataFrame([(9000, [0x0F0F0F0F0F0F0F0F]), (9001, [-1])], "vec_id long, h8 array<long>")
     asks, targets = df.where("vec_id % 3 = 0 OR vec_id > 5000").unionByName(far), df.where("vec_id % 3 = 1")
     rows = lambda x: sorted(map(tuple, x.collect()), key=str)
-    got = rows(S.nearest_hamming(asks, targets, bits="h8"))
+    got = rows(S.nearest_hamming(asks, targets, bits="h8", tiled=False))
     assert got == rows(S.nearest_hamming(asks, targets, bits="h8", tiled=True))
     assert dict(got)[5001] == 64 and min(d for _, d in got) == 0
-    assert rows(S.nearest_hamming(asks, targets.limit(0), bits="h8"))[0][1] == 64
+    assert rows(S.nearest_hamming(asks, targets.limit(0), bits="h8", tiled=False))[0][1] == 64
     # A turned copy is found by the targets' other orientations.
     turned = targets.select((F.col("vec_id") + 10_000).alias("vec_id"), F.slice("h8", 6, 1).alias("h8"))
-    assert {r.distance for r in S.nearest_hamming(turned.where("size(h8) = 1"), targets, bits="h8").collect()} == {0}
+    assert {r.distance for r in S.nearest_hamming(turned.where("size(h8) = 1"), targets, bits="h8", tiled=False).collect()} == {0}
 
 
 def test_closest_pairs(spark):
     df = hashes(spark, 150, copies=30).where("size(h8) > 0").select("vec_id", F.col("h8")[0].alias("bits"), (F.col("vec_id") % 3).alias("label"))
     rows = lambda x: [tuple(r) for r in x.collect()]
     for n in (1, 25, 4000):
-        assert rows(S.closest_pairs(df, n, "label")) == rows(S.closest_pairs(df, n, "label", tiled=True))
+        assert rows(S.closest_pairs(df, n, "label", tiled=False)) == rows(S.closest_pairs(df, n, "label", tiled=True))
