@@ -120,7 +120,8 @@ def identify(docs: DataFrame, model: crf.Model | None, doc_id: str = "doc_id", t
 def keep_languages(docs: DataFrame, model: crf.Model | None, least: float, text: str = "text") -> DataFrame:
     """The rows, with all their columns, whose language identify() finds with a score of `least` or more.
 
-    Rows without a letter go, null and empty texts among them; without a model all others stay. Repeated rows stay or go together.
+    Rows without a letter go, null and empty texts among them; without a model all others stay. Repeated rows stay or go together,
+    an empty table stays empty.
     """
     at = docs.columns.index(text)
     sent, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex

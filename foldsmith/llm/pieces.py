@@ -370,7 +370,7 @@ def _encode_chunks(giants: DataFrame, model: str, chunk: int, longest: int) -> D
 
 
 def decode(encoded: DataFrame, model: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
-    """encoded with the text of its ids in a new column; null ids give null, an empty table stays empty.
+    """encoded with the text of its ids in a new column; null ids give null, an empty table stays empty. Repeated rows keep a row each.
 
     A column that is named like the new one is renamed, `decoded` to `decoded_in`.
     """
@@ -390,7 +390,11 @@ def decode(encoded: DataFrame, model: str, ids: str = "ids", into: str = "decode
 
 
 def digest(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, n_tokens, score, ids_crc32, round_trip) of every document, encoded and decoded again."""
+    """(doc_id, n_tokens, score, ids_crc32, round_trip) of every document, encoded and decoded again.
+
+    A null text has no ids and counts as empty. Null ids and repeated rows keep a row each, other columns are left out, an empty table
+    gives no rows.
+    """
     own = docs.select(F.col(doc_id).cast("long").alias(doc_id), text)
     back = decode(encode(own, model, text, chunk), model)
     same = F.col("decoded") == F.coalesce(F.col(text), F.lit(""))

@@ -437,7 +437,11 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
 
 
 def token_digest(docs: DataFrame, vocabulary: str, end: int = 2) -> DataFrame:
-    """Write the ids of docs to a new file in the shared folder and read their digests back."""
+    """Write the ids of docs to a new file in the shared folder and read their digests back.
+
+    As in write_tokens: null texts are empty, a null doc_id comes first, repeated rows keep a row each with ties by text, an empty table
+    gives no rows, other columns are not looked at.
+    """
     spark = docs.sparkSession
     path = scratch_path(spark, "tokens")
     write_tokens(docs, path, vocabulary, end)

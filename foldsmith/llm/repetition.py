@@ -205,7 +205,8 @@ def repetition_stats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """Per document: counts of words, their code points, symbols, repeated lines, and repeated words.
 
     n_repeat_words: words covered by repeated substrings of min_words words or more, first copies
-    included; longest_repeat: words of the longest. A null or empty text has zeros. No shuffle.
+    included; longest_repeat: words of the longest. A null or empty text has zeros. Repeated rows and null ids keep a row each,
+    an empty table gives none, other columns are left out. No shuffle.
     """
     names = [c.split()[0] for c in COLUMNS.split(", ")]
     schema = pa.schema([(doc_id, pa.int64()), *((c, pa.int64()) for c in names)])

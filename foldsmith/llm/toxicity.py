@@ -137,7 +137,7 @@ def score_documents(docs: DataFrame, model: ToxicModel | None, doc_id: str = "do
     """(doc_id, score, predicted[, spans]) for every row; spans: offsets [start, end) in characters of words with a marginal of 0.5 or more.
 
     Only the text enters. Null and empty texts score as texts without a toxic word; without a model
-    every score is 0. Repeated rows and null ids keep a row each, other columns are left out. One pass, no shuffle.
+    every score is 0. Repeated rows and null ids keep a row each, other columns are left out, an empty table gives no rows. One pass, no shuffle.
     """
     ddl = f"`{doc_id}` long, score double, predicted int" + ", spans array<struct<start:int,end:int>>" * spans
     sent, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex

@@ -79,7 +79,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, pag
     A rule fits its host and all subdomains if the path starts with the rule's; the longest wins. URLs that a rule
     fits are the labelled ones: a sample of SAMPLE of them trains the trees, which judge all others. Null and empty URLs, and
     those without '://', have an empty host and path and go to the trees too. Repeated rows and null ids
-    keep a row each. With labels of one kind only that is the verdict; with none, `allow`.
+    keep a row each, an empty table gives none. With labels of one kind only that is the verdict; with none, `allow`.
     """
     host, path = host_and_path(F.col(url))
     base = pages.select(F.col(page_id), F.col(url).alias("_url"), host.alias("host"), path.alias("path"))

@@ -94,3 +94,7 @@ def test_few_labels(spark):
 def test_no_python_in_the_plan(spark):
     plan = urls.filter_urls(spark.createDataFrame(rows(), "page_id long, url string"))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_no_pages(spark):
+    assert urls.filter_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
