@@ -20,10 +20,13 @@ from foldsmith.operators.balance import hash_sample
 from foldsmith.operators.ids import with_index
 from foldsmith.operators.scan import running
 from foldsmith.session import scratch_path
+from foldsmith.sources.documents import elements
 
-COCO = """images array<struct<id:bigint,file_name:string,width:int,height:int>>,
-    annotations array<struct<id:bigint,image_id:bigint,category_id:int,bbox:array<double>,area:double,iscrowd:int>>,
-    categories array<struct<id:int,name:string>>"""
+COCO = {
+    "images": "id bigint, file_name string, width int, height int",
+    "annotations": "id bigint, image_id bigint, category_id int, bbox array<double>, area double, iscrowd int",
+    "categories": "id int, name string",
+}
 PER_IMAGE_FIELDS = "image:string,annotations:array<struct<label:string,coordinates:struct<x:double,y:double,width:double,height:double>>>"
 ODVG = "filename string, height int, width int, detection struct<instances:array<struct<bbox:array<double>,label:int,category:string>>>, annotated_classes array<int>"
 PAIRS = "path_a string, path_b string, cosine double, inliers int"
@@ -47,7 +50,9 @@ def config_rows(spark: SparkSession, config: dict) -> DataFrame:
 
 def _shown(spark: SparkSession, base: str, name: str) -> list[str]:
     """Copies, in the shared folder, of `<base>/<split>/<name>`: Spark takes names that begin with _ for hidden. One file for each split."""
-    conf, jvm = spark._jsc.hadoopConfiguration(), spark._jvm
+    jvm = spark._jvm
+    conf = jvm.org.apache.hadoop.conf.Configuration(spark._jsc.hadoopConfiguration())
+    conf.setInt("io.file.buffer.size", 1 << 20)
     pattern = jvm.org.apache.hadoop.fs.Path(f"{base}/*/{name}")
     fs, to = pattern.getFileSystem(conf), scratch_path(spark, "shown")
     out = []
@@ -62,11 +67,13 @@ def _shown(spark: SparkSession, base: str, name: str) -> list[str]:
 
 def coco(spark: SparkSession, base: str, dataset: str) -> tuple[DataFrame, DataFrame]:
     """S3: `<base>/<split>/_annotations.coco.json`; boxes as they are, area with a default of w * h, crowd of 0."""
-    raw = spark.read.schema(COCO).option("multiLine", True).json(_shown(spark, base, "_annotations.coco.json")).withColumn("split", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+    paths = _shown(spark, base, "_annotations.coco.json")
+    split = F.element_at(F.array(*(F.lit(p.split("/")[-2]) for p in paths)), F.col("doc") + 1).alias("split")
+    i, a, c = (x.select(split, F.from_json("value", COCO[n]).alias("r")).select("split", "r.*") for n, x in zip(COCO, elements(spark, paths, [*COCO])))
     head = [F.lit(dataset).alias("dataset"), "split"]
-    images = raw.select("split", F.explode("images").alias("i")).select(*head, F.col("i.id").alias("old_id"), "i.file_name", "i.width", "i.height")
-    names = raw.select("split", F.explode("categories").alias("c")).select("split", F.col("c.id").alias("category_id"), F.col("c.name").alias("raw_class"))
-    ann = raw.select("split", F.explode("annotations").alias("a")).select("split", "a.*").join(F.broadcast(names), ["split", "category_id"])
+    images = i.select(*head, F.col("id").alias("old_id"), "file_name", "width", "height")
+    names = c.select("split", F.col("id").alias("category_id"), F.col("name").alias("raw_class"))
+    ann = a.join(F.broadcast(names), ["split", "category_id"])
     box = B.box(*(F.col("bbox")[k] for k in range(4)))
     ann = ann.select(*head, F.col("image_id").alias("old_image_id"), F.col("id").alias("ann_id"), "raw_class", box.alias("box"), F.coalesce("area", F.col("bbox")[2] * F.col("bbox")[3]).alias("area"), F.coalesce("iscrowd", F.lit(0)).alias("iscrowd"))
     return images, ann
@@ -144,7 +151,7 @@ def embedding_cache(spark: SparkSession, path: str) -> DataFrame:
 
 
 #: What the check reader takes of each format; it shares no schema and no box code with the readers above.
-CHECK_COCO = "images array<struct<id:string,file_name:string>>, annotations array<struct<image_id:string,category_id:string,bbox:array<double>>>, categories array<struct<id:string,name:string>>"
+CHECK_COCO = {"categories": "struct<id:string,name:string>", "images": "struct<id:string,file_name:string>", "annotations": "struct<image_id:string,category_id:string,bbox:array<double>>"}
 CHECK_PER_IMAGE = "array<struct<image:string,annotations:array<struct<label:string,coordinates:map<string,double>>>>>"
 
 
@@ -156,12 +163,11 @@ def check_boxes(spark: SparkSession, kind: str, path: str, dataset: str, class_m
     glob of files; sizes: file_name, stem, width, height.
     """
     if kind == "coco_roboflow":
-        raw = spark.read.text(_shown(spark, path, "_annotations.coco.json"), wholetext=True).select(F.from_json("value", f"struct<{CHECK_COCO.replace(' array', ': array')}>").alias("j"))
-        raw = raw.select(F.monotonically_increasing_id().alias("f"), "j.*")
-        name = raw.select("f", F.explode(F.map_from_entries(F.transform("categories", lambda c: F.struct(c["id"], c["name"]))))).toDF("f", "category_id", "raw_class")
-        image = raw.select("f", F.inline("images")).toDF("f", "image_id", "image")
+        parts = elements(spark, _shown(spark, path, "_annotations.coco.json"), [*CHECK_COCO])
+        name, image, found = (x.select("doc", F.inline(F.array(F.from_json("value", kind)))) for x, kind in zip(parts, CHECK_COCO.values()))
+        name, image = name.toDF("f", "category_id", "raw_class"), image.toDF("f", "image_id", "image")
         b = F.col("bbox")
-        boxes = raw.select("f", F.inline("annotations")).join(name, ["f", "category_id"]).join(image, ["f", "image_id"])
+        boxes = found.withColumnRenamed("doc", "f").join(F.broadcast(name), ["f", "category_id"]).join(image, ["f", "image_id"])
         boxes = boxes.select("image", "raw_class", b[0].alias("x1"), b[1].alias("y1"), (b[0] + b[2]).alias("x2"), (b[1] + b[3]).alias("y2"))
     elif kind == "yolo":
         part = F.split(F.trim("value"), "[ \t]+")
