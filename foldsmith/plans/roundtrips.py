@@ -5,6 +5,8 @@ Orders are images and their line items boxes, regions the classes. Everything is
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,13 +108,21 @@ def odvg_decoded(spark, sf_dir):
 def _one_file_each(spark: SparkSession, rows: DataFrame, end: str) -> str:
     """A folder with a file <stem><end> for each row (stem, value); Spark writes them, the driver only renames."""
     base = scratch_path(spark, "each")
-    rows.repartition("stem").write.partitionBy("stem").text(base)
+    # The tasks put their files in place themselves; by default the driver moves them one after the other when the job ends.
+    rows.repartition("stem").write.option("mapreduce.fileoutputcommitter.algorithm.version", 2).partitionBy("stem").text(base)
     hadoop = spark._jvm.org.apache.hadoop.fs
     parts = hadoop.Path(f"{base}/stem=*/part-*")
     fs = parts.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(hadoop.Path(f"{base}-named"))
-    for f in fs.globStatus(parts) or []:
-        fs.rename(f.getPath(), hadoop.Path(f"{base}-named/{f.getPath().getParent().getName().removeprefix('stem=')}{end}"))
+
+    def rename(f) -> None:
+        path = f.getPath()
+        name = path.toString().rsplit("/", 2)[1].removeprefix("stem=")
+        fs.rename(path, hadoop.Path(f"{base}-named/{name}{end}"))
+
+    with ThreadPoolExecutor(16) as pool:
+        for _ in pool.map(rename, fs.globStatus(parts) or []):
+            pass
     return f"{base}-named"
 
 
@@ -136,7 +146,7 @@ def yolo_round_trip(spark, sf_dir):
     line = F.concat_ws(" ", "label", *((F.col(c) / 64).cast("string") for c in ("cx", "cy", "w", "h")))
     per = boxes.groupBy("stem").agg(F.array_join(F.collect_list(line), "\n").alias("value"))
     texts = sizes.join(per, "stem", "left").select("stem", F.coalesce("value", F.lit("")).alias("value"))
-    images, ann = readers.yolo(spark, _one_file_each(spark, texts, ".txt") + "/*.txt", sizes.drop("s_suppkey"), "y")
+    images, ann = readers.yolo(spark, _one_file_each(spark, texts, ".txt"), sizes.drop("s_suppkey"), "y")
     per = ann.groupBy(F.col("old_image_id").alias("old_id")).agg(F.count("*").alias("n"), F.sum("area").alias("area"))
     return images.join(per, "old_id", "left").select("file_name", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.round(F.coalesce("area", F.lit(0.0)), 3).alias("area"))
 
@@ -147,10 +157,10 @@ def per_image_round_trip(spark, sf_dir):
     c = F.struct((F.col("cx") * 10.0).alias("x"), (F.col("cy") * 8.0).alias("y"), (F.col("w") * 10.0).alias("width"), (F.col("h") * 8.0).alias("height"))
     per = boxes.groupBy("stem").agg(F.collect_list(F.struct("label", c.alias("coordinates"))).alias("annotations"))
     texts = sizes.join(per, "stem").select("stem", F.to_json(F.array(F.struct(F.col("file_name").alias("image"), "annotations"))).alias("value"))
-    glob, known = _one_file_each(spark, texts, ".json") + "/*.json", sizes.drop("s_suppkey")
-    images, ann = readers.per_image(spark, glob, known, "f")
+    folder, known = _one_file_each(spark, texts, ".json"), sizes.drop("s_suppkey")
+    images, ann = readers.per_image(spark, folder, known, "f")
     numbers = spark.createDataFrame([(str(k), k) for k in range(5)], "raw_class string, class_id int")
-    check, _ = readers.check_boxes(spark, "fuselage_json", glob, "f", numbers, known)
+    check, _ = readers.check_boxes(spark, "fuselage_json", folder, "f", numbers, known)
     a = ann.groupBy(F.col("old_image_id").alias("file_name")).agg(F.count("*").alias("n"), F.sum("area").alias("area"))
     b = check.groupBy(F.col("image").alias("file_name")).agg(F.count("*").alias("n_check"), F.sum((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).alias("area_check"))
     return images.select("file_name").join(a, "file_name").join(b, "file_name").select("file_name", "n", F.round("area", 3).alias("area"), "n_check", F.round("area_check", 3).alias("area_check"))
@@ -180,7 +190,7 @@ def all_sources(spark, sf_dir):
     c = F.struct((F.col("cx") * 10.0).alias("x"), (F.col("cy") * 8.0).alias("y"), (F.col("w") * 10.0).alias("width"), (F.col("h") * 8.0).alias("height"))
     per = boxes.groupBy("stem").agg(F.collect_list(F.struct("label", c.alias("coordinates"))).alias("annotations"))
     texts = sizes.join(per, "stem").select("stem", F.to_json(F.array(F.struct(F.col("file_name").alias("image"), "annotations"))).alias("value"))
-    i, a = readers.read_all(spark, [("orders", "coco_roboflow", (base,)), ("suppliers", "fuselage_json", (_one_file_each(spark, texts, ".json") + "/*.json", sizes.drop("s_suppkey")))])
+    i, a = readers.read_all(spark, [("orders", "coco_roboflow", (base,)), ("suppliers", "fuselage_json", (_one_file_each(spark, texts, ".json"), sizes.drop("s_suppkey")))])
     n = a.groupBy("dataset").agg(F.count("*").alias("boxes"))
     return i.groupBy("dataset", "dataset_ord").agg(F.count("*").alias("images")).join(n, "dataset")
 
