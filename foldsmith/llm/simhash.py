@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldsmith.llm._text import binary_text, record, text_slices, unused
-from foldsmith.operators.graph import connected_components
+from foldsmith.operators.graph import connected_components, star_forest
 from foldsmith.session import materialize
 
 SEED = 42
@@ -93,26 +93,6 @@ def embed(fp):
     return low.bitwiseOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning star forest of the edges a-b: what is left of a group's links need not grow with their number."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = at[: len(a)], at[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        least = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, x, least)
-        np.minimum.at(new, y, least)
-        np.minimum.at(new, label[x], least)
-        np.minimum.at(new, label[y], least)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    far = label != np.arange(len(nodes))
-    return nodes[far], nodes[label[far]]
-
-
 def _cell_links(fp: np.ndarray, group: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Star forest of the links between members of the same group; group is sorted."""
     low = np.uint64(LOW)
@@ -130,11 +110,11 @@ def _cell_links(fp: np.ndarray, group: np.ndarray, distance: int) -> tuple[np.nd
         b.append(fp[near + step])
         held += len(near)
         if held > 1 << 20:
-            x, y = _forest(np.concatenate(a), np.concatenate(b))
+            x, y = star_forest(np.concatenate(a), np.concatenate(b))
             a, b, held = [x], [y], 0
         step += 1
         rows = rows[left[rows] >= step]
-    return _forest(np.concatenate(a), np.concatenate(b))
+    return star_forest(np.concatenate(a), np.concatenate(b))
 
 
 def links(fps: DataFrame, distance: int = 4, cell: int = CELL) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,3 +42,23 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
     lonely = loops.select(F.col("x").alias("node")).join(out.select("node"), "node", "left_anti")
     return out.union(lonely.select("node", F.col("node").alias("component")))
+
+
+def star_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning star forest of the edges a-b: what is left of a group's links need not grow with their number."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, x, least)
+        np.minimum.at(new, y, least)
+        np.minimum.at(new, label[x], least)
+        np.minimum.at(new, label[y], least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    far = label != np.arange(len(nodes))
+    return nodes[far], nodes[label[far]]
