@@ -2,40 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldsmith.operators.scan import running
-
 
 def class_token_spans(captions: DataFrame, offsets: DataFrame) -> DataFrame:
     """(caption_id, class_id, class, start, end, problem): the tokens [start, end) that the first place of each class in its caption touches.
 
     captions: caption_id, caption, classes (array; class_id is the place in it). offsets: caption_id, token, start, end in characters,
-    in order; (0, 0) marks special tokens, which no class has. One sweep over characters counts the tokens that end at or before a class
-    begins, one those that begin before it ends; both are running sums over ranges, so a caption may be of any length. problem, else null:
-    not_in_caption, no_token, or overlap (with a class that begins earlier, or at the same token with a smaller id); the first two
-    have no span. Null captions and classes are not_in_caption.
+    in order; (0, 0) marks special tokens, which no class has. Tokens meet the places of their caption's classes and are counted
+    into their least and greatest as they come, so a caption may have any number of them; they are shuffled once, by caption, or not
+    at all if they come so. problem, else null: not_in_caption, no_token, or overlap (with a class that begins earlier, or at the same
+    token with a smaller id); the first two have no span. Null captions and classes are not_in_caption.
     """
     each = captions.select("caption_id", "caption", F.posexplode("classes").alias("class_id", "class"))
     found = F.coalesce(F.position(F.col("class"), F.col("caption")) - 1, F.lit(-1))
     each = each.select("caption_id", "class_id", "class", found.alias("at")).withColumn("stop", F.col("at") + F.length("class"))
-    real = running(offsets.where("NOT (start = 0 AND end = 0)").select("caption_id", "token", "start", "end"), ["caption_id"], [F.col("token")], {"nth": ("sum", F.lit(1).cast("long"))})
-    inside = each.where("at >= 0")
-    at = lambda df, side, pos, turn, own: df.select("caption_id", F.lit(side).alias("side"), F.col(pos).cast("long").alias("pos"), F.lit(turn).alias("turn"), own.cast("int").alias("class_id"), own.isNull().cast("long").alias("one"))
-    no, own = F.lit(None), F.col("class_id")
-    # At one place tokens that end come before classes that begin, and classes that end before tokens that begin.
-    events = at(real, 0, "end", 0, no).union(at(inside, 0, "at", 1, own)).union(at(inside, 1, "stop", 0, own)).union(at(real, 1, "start", 1, no))
-    swept = running(events, ["caption_id", "side"], [F.col("pos"), F.col("turn")], {"seen": ("sum", F.col("one"))}).where("class_id IS NOT NULL")
-    pick = lambda side: F.max(F.when(F.col("side") == side, F.col("seen")))
-    ends = swept.groupBy("caption_id", "class_id").agg((pick(0) + 1).alias("a"), pick(1).alias("b")).where("a <= b")
-    token = real.select("caption_id", "nth", "token")
-    ends = ends.join(token.select("caption_id", F.col("nth").alias("a"), F.col("token").alias("start")), ["caption_id", "a"]).join(token.select("caption_id", F.col("nth").alias("b"), (F.col("token") + 1).alias("end")), ["caption_id", "b"])
-    ends = running(ends.select("caption_id", "class_id", "start", "end"), ["caption_id"], [F.col("start"), F.col("class_id")], {"most": ("max", F.col("end")), "n": ("sum", F.lit(1).cast("long"))})
-    before = ends.select("caption_id", (F.col("n") + 1).alias("n"), F.col("most").alias("reach"))
-    ends = ends.join(before, ["caption_id", "n"], "left").select("caption_id", "class_id", "start", "end", (F.coalesce("reach", F.lit(0)) > F.col("start")).alias("clash"))
+    real = offsets.where("NOT (start = 0 AND end = 0)").select(F.col("caption_id").alias("_id"), "token", F.col("start").alias("_start"), F.col("end").alias("_end"))
+    touched = (F.col("caption_id") == F.col("_id")) & (F.col("at") >= 0) & (F.col("_start") < F.col("stop")) & (F.col("_end") > F.col("at"))
+    # A merge join, as the tokens are many and come in the order of their captions from a window.
+    spans = each.join(real.hint("merge"), touched, "left").groupBy("caption_id", "class_id", "class", "at").agg(F.min("token").alias("start"), (F.max("token") + 1).alias("end"))
+    # A caption's classes come from one row.
+    before = Window.partitionBy("caption_id").orderBy("start", "class_id").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("clash", F.coalesce(F.max("end").over(before), F.lit(0)) > F.col("start"))
     problem = F.when(F.col("at") < 0, "not_in_caption").when(F.col("start").isNull(), "no_token").when(F.col("clash"), "overlap")
-    return each.join(ends, ["caption_id", "class_id"], "left").select("caption_id", "class_id", "class", "start", "end", problem.alias("problem"))
+    return spans.select("caption_id", "class_id", "class", "start", "end", problem.alias("problem"))
 
 
 def refuse_span_problems(spans: DataFrame) -> DataFrame:
