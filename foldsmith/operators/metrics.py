@@ -65,7 +65,7 @@ def _overlaps(d: np.ndarray, g: np.ndarray, crowd: np.ndarray) -> np.ndarray:
 
 
 def _match_all(dets: pa.Table, truth: pa.Table, most: int = 100) -> pa.Table:
-    """match() of every image and class of a bucket of images; groups of like sizes go side by side."""
+    """match() of every image and class of a bucket of images, a bit for each threshold; groups of like sizes go side by side."""
     cols = lambda t, names: [t[n].to_numpy() for n in names]
     image, cls, det, score = cols(dets, ("image_id", "class_id", "det", "score"))
     t_image, t_cls, t_crowd = cols(truth, ("image_id", "class_id", "crowd"))
@@ -98,28 +98,30 @@ def _match_all(dets: pa.Table, truth: pa.Table, most: int = 100) -> pa.Table:
         at += len(own)
     k = len(THRESHOLDS)
     at = np.concatenate([*rows, np.empty(0, np.int64)])
-    flat = lambda x: np.concatenate([*x, np.empty((k, 0), bool)], axis=1).ravel()
-    rows = np.tile(at, k)
-    return pa.table({"image_id": image[rows], "class_id": cls[rows], "score": score[rows], "det": det[rows], "t": np.repeat(THRESHOLDS, len(at)), "hit": flat(hits), "ignored": flat(ignored)})
+    bits = lambda x: (1 << np.arange(k)) @ np.concatenate([*x, np.empty((k, 0), bool)], axis=1)
+    return pa.table({"image_id": image[at], "class_id": cls[at], "score": score[at], "det": det[at], "hit": bits(hits), "ignored": bits(ignored)})
 
 
 def average_precision(detections: DataFrame, truth: DataFrame, classes: DataFrame) -> DataFrame:
     """(class_id, ap, ap_50, ap_75, support) of every class [T17]; -1 without a true box.
 
     detections: image_id, class_id, det (number), score, x, y, w, h. truth: image_id, class_id, crowd, x, y, w, h.
-    Images are matched in parallel; precision and recall are running sums over each class and threshold
-    by score, taken over ranges of them, so a common class is spread over tasks. The precision is made monotone from the right and
+    Images are matched in parallel; precision and recall are running sums over each class by score, of all thresholds at once, taken
+    over ranges, so a common class is spread over tasks and a detection is one row all the way. The precision is made monotone from the right and
     sampled at recalls 0, 0.01, ..., 1.
     """
 
-    ddl = "image_id long, class_id int, score double, det long, t double, hit boolean, ignored boolean"
+    ddl = "image_id long, class_id int, score double, det long, hit long, ignored long"
     buckets = max(1, -(-detections.count() // 20_000))
     own = F.pmod(F.xxhash64("image_id"), F.lit(buckets)).alias("_b")
     matched = detections.select("*", own).groupBy("_b").cogroup(truth.select("*", own).groupBy("_b")).applyInArrow(lambda d, g: _match_all(d, g), ddl)
     support = truth.where(~F.col("crowd")).groupBy("class_id").agg(F.count("*").alias("support"))
-    seen = matched.where(~F.col("ignored")).select("class_id", "t", "score", "image_id", "det", "hit")
-    one = F.lit(1).cast("long")
-    curve = running(seen, ["class_id", "t"], [F.desc("score"), F.col("image_id"), F.col("det")], {"tp": ("sum", F.col("hit").cast("long")), "n": ("sum", one)})
+    places = range(len(THRESHOLDS))
+    bit = lambda c, i: F.shiftright(c, i).bitwiseAND(F.lit(1).cast("long"))
+    sums = {f"tp{i}": ("sum", bit("hit", i)) for i in places} | {f"n{i}": ("sum", 1 - bit("ignored", i)) for i in places}
+    curve = running(matched, ["class_id"], [F.desc("score"), F.col("image_id"), F.col("det")], sums)
+    each = F.array(*(F.struct(F.lit(t).alias("t"), F.col(f"tp{i}").alias("tp"), F.col(f"n{i}").alias("n"), bit("ignored", i).alias("ignored")) for i, t in enumerate(THRESHOLDS)))
+    curve = curve.select("class_id", F.explode(each).alias("x")).select("class_id", "x.*").where("ignored = 0")
     curve = curve.join(F.broadcast(support), "class_id").select("class_id", "t", (F.col("tp") / F.col("support")).alias("recall"), (F.col("tp") / F.col("n")).alias("precision"))
     # The greatest precision at or beyond each recall sample: a point serves all samples up to its recall.
     best = curve.groupBy("class_id", "t", F.floor(F.col("recall") * 100 + 1e-9).cast("int").alias("r")).agg(F.max("precision").alias("p"))

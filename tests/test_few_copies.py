@@ -76,3 +76,17 @@ def test_closest_pairs_by_blocks(spark, monkeypatch):
     for block in (1024, 32):
         monkeypatch.setattr(tiles.tile_self_join, "__defaults__", (block,))
         assert S.closest_pairs(df, 25, "label").collect() == want
+
+
+def test_a_detection_is_one_row_for_all_thresholds(spark, monkeypatch):
+    from foldsmith.operators import metrics
+
+    seen = []
+    was = metrics.running
+    monkeypatch.setattr(metrics, "running", lambda df, *a: seen.append(df.count()) or was(df, *a))
+    rows = [(i, 0, j, 1.0 - j / 10 - i / 1000, 10.0 * j + i % 4, 0.0, 10.0, 10.0) for i in range(20) for j in range(3)]
+    det = spark.createDataFrame(rows, "image_id long, class_id int, det long, score double, x double, y double, w double, h double")
+    truth = spark.createDataFrame([(i, 0, i % 5 == 0, 0.0, 0.0, 10.0, 10.0) for i in range(20)], "image_id long, class_id int, crowd boolean, x double, y double, w double, h double")
+    out = metrics.average_precision(det, truth, spark.createDataFrame([(0,)], "class_id int")).first()
+    # Of images 0, 5, 10, 15 the true box is a crowd box; offsets of 0 to 3 overlap by 1, 9/11, 8/12 and 7/13. Crowd boxes hide what covers them.
+    assert seen == [60] and out.support == 16 and 0 < out.ap_75 < out.ap_50 <= 1 and out.ap_75 < out.ap < out.ap_50
