@@ -53,8 +53,8 @@ class Spec:
         return cls(q.split(","), t.split(","), int(k), float(bounds[0]) if bounds else 0.0, float(bounds[1]) if len(bounds) > 1 else float("inf"))
 
 
-def candidates(images: DataFrame, spec: Spec, key: str = "vec_id", vec: str = "embedding", dataset: str = "dataset") -> DataFrame:
-    """(q, t, cosine, rank): the plan of a specification over one table of images [T2, T3, P12]."""
+def candidates(images: DataFrame, spec: Spec, key: str = "vec_id", vec: str = "embedding", dataset: str = "dataset", digits: int | None = None) -> DataFrame:
+    """(q, t, cosine, rank): the plan of a specification over one table of images [T2, T3, P12]; with `digits` the band takes the rounded cosine."""
     from foldsmith.operators.similarity import band, top_similar
 
     some = lambda names: images if "*" in names or "+" in names or "=" in names else images.where(F.col(dataset).isin(names))
@@ -63,7 +63,8 @@ def candidates(images: DataFrame, spec: Spec, key: str = "vec_id", vec: str = "e
     if "=" in spec.targets:
         own = images.select(F.col(key).cast("long").alias("q"), F.col(dataset).alias("own"))
         found = found.join(own, "q").where(F.col("pool") == F.col("own")).drop("own")
-    return band(found.select("q", "t", "cosine", "rank"), spec.low, spec.high)
+    cosine = F.col("cosine") if digits is None else F.round("cosine", digits).alias("cosine")
+    return band(found.select("q", "t", cosine, "rank"), spec.low, spec.high)
 
 
 def match_decisions(pairs: DataFrame, least: int = 25, val_least: int = 40, similar: int = 15, similar_cosine: float = 0.6) -> DataFrame:
