@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from foldsmith.functions import boxes as B
 from foldsmith.functions.vectors import normalise, sigmoid
 from foldsmith.operators import audit, ids, leakage, merge, registry
-from foldsmith.session import scratch_path, table
+from foldsmith.session import drop_path, scratch_path, table
 from foldsmith.sources import readers, sinks
 
 WIDTH, HEIGHT = 640, 512
@@ -45,11 +45,10 @@ def _flat(df: DataFrame) -> DataFrame:
 
 def coco_round_trip(spark, sf_dir):
     """All boxes through one COCO document for each split."""
-    base, images, boxes = scratch_path(spark, "coco"), _images(spark, sf_dir), _boxes(spark, sf_dir)
-    for split in ("train", "val"):
-        own = images.where(F.col("split") == split)
-        sinks.write_coco(own, merge.attach(boxes, own.select("image_id"), ["image_id"]), _names(spark, sf_dir), f"{base}/{split}/_annotations.coco.json")
+    base = scratch_path(spark, "coco")
+    sinks.write_coco_splits(_images(spark, sf_dir), _boxes(spark, sf_dir), _names(spark, sf_dir), base, ["train", "val"])
     found, ann = readers.coco(spark, base, "d")
+    drop_path(spark, base)  # read whole; what comes next needs its room
     known = found.select("split", F.col("old_id").alias("old_image_id"), "file_name")
     return _flat(ann.join(known, ["split", "old_image_id"]).select("split", "file_name", "ann_id", "raw_class", "box", "area", "iscrowd"))
 

@@ -8,6 +8,7 @@ counted. Sizes that only the pixels hold come as a table of paths.
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Callable
 from pathlib import Path
 
@@ -19,7 +20,7 @@ from foldsmith.operators.audit import Unreadable
 from foldsmith.operators.balance import hash_sample
 from foldsmith.operators.ids import with_index
 from foldsmith.operators.scan import running
-from foldsmith.session import scratch_path
+from foldsmith.session import drop_path, scratch_path
 from foldsmith.sources.documents import elements
 
 COCO = {
@@ -49,7 +50,10 @@ def config_rows(spark: SparkSession, config: dict) -> DataFrame:
 
 
 def _shown(spark: SparkSession, base: str, name: str) -> list[str]:
-    """Copies, in the shared folder, of `<base>/<split>/<name>`: Spark takes names that begin with _ for hidden. One file for each split."""
+    """Links to, or copies of, `<base>/<split>/<name>` in the shared folder: Spark takes names that begin with _ for hidden. One file for each split.
+
+    Files of a mounted file system are linked, which takes no disk; other stores know no links, so there it is copies.
+    """
     jvm = spark._jvm
     conf = jvm.org.apache.hadoop.conf.Configuration(spark._jsc.hadoopConfiguration())
     conf.setInt("io.file.buffer.size", 1 << 20)
@@ -58,18 +62,32 @@ def _shown(spark: SparkSession, base: str, name: str) -> list[str]:
     out = []
     for f in fs.globStatus(pattern) or []:
         target = jvm.org.apache.hadoop.fs.Path(f"{to}/{f.getPath().getParent().getName()}/{name.lstrip('_')}")
-        jvm.org.apache.hadoop.fs.FileUtil.copy(fs, f.getPath(), target.getFileSystem(conf), target, False, conf)
+        there = target.getFileSystem(conf)
+        if fs.getUri().getScheme() == there.getUri().getScheme() == "file":
+            there.mkdirs(target.getParent())
+            os.symlink(os.path.abspath(f.getPath().toUri().getPath()), target.toUri().getPath())
+        else:
+            jvm.org.apache.hadoop.fs.FileUtil.copy(fs, f.getPath(), there, target, False, conf)
         out.append(target.toString())
     if not out:
         raise FileNotFoundError(f"no {name} below {base}")
     return out
 
 
+def _coco_parts(spark: SparkSession, base: str, names: list[str]) -> tuple[list[str], list[DataFrame]]:
+    """(splits, the objects of each named list) of the documents of all splits; what _shown made is deleted, as the objects are kept."""
+    paths = _shown(spark, base, "_annotations.coco.json")
+    try:
+        return [p.split("/")[-2] for p in paths], elements(spark, paths, names)
+    finally:
+        drop_path(spark, paths[0].rsplit("/", 2)[0])
+
+
 def coco(spark: SparkSession, base: str, dataset: str) -> tuple[DataFrame, DataFrame]:
     """S3: `<base>/<split>/_annotations.coco.json`; boxes as they are, area with a default of w * h, crowd of 0."""
-    paths = _shown(spark, base, "_annotations.coco.json")
-    split = F.element_at(F.array(*(F.lit(p.split("/")[-2]) for p in paths)), F.col("doc") + 1).alias("split")
-    i, a, c = (x.select(split, F.from_json("value", COCO[n]).alias("r")).select("split", "r.*") for n, x in zip(COCO, elements(spark, paths, [*COCO])))
+    splits, parts = _coco_parts(spark, base, [*COCO])
+    split = F.element_at(F.array(*map(F.lit, splits)), F.col("doc") + 1).alias("split")
+    i, a, c = (x.select(split, F.from_json("value", COCO[n]).alias("r")).select("split", "r.*") for n, x in zip(COCO, parts))
     head = [F.lit(dataset).alias("dataset"), "split"]
     images = i.select(*head, F.col("id").alias("old_id"), "file_name", "width", "height")
     names = c.select("split", F.col("id").alias("category_id"), F.col("name").alias("raw_class"))
@@ -163,7 +181,7 @@ def check_boxes(spark: SparkSession, kind: str, path: str, dataset: str, class_m
     glob of files; sizes: file_name, stem, width, height.
     """
     if kind == "coco_roboflow":
-        parts = elements(spark, _shown(spark, path, "_annotations.coco.json"), [*CHECK_COCO])
+        _, parts = _coco_parts(spark, path, [*CHECK_COCO])
         name, image, found = (x.select("doc", F.inline(F.array(F.from_json("value", kind)))) for x, kind in zip(parts, CHECK_COCO.values()))
         name, image = name.toDF("f", "category_id", "raw_class"), image.toDF("f", "image_id", "image")
         b = F.col("bbox")
