@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from foldsmith.functions import boxes as B
 from foldsmith.functions.vectors import normalise, sigmoid
 from foldsmith.operators import audit, ids, leakage, merge, registry
-from foldsmith.session import drop_path, scratch_path, table
+from foldsmith.session import drop_path, scratch_path, swept, table
 from foldsmith.sources import readers, sinks
 
 WIDTH, HEIGHT = 640, 512
@@ -108,7 +108,8 @@ def _one_file_each(spark: SparkSession, rows: DataFrame, end: str) -> str:
     """A folder with a file <stem><end> for each row (stem, value); Spark writes them, the driver only renames."""
     base = scratch_path(spark, "each")
     # The tasks put their files in place themselves; by default the driver moves them one after the other when the job ends.
-    rows.repartition("stem").write.option("mapreduce.fileoutputcommitter.algorithm.version", 2).partitionBy("stem").text(base)
+    with swept(spark):
+        rows.repartition("stem").write.option("mapreduce.fileoutputcommitter.algorithm.version", 2).partitionBy("stem").text(base)
     hadoop = spark._jvm.org.apache.hadoop.fs
     parts = hadoop.Path(f"{base}/stem=*/part-*")
     fs = parts.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -182,14 +183,20 @@ def inline_round_trip(spark, sf_dir):
 
 
 def all_sources(spark, sf_dir):
-    """Images and boxes of a COCO and a per-image source, stacked in config order."""
-    base, images = scratch_path(spark, "coco"), _images(spark, sf_dir)
-    sinks.write_coco(images, _boxes(spark, sf_dir), _names(spark, sf_dir), f"{base}/train/_annotations.coco.json")
-    sizes, boxes = _suppliers(spark, sf_dir)
-    c = F.struct((F.col("cx") * 10.0).alias("x"), (F.col("cy") * 8.0).alias("y"), (F.col("w") * 10.0).alias("width"), (F.col("h") * 8.0).alias("height"))
-    per = boxes.groupBy("stem").agg(F.collect_list(F.struct("label", c.alias("coordinates"))).alias("annotations"))
-    texts = sizes.join(per, "stem").select("stem", F.to_json(F.array(F.struct(F.col("file_name").alias("image"), "annotations"))).alias("value"))
-    i, a = readers.read_all(spark, [("orders", "coco_roboflow", (base,)), ("suppliers", "fuselage_json", (_one_file_each(spark, texts, ".json"), sizes.drop("s_suppkey")))])
+    """Images and boxes of a COCO and a per-image source, stacked in config order; the document of the first is gone before the files of the second are written."""
+
+    def sources():
+        base = scratch_path(spark, "coco")
+        sinks.write_coco(_images(spark, sf_dir), _boxes(spark, sf_dir), _names(spark, sf_dir), f"{base}/train/_annotations.coco.json")
+        yield "orders", "coco_roboflow", (base,)
+        drop_path(spark, base)
+        sizes, boxes = _suppliers(spark, sf_dir)
+        c = F.struct((F.col("cx") * 10.0).alias("x"), (F.col("cy") * 8.0).alias("y"), (F.col("w") * 10.0).alias("width"), (F.col("h") * 8.0).alias("height"))
+        per = boxes.groupBy("stem").agg(F.collect_list(F.struct("label", c.alias("coordinates"))).alias("annotations"))
+        texts = sizes.join(per, "stem").select("stem", F.to_json(F.array(F.struct(F.col("file_name").alias("image"), "annotations"))).alias("value"))
+        yield "suppliers", "fuselage_json", (_one_file_each(spark, texts, ".json"), sizes.drop("s_suppkey"))
+
+    i, a = readers.read_all(spark, sources())
     n = a.groupBy("dataset").agg(F.count("*").alias("boxes"))
     return i.groupBy("dataset", "dataset_ord").agg(F.count("*").alias("images")).join(n, "dataset")
 

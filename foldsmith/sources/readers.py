@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -140,10 +140,11 @@ def read_dataset(spark: SparkSession, kind: str, *args) -> tuple[DataFrame, Data
     return READERS[kind](spark, *args)
 
 
-def read_all(spark: SparkSession, sources: list[tuple[str, str, tuple]]) -> tuple[DataFrame, DataFrame]:
+def read_all(spark: SparkSession, sources: Iterable[tuple[str, str, tuple]]) -> tuple[DataFrame, DataFrame]:
     """(images, annotations) of all sources (dataset, format, reader's arguments before the name) in config order.
 
-    dataset_ord is the place in that order; old ids, whose types differ by format, are strings.
+    dataset_ord is the place in that order; old ids, whose types differ by format, are strings. A source is asked for when those before it have
+    been handed to their readers; a COCO document is then read whole.
     """
     images, annotations = [], []
     for nth, (dataset, kind, args) in enumerate(sources):

@@ -50,7 +50,7 @@ def test_a_document_is_neither_copied_nor_kept_as_parts(spark, tmp_path, monkeyp
     assert ann.count() == 20_000
 
 
-@pytest.mark.parametrize("query", ["coco_round_trip"])
+@pytest.mark.parametrize("query", ["coco_round_trip", "all_sources"])
 def test_a_read_document_is_deleted(spark, query):
     def documents():
         return [f for _, _, names in os.walk(shared_dir(spark)) for f in names if f.endswith("annotations.coco.json")]
@@ -58,3 +58,11 @@ def test_a_read_document_is_deleted(spark, query):
     before = documents()
     rows = roundtrips.QUERIES[query](spark, "/root/testdata/sf0.001")
     assert documents() == before and rows.count() > 0
+
+
+def test_all_sources_writes_the_second_source_after_the_first_is_read(spark, monkeypatch):
+    seen, each, coco = [], roundtrips._one_file_each, readers.coco
+    monkeypatch.setattr(roundtrips, "_one_file_each", lambda *a: (seen.append("files"), each(*a))[1])
+    monkeypatch.setitem(readers.READERS, "coco_roboflow", lambda *a: (seen.append("document"), coco(*a))[1])
+    rows = roundtrips.all_sources(spark, "/root/testdata/sf0.001")
+    assert seen == ["document", "files"] and rows.count() == 2
