@@ -114,6 +114,7 @@ def average_precision(detections: DataFrame, truth: DataFrame, classes: DataFram
     ddl = "image_id long, class_id int, score double, det long, hit long, ignored long"
     buckets = max(1, -(-detections.count() // 20_000))
     own = F.pmod(F.xxhash64("image_id"), F.lit(buckets)).alias("_b")
+    truth = truth.select(*(F.col(c).alias(c) for c in truth.columns))  # columns of their own, as detections may come from the same table
     matched = detections.select("*", own).groupBy("_b").cogroup(truth.select("*", own).groupBy("_b")).applyInArrow(lambda d, g: _match_all(d, g), ddl)
     support = truth.where(~F.col("crowd")).groupBy("class_id").agg(F.count("*").alias("support"))
     places = range(len(THRESHOLDS))
